@@ -22,7 +22,6 @@ SCALES = (("δισεκατομμύριο", "δισεκατομμύρια"), ("ε
 ORDINAL_UNITS = ("", "πρώτ", "δεύτερ", "τρίτ", "τέταρτ", "πέμπτ", "έκτ", "έβδομ", "όγδο", "ένατ")
 ORDINAL_TENS = ("", "δέκατ", "εικοστ", "τριακοστ", "τεσσαρακοστ", "πεντηκοστ", "εξηκοστ", "εβδομηκοστ", "ογδοηκοστ", "ενενηκοστ")
 ORDINAL_ENDS = {"plain": ("ος", "η", "ο"), "stressed": ("ός", "ή", "ό")}
-ORDINAL_TEENS = {11: "ενδέκατ", 12: "δωδέκατ"}
 
 
 def _form(word, gender: int) -> str:
@@ -77,9 +76,6 @@ def ordinal_words(n: int, gender: str = "neuter") -> str:
     unit = lambda u: ORDINAL_UNITS[u] + plain if u else ""
     if n < 10:
         return unit(n)
-    if n in ORDINAL_TEENS:
-        stem = ORDINAL_TEENS[n]
-        return stem + plain
     tens, rest = divmod(n, 10)
     head = ORDINAL_TENS[tens] + (plain if tens == 1 else stressed)
     return f"{head} {unit(rest)}".strip()
@@ -95,10 +91,8 @@ def number_words_col(n: Column, gender: str = "neuter") -> Column:
     n = n.cast("bigint")
     size, own, fem, neu = F.abs(n), _literal_words(gender), _literal_words("feminine"), _literal_words("neuter")
     group = lambda words, v: F.element_at(words, v.cast("int") + 1)
-    pick = lambda p: F.floor(size / F.lit(p)).cast("bigint") if p == 1 else (size - size % F.lit(p)) / F.lit(p)
-    billions = F.expr("0").cast("bigint") + pick(10**9).cast("bigint")
-    millions = (pick(10**6).cast("bigint")) % 1000
-    thousands = (pick(1000).cast("bigint")) % 1000
+    part = lambda p: ((size - size % F.lit(p)) / F.lit(p)).cast("bigint")
+    billions, millions, thousands = part(10**9), part(10**6) % 1000, part(1000) % 1000
     units = size % 1000
     blank = F.lit("")
     b_thousand = F.when(billions >= 2000, F.concat(group(fem, F.floor(billions / 1000) % 1000), F.lit(" χιλιάδες"))).when(billions >= 1000, F.lit(THOUSAND[2])).otherwise(blank)
