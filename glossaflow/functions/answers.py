@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import SPACE, strip_edges
+from glossaflow.functions.text import SPACE, let, strip_edges
 
 # Labels before an answer, wrapping quotes, words of a refusal, length ratios.
 LABELS = ("Παράδειγμα\\s+εξόδου", "Έξοδος", "Κανονικοποιημένο\\s+κείμενο", "Output", "Normalized\\s+text", "Απάντηση")
@@ -22,17 +22,23 @@ def _occurrences(text: Column, mark: str) -> Column:
 
 def cleaned_answer(text: Column) -> Column:
     """Without fence, label and quotes that wrap the whole answer; the pairs of quotes are tried in their order."""
-    out = strip_edges(text)
     fence = r"(?s)^```[\p{L}\p{N}_-]*\n(.*?)\n?```[" + SPACE + "]*$"
-    out = F.when(F.regexp_like(out, F.lit(fence)), strip_edges(F.regexp_extract(out, fence, 1))).otherwise(out)
+    out = let(strip_edges(text), lambda x: F.when(F.regexp_like(x, F.lit(fence)), strip_edges(F.regexp_extract(x, fence, 1))).otherwise(x))
     out = F.regexp_replace(out, rf"(?iu)^[{SPACE}]*(?:{'|'.join(LABELS)})[{SPACE}]*[::][{SPACE}]*", "")
     for opening, closing in QUOTES:
-        once = _occurrences(out, opening) == (2 if opening == closing else 1)
-        wrapped = (F.char_length(out) >= 2) & out.startswith(opening) & out.endswith(closing) & once
-        out = F.when(wrapped, strip_edges(F.substring(out, F.lit(2), F.char_length(out) - 2))).otherwise(out)
+        out = _unquoted(out, opening, closing)
     return out
 
 
+def _unquoted(text: Column, opening: str, closing: str) -> Column:
+    def strip(x: Column) -> Column:
+        once = _occurrences(x, opening) == (2 if opening == closing else 1)
+        wrapped = (F.char_length(x) >= 2) & x.startswith(opening) & x.endswith(closing) & once
+        return F.when(wrapped, strip_edges(F.substring(x, F.lit(2), F.char_length(x) - 2))).otherwise(x)
+
+    return let(text, strip)
+
+
 def without_restated_acronyms(text: Column) -> Column:
     """Parentheses that only restate a Greek acronym go; blanks collapse, none before closing marks."""
     out = F.regexp_replace(text, rf"[{SPACE}]*\([{SPACE}]*[Α-ΩΪΫ](?:[.{SPACE}]*[Α-ΩΪΫ])+[{SPACE}]*\.?[{SPACE}]*\)", "")
@@ -55,18 +61,23 @@ def answer_warnings(original: Column, cleaned: Column) -> Column:
 
 def checked_answer(original: Column, answer: Column) -> Column:
     """``struct(text, warnings)`` of an answer; any warning brings the original back."""
-    cleaned = without_restated_acronyms(cleaned_answer(answer))
-    warnings = answer_warnings(original, cleaned)
-    return F.struct(F.when(F.size(warnings) > 0, original).otherwise(cleaned).alias("text"), warnings.alias("warnings"))
+    def check(cleaned: Column) -> Column:
+        shaped = lambda w: F.struct(F.when(F.size(w) > 0, original).otherwise(cleaned).alias("text"), w.alias("warnings"))
+        return let(answer_warnings(original, cleaned), shaped)
+
+    return let(without_restated_acronyms(cleaned_answer(answer)), check)
 
 
 def _score(value: Column, low: float, high: float) -> Column:
     """A variant as a score: numbers and the first number in a string, clamped; booleans and all else null."""
-    kind = F.schema_of_variant(value)
-    number = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(value, "$", "double"))
-    in_text = F.nullif(F.regexp_extract(F.try_variant_get(value, "$", "string"), r"(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
-    found = F.when(kind == "STRING", in_text).otherwise(number)
-    return F.when(found.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), found)))
+    def score(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        number = F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, "$", "double"))
+        in_text = F.nullif(F.regexp_extract(F.try_variant_get(v, "$", "string"), r"(-?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
+        found = F.when(kind == "STRING", in_text).otherwise(number)
+        return F.when(found.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), found)))
+
+    return let(value, score)
 
 
 def judged(text: Column, dimensions: Iterable[str], low: float = 1.0, high: float = 5.0) -> Column:
@@ -76,23 +87,31 @@ def judged(text: Column, dimensions: Iterable[str], low: float = 1.0, high: floa
     'overall_mos' to the mean of the dimensions present (unrounded; the report rounds). Anything unreadable is null.
     """
     dims = list(dimensions)
-    payload = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")))
-    payload = F.when(F.schema_of_variant(payload).startswith("OBJECT"), payload)
-    nested = F.try_variant_get(payload, "$.scores", "variant")
-    source = F.when(F.schema_of_variant(nested).startswith("OBJECT"), nested).otherwise(payload)
-    scored = {d: _score(F.try_variant_get(source, f"$.{d}", "variant"), low, high) for d in dims}
-    present = F.array_compact(F.array(*scored.values())) if dims else F.array().cast("array<double>")
-    mean = F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
-    overall = F.coalesce(_score(F.try_variant_get(source, "$.overall", "variant"), low, high), _score(F.try_variant_get(source, "$.overall_mos", "variant"), low, high), mean)
-    comment = F.try_variant_get(payload, "$.comment", "variant")
-    flaws = F.try_variant_get(payload, "$.flaws_and_deductions_log", "variant")
-    return F.struct(
-        F.create_map(*[x for d in dims for x in (F.lit(d), scored[d])]).alias("mos"),
-        overall.alias("mos_overall"),
-        F.when(F.schema_of_variant(comment) == "STRING", strip_edges(F.try_variant_get(comment, "$", "string"))).alias("comment"),
-        F.when(F.schema_of_variant(flaws).startswith("OBJECT"), F.to_json(flaws)).alias("flaws"),
-        overall.isNotNull().alias("parse_ok"),
-    )
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    field = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+
+    def scores(source: Column) -> Column:
+        scored = F.array(*[_score(field(source, d), low, high) for d in dims]) if dims else F.array().cast("array<double>")
+        overall = F.coalesce(_score(field(source, "overall"), low, high), _score(field(source, "overall_mos"), low, high))
+        return let(F.struct(scored.alias("s"), overall.alias("o")), lambda p: F.struct(p["s"].alias("s"), F.coalesce(p["o"], _mean(p["s"])).alias("o")))
+
+    def read(payload: Column) -> Column:
+        nested, comment, flaws = field(payload, "scores"), field(payload, "comment"), field(payload, "flaws_and_deductions_log")
+        source = let(nested, lambda v: F.when(is_object(v), v).otherwise(payload))
+        said = let(comment, lambda v: F.when(F.schema_of_variant(v) == "STRING", strip_edges(F.try_variant_get(v, "$", "string"))))
+        logged = let(flaws, lambda v: F.when(is_object(v), F.to_json(v)))
+        return F.struct(let(source, scores).alias("r"), said.alias("c"), logged.alias("f"))
+
+    def shape(got: Column) -> Column:
+        mos = F.map_from_arrays(F.array(*map(F.lit, dims)), got["r"]["s"]) if dims else F.create_map().cast("map<string,double>")
+        return F.struct(mos.alias("mos"), got["r"]["o"].alias("mos_overall"), got["c"].alias("comment"), got["f"].alias("flaws"), got["r"]["o"].isNotNull().alias("parse_ok"))
+
+    parsed = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")))
+    return let(let(let(parsed, lambda v: F.when(is_object(v), v)), read), shape)
+
+
+def _mean(values: Column) -> Column:
+    return let(F.array_compact(values), lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
 
 
 def system_prompt(dimensions: dict[str, str], strict: bool = False) -> str:

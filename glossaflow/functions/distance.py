@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossaflow.functions.text import let
+
 #: One letter per distinct token of a pair: the CJK ideographs, all of them single UTF-16 units.
 ALPHABET = "".join(map(chr, range(0x4E00, 0x9FFF)))
+#: Most pairs need few letters, and taking a letter costs the length of the alphabet.
+SHORT_ALPHABET = ALPHABET[:128]
 
 
 def tokens(text: Column) -> Column:
@@ -19,8 +23,8 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _letters(words: Column, known: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.substring(F.lit(ALPHABET), F.array_position(known, w).cast("int"), F.lit(1))), "")
+def _letters(words: Column, known: Column, alphabet: str) -> Column:
+    return F.array_join(F.transform(words, lambda w: F.substring(F.lit(alphabet), F.array_position(known, w).cast("int"), F.lit(1))), "")
 
 
 def token_distance_dp(reference: Column, hypothesis: Column) -> Column:
@@ -38,21 +42,32 @@ def token_distance_dp(reference: Column, hypothesis: Column) -> Column:
 
 
 def token_distance(reference: Column, hypothesis: Column) -> Column:
-    known = F.array_distinct(F.concat(reference, hypothesis))
-    return F.when(F.size(known) > len(ALPHABET), token_distance_dp(reference, hypothesis)).otherwise(
-        F.levenshtein(_letters(reference, known), _letters(hypothesis, known))
-    )
+    def by_letters(known: Column) -> Column:
+        spelled = lambda a: F.levenshtein(_letters(reference, known, a), _letters(hypothesis, known, a))
+        size = F.size(known)
+        return F.when(size <= len(SHORT_ALPHABET), spelled(SHORT_ALPHABET)).when(size <= len(ALPHABET), spelled(ALPHABET)).otherwise(token_distance_dp(reference, hypothesis))
+
+    return let(F.array_distinct(F.concat(reference, hypothesis)), by_letters)
 
 
 def word_rate(reference: Column, hypothesis: Column) -> Column:
     """Word error rate of two normalised texts; without reference words 0 or 1."""
-    ref, hyp = tokens(reference), tokens(hypothesis)
-    empty = F.when(F.size(hyp) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    return F.when(F.size(ref) == 0, empty).otherwise(token_distance(ref, hyp) / F.size(ref)).cast("double")
+
+    def rate(pair: Column) -> Column:
+        ref, hyp = pair["r"], pair["h"]
+        empty = F.when(F.size(hyp) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+        return F.when(F.size(ref) == 0, empty).otherwise(token_distance(ref, hyp) / F.size(ref)).cast("double")
+
+    return let(F.struct(tokens(reference).alias("r"), tokens(hypothesis).alias("h")), rate)
 
 
 def char_rate(reference: Column, hypothesis: Column) -> Column:
     """Character error rate of two normalised texts, spaces left out."""
-    ref, hyp = F.replace(reference, F.lit(" "), F.lit("")), F.replace(hypothesis, F.lit(" "), F.lit(""))
-    empty = F.when(hyp == "", F.lit(0.0)).otherwise(F.lit(1.0))
-    return F.when(ref == "", empty).otherwise(F.levenshtein(ref, hyp) / F.char_length(ref)).cast("double")
+
+    def rate(pair: Column) -> Column:
+        ref, hyp = pair["r"], pair["h"]
+        empty = F.when(hyp == "", F.lit(0.0)).otherwise(F.lit(1.0))
+        return F.when(ref == "", empty).otherwise(F.levenshtein(ref, hyp) / F.char_length(ref)).cast("double")
+
+    bare = lambda t: F.replace(t, F.lit(" "), F.lit(""))
+    return let(F.struct(bare(reference).alias("r"), bare(hypothesis).alias("h")), rate)

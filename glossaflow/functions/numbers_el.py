@@ -1,6 +1,6 @@
 """Greek number words, built from short tables by rule.
 
-``number_words`` gives the words of one value; the Column builders look up base-1000 groups in literal arrays made by it.
+``number_words`` gives the words of one value; the Column builders say the same of a column, three digits at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossaflow.functions.text import let
+
 GENDERS = ("masculine", "feminine", "neuter")
 # Greek number words; a tuple holds the masculine, feminine and neuter forms.
 UNITS = ("", ("ένας", "μία", "ένα"), "δύο", ("τρεις", "τρεις", "τρία"), ("τέσσερις", "τέσσερις", "τέσσερα"), "πέντε", "έξι", "επτά", "οκτώ", "εννέα")
@@ -81,30 +83,46 @@ def ordinal_words(n: int, gender: str = "neuter") -> str:
     return f"{head} {unit(rest)}".strip()
 
 
-def _literal_words(gender: str) -> Column:
+def _array(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _below_thousand_col(n: Column, gender: str) -> Column:
+    """Column form of ``below_thousand`` from three short arrays; null for 0."""
     g = GENDERS.index(gender)
-    return F.split(F.lit("|".join(below_thousand(i, g) for i in range(1000))), r"\|")
+    low = _array(["", *[_form(w, g) for w in (*UNITS[1:], *TEENS)]])
+    tens, hundreds = _array(TENS), _array(["", "", *[stem + HUNDRED_ENDS[g] for stem in HUNDRED_STEMS[2:]]])
+    at = lambda words, i: F.nullif(F.element_at(words, i.cast("int") + 1), F.lit(""))
+
+    def say(x: Column) -> Column:
+        h, r = F.floor(x / 100), x % 100
+        head = F.when(h == 1, F.when(r == 0, "εκατό").otherwise("εκατόν")).otherwise(at(hundreds, h))
+        return F.concat_ws(" ", head, F.when(r >= 20, at(tens, F.floor(r / 10))), F.when(r < 20, at(low, r)).otherwise(at(low, r % 10)))
+
+    return F.when(n > 0, let(n, say))
 
 
 def number_words_col(n: Column, gender: str = "neuter") -> Column:
-    """Column form of ``number_words`` for up to 18 digits: base-1000 groups looked up in literal arrays."""
-    n = n.cast("bigint")
-    size, own, fem, neu = F.abs(n), _literal_words(gender), _literal_words("feminine"), _literal_words("neuter")
-    group = lambda words, v: F.element_at(words, v.cast("int") + 1)
+    """Column form of ``number_words`` for up to 18 digits, group by group of three."""
+    return let(n.cast("bigint"), lambda x: _number_words(x, gender))
+
+
+def _number_words(n: Column, gender: str) -> Column:
+    size = F.abs(n)
     part = lambda p: ((size - size % F.lit(p)) / F.lit(p)).cast("bigint")
-    billions, millions, thousands = part(10**9), part(10**6) % 1000, part(1000) % 1000
-    units = size % 1000
-    blank = F.lit("")
-    b_thousand = F.when(billions >= 2000, F.concat(group(fem, F.floor(billions / 1000) % 1000), F.lit(" χιλιάδες"))).when(billions >= 1000, F.lit(THOUSAND[2])).otherwise(blank)
-    b_words = F.concat_ws(" ", F.when(b_thousand != "", b_thousand), F.when(billions % 1000 > 0, group(neu, billions % 1000)))
+    billions, millions, thousands, units = part(10**9), part(10**6) % 1000, part(1000) % 1000, size % 1000
+    many_thousands = lambda v: F.when(v > 1, F.concat(_below_thousand_col(v, "feminine"), F.lit(" χιλιάδες")))
+    b_thousands = F.floor(billions / 1000) % 1000
+    b_words = F.concat_ws(" ", F.when(b_thousands == 1, F.lit(THOUSAND[2])), many_thousands(b_thousands), _below_thousand_col(billions % 1000, "neuter"))
     scale = lambda words, count, names: F.when(count > 0, F.concat(words, F.when(count == 1, " " + names[0]).otherwise(" " + names[1])))
     parts = F.concat_ws(
         " ",
         F.when(n < 0, F.lit("μείον")),
         scale(b_words, billions, SCALES[0]),
-        scale(group(neu, millions), millions, SCALES[1]),
-        F.when(thousands == 1, F.lit(THOUSAND[GENDERS.index(gender)])).when(thousands > 1, F.concat(group(fem, thousands), F.lit(" χιλιάδες"))),
-        F.when(units > 0, group(own, units)),
+        scale(_below_thousand_col(millions, "neuter"), millions, SCALES[1]),
+        F.when(thousands == 1, F.lit(THOUSAND[GENDERS.index(gender)])),
+        many_thousands(thousands),
+        _below_thousand_col(units, gender),
     )
     return F.when(n == 0, F.lit("μηδέν")).when(n.isNotNull(), parts)
 

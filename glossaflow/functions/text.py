@@ -7,6 +7,7 @@ Java's bare \\w, \\s, \\d and \\b are avoided: ``WORD`` is the class of letters,
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ GREEK_CODES = ("el", "ell", "gre", "greek")
 BOUNDARY = r"(?<=[.!?。!?।॥])[" + SPACE + r"]+|(?<=[。!?।॥])(?=[^" + SPACE + "])"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Binds a value, so that an expression that uses it many times holds it once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, where ./- join their neighbours; null for null."""
     return F.size(F.regexp_extract_all(text, F.lit(rf"([{WORD}]+(?:[./-][{WORD}]+)*)"), F.lit(1))).cast("bigint")

@@ -8,7 +8,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glossaflow.functions.text import BOUNDARY, candidate_id, digest, has_decimal_digit, sentence_split, strip_edges, word_count
 
@@ -102,9 +101,8 @@ def chunks(texts: DataFrame, *, by_sentence: bool = True, boundary: str = BOUNDA
 def judged_candidates(pieces: DataFrame, order: list[str], *, min_chars: int = 25, max_chars: int = 300, min_words: int = 0, max_words: int = 0, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Adds ``words`` and ``reason``: why a chunk is rejected (first rule that fires), null for those kept.
 
-    A duplicate is any but the first, in ``order``, of the chunks that pass the other rules. Its window is partitioned by
-    the digest of the text and holds positions only; a chunk that recurs in a third of all rows is settled by a map-side
-    combined minimum instead of a window, so no task holds its copies.
+    A duplicate is any but the first, in ``order``, of the chunks that pass the other rules. The first is a map-side
+    combined minimum per digest, not a window, so no task holds the copies of a chunk that recurs in a third of all rows.
     """
     words = word_count(F.col("chunk"))
     size = F.char_length("chunk")
@@ -120,12 +118,6 @@ def judged_candidates(pieces: DataFrame, order: list[str], *, min_chars: int = 2
     return joined.withColumn("reason", F.coalesce(F.col("_early"), F.when(repeated, "duplicate_text"))).drop("_early", "_key", "_at", "_first")
 
 
-def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-
-
 def candidates(kept: DataFrame, edition: str) -> DataFrame:
     """Candidate rows of kept chunks (``page_id, revision_id, chunk, words``) with their stable ids."""
     text = F.col("chunk")
@@ -148,5 +140,6 @@ def page_reasons(pages: DataFrame) -> DataFrame:
     """
     early = F.when(F.col("page_id").isNull(), "missing_or_invalid").when(F.col("namespace") != 0, "not_an_article").when(F.coalesce("disambiguation", F.lit(False)), "disambiguation")
     ruled = pages.withColumn("_early", early)
-    rank = F.row_number().over(Window.partitionBy("page_id", F.col("_early").isNull()).orderBy("pos"))
-    return ruled.withColumn("reason", F.coalesce("_early", F.when(rank > 1, "duplicate_page"))).drop("_early")
+    first = ruled.filter("_early is null").groupBy("page_id").agg(F.min("pos").alias("_first"))
+    joined = ruled.join(first, "page_id", "left")
+    return joined.withColumn("reason", F.coalesce("_early", F.when(F.col("pos") > F.col("_first"), "duplicate_page"))).drop("_early", "_first")

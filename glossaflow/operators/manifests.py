@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossaflow.operators.ranking import running_index
 from glossaflow.functions.text import collapse_spaces, fallback, path_of, safe_id, word_count
 
 #: A registry side is broadcast up to so many rows; beyond, the join shuffles.
@@ -150,8 +151,7 @@ def transcription_manifest(synthesis: DataFrame, asr: dict, transcript_dir: str)
 
 def handoff_index(manifest: DataFrame, order: Sequence[str] = ("utterance_id",)) -> DataFrame:
     """Clips of every system numbered from 1, with the one-line text and the name of the wave file that comes back."""
-    index = F.row_number().over(Window.partitionBy("tts_system_id").orderBy(*order))
-    numbered = manifest.withColumn("handoff_index", index)
+    numbered = running_index(manifest, ["tts_system_id"], order, "handoff_index")
     line = collapse_spaces(F.col("synthesis_text"))
     return numbered.select("tts_system_id", "handoff_index", "utterance_id", line.alias("handoff_text"), (line != F.col("synthesis_text")).alias("text_changed"), F.format_string("%03d_ft.wav", "handoff_index").alias("returned_wav"), "audio_path")
 

@@ -29,6 +29,8 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     sizes = numbered.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    conditions = [numbered[c].eqNullSafe(offsets[c]) for c in ("_pid", *keys)]
-    joined = numbered.join(offsets, conditions, "left")
-    return joined.select(*[numbered[c] for c in df.columns], (F.col("_own") + F.col("_offset")).alias(name))
+    own_keys = ["_pid", *keys]
+    renamed = offsets.select("_offset", *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(own_keys)])
+    met = [F.col(c).eqNullSafe(F.col(f"_o_{i}")) for i, c in enumerate(own_keys)]
+    joined = numbered.join(renamed, met, "left")
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_own") + F.col("_offset")).alias(name))

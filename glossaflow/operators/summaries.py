@@ -103,6 +103,7 @@ def python_rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """The row of each key with the latest ``at``: one shuffle, map-side combined, no window."""
-    packed = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col(at)).alias("_row"))
+    """The row of each key with the latest ``at`` (nulls first): one shuffle, map-side combined, no window."""
+    when = F.coalesce(F.col(at), F.lit("0001-01-01").cast(df.schema[at].dataType))
+    packed = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), when).alias("_row"))
     return packed.select("_row.*")

@@ -25,9 +25,9 @@ def orthographic_rates(df: DataFrame, reference: str = "reference", hypothesis:
 
 def policy_rates(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", language: str | None = "language") -> DataFrame:
     """Adds ``wer, cer`` of the scoring forms of both sides."""
-    filled = df.withColumns({"_pr": F.coalesce(reference, F.lit("")), "_ph": F.coalesce(hypothesis, F.lit(""))})
-    formed = scoring_form(scoring_form(filled, "_pr", "_r", language), "_ph", "_h", language)
-    return formed.withColumns({"wer": word_rate(F.col("_r"), F.col("_h")), "cer": char_rate(F.col("_r"), F.col("_h"))}).drop("_r", "_h", "_pr", "_ph")
+    lang = F.col(language) if language else None
+    formed = df.withColumns({"_r": scoring_form(F.coalesce(reference, F.lit("")), lang), "_h": scoring_form(F.coalesce(hypothesis, F.lit("")), lang)})
+    return formed.withColumns({"wer": word_rate(F.col("_r"), F.col("_h")), "cer": char_rate(F.col("_r"), F.col("_h"))}).drop("_r", "_h")
 
 
 def error_rates(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", language: str | None = "language") -> DataFrame:
