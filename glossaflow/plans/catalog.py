@@ -61,8 +61,8 @@ def _sentences(spark: SparkSession, sf: str) -> DataFrame:
 # Pieces of SQL shared by the counterparts.
 _W = r"\p{L}\p{N}_"
 _WORDS = lambda c: f"CAST(len(regexp_extract_all({c}, '[{_W}]+(?:[./-][{_W}]+)*')) AS BIGINT)"
-#: DuckDB lowers a final capital sigma to σ, so it is given its final form first.
-_LOW = lambda c: f"regexp_replace(lower(regexp_replace({c}, '(\\p{{L}})Σ(\\P{{L}}|$)', '\\1ς\\2', 'g')), '[^{_W}]+', ' ', 'g')"
+#: DuckDB lowers a final capital sigma to σ, so it is given its final form first; .:'’· beside it are passed over.
+_LOW = lambda c: f"regexp_replace(lower(regexp_replace({c}, '(\\p{{L}}[.:''’·]*)Σ([.:''’·]*)([^\\p{{L}}.:''’·]|$)', '\\1ς\\2\\3', 'g')), '[^{_W}]+', ' ', 'g')"
 _ORTHO = lambda c: f"trim({_LOW(c)})"
 _MEAN = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(28, 12))) AS DOUBLE) / count({c})"
 _SAFE = lambda c: f"trim(regexp_replace({c}, '[^A-Za-z0-9_.-]+', '_', 'g'), '_')"
@@ -357,7 +357,7 @@ def judge_scores(spark, sf):
     return rows.select("event_id", F.col("j.mos_overall").alias("mos_overall"), F.col("j.mos")["k"].alias("k"), F.col("j.parse_ok").alias("parse_ok"))
 
 
-@register(f"WITH {_LATEST} SELECT utterance_id, asr_id, coalesce(hypothesis, trim(reference), '') AS transcript FROM latest")
+@register(f"WITH {_LATEST} SELECT utterance_id, asr_id, coalesce(hypothesis, regexp_replace(reference, '^[\\s\\x{{85}}\\p{{Z}}]+|[\\s\\x{{85}}\\p{{Z}}]+$', '', 'g'), '') AS transcript FROM latest")
 def transcript_texts(spark, sf):
     segments = F.array(F.struct(F.col("reference").alias("text")))
     return _scores(spark, sf).select("utterance_id", "asr_id", answers.transcript_text(F.col("hypothesis"), segments).alias("transcript"))
