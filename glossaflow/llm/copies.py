@@ -18,6 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.functions.text import let
+
 #: Bytes of the prefixes at each level; doubling bounds the levels by the logarithm of the longest key.
 FIRST_DEPTH, LAST_DEPTH = 4, 1 << 30
 #: A bucket of fewer bytes is never split.
@@ -57,9 +59,11 @@ def canonical(text: Column) -> Column:
     """Canonical form of a record: white space, case (σ and ς alike) and marks removed, labelled fields sorted.
 
     A mark between two digits stays, as do accents and word order. Null stays null; a text of marks only becomes ''.
+    Fields are looked for only in texts with a colon.
     """
-    strong, weak = _fields(text, _STRONG), _fields(text, _WEAK)
-    return F.when(_all_labelled(strong), _field_key(strong)).when(_all_labelled(weak), _field_key(weak)).otherwise(_bare(text))
+    weak = lambda t: let(_fields(t, _WEAK), lambda parts: F.when(_all_labelled(parts), _field_key(parts)))
+    strong = lambda t: let(_fields(t, _STRONG), lambda parts: F.when(_all_labelled(parts), _field_key(parts)))
+    return F.coalesce(F.when(text.contains(":"), F.coalesce(strong(text), weak(text))), _bare(text))
 
 
 class CountingTrie:
@@ -184,7 +188,8 @@ def records(df: DataFrame, id_col: str, text_col: str, order_col: str | None) ->
     rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), order.alias("at"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     latest = rows.groupBy("id").agg(F.max(F.struct("at", "text"))["text"].alias("text"))
-    keyed = latest.select("id", canonical(F.col("text")).alias("k")).filter(F.col("k") != "")
+    # Exploded and not filtered, as a filter would be pushed down and compute the form a second time.
+    keyed = latest.select("id", F.explode(F.filter(F.array(canonical(F.col("text"))), lambda k: k != "")).alias("k"))
     return keyed.select("id", F.encode("k", "UTF-8").alias("key"), F.md5(F.encode("k", "UTF-8")).alias("digest"))
 
 
