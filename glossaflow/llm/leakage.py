@@ -42,12 +42,15 @@ _WORDS = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
 
 
+#: Combining marks of the scripts in use.
+_COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+
+
 def plain_words(text: str) -> list[str]:
     """Words without case, accents, marks, invisible characters and look-alikes."""
     if not text.isascii():
-        text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
-        text = "".join(ch for ch in text if not unicodedata.combining(ch)) if not text.isascii() else text
-    return [w.translate(_ALIKE) for w in _WORDS.findall(text.lower().replace("ς", "σ").replace("΄", ""))]
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text.replace("΄", ""))))
+    return _WORDS.findall(text.lower().replace("ς", "σ").translate(_ALIKE))
 
 
 def weight(word: str) -> int:
@@ -84,14 +87,18 @@ class Votes:
         return self.rows[out]
 
 
-def fingerprints(votes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every window of ``size`` words, as uint64."""
-    if len(votes) < size:
-        return np.empty(0, np.uint64)
+def running_sums(votes: np.ndarray) -> np.ndarray:
+    """Votes summed from the start; the difference of two rows is the vote of the window between them."""
     sums = np.zeros((len(votes) + 1, 64), np.int32)
     np.cumsum(votes, axis=0, out=sums[1:])
-    bits = (sums[size:] - sums[:-size]) > 0
-    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    return sums
+
+
+def fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of every window of ``size`` words, as uint64."""
+    if len(sums) <= size:
+        return np.empty(0, np.uint64)
+    return np.packbits(sums[size:] > sums[:-size], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 _BLOCKS = RADIUS + 1
@@ -196,13 +203,43 @@ def verify(item: list[str], document: list[str], hits: list[int], size: int) ->
     return leaked, similar, run
 
 
+def _stretches(texts: list[list[str]]) -> Iterator[list[int]]:
+    """Documents in runs of some ``STRETCH`` words, which are fingerprinted together; a longer one stands alone."""
+    run, held = [], 0
+    for d, words in enumerate(texts):
+        if run and held + len(words) > STRETCH:
+            yield run
+            run, held = [], 0
+        run.append(d)
+        held += len(words)
+    if run:
+        yield run
+
+
+def _hits(docs: list[int], texts: list[list[str]], votes: Votes, index: dict[int, MultiIndex], overlap: int) -> dict[tuple[int, int], set[int]]:
+    """Window starts of each document within the radius of a window of each item, by (document, item)."""
+    found: dict[tuple[int, int], set[int]] = {}
+    ends = np.cumsum([len(texts[d]) for d in docs])
+    flat = texts[docs[0]] if len(docs) == 1 else [w for d in docs for w in texts[d]]
+    for start in range(0, max(1, len(flat) - overlap + 1), STRETCH):
+        sums = running_sums(votes.of(flat[start : start + STRETCH + overlap - 1]))
+        for size, multi in index.items():
+            at, items = multi.within(fingerprints(sums, size))
+            at = at + start
+            inside = np.searchsorted(ends, at, side="right")
+            for a, n, k in zip(at.tolist(), inside.tolist(), items.tolist()):
+                if a + size <= ends[n]:  # a window across two documents is none
+                    found.setdefault((docs[n], k), set()).add(a - int(ends[n] - len(texts[docs[n]])))
+    return found
+
+
 def _finder(items: list[tuple[int, list[str]]]):
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         votes = Votes()
         by_size: dict[int, tuple[list, list]] = {}
         for k, (_, ws) in enumerate(items):
             size = window_size(len(ws))
-            prints = fingerprints(votes.of(ws), size)
+            prints = fingerprints(running_sums(votes.of(ws)), size)
             own = by_size.setdefault(size, ([], []))
             own[0].append(prints)
             own[1].append(np.full(len(prints), k))
@@ -210,20 +247,13 @@ def _finder(items: list[tuple[int, list[str]]]):
         overlap = max(index, default=1)
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                words = plain_words(text)
-                hits: dict[int, set[int]] = {}
-                for start in range(0, max(1, len(words) - overlap + 1), STRETCH):
-                    cast = votes.of(words[start : start + STRETCH + overlap - 1])
-                    for size, mi in index.items():
-                        at, found = mi.within(fingerprints(cast, size))
-                        for a, k in zip(at.tolist(), found.tolist()):
-                            hits.setdefault(k, set()).add(start + a)
-                for k, at in hits.items():
+            ids, texts = frame["doc_id"].tolist(), [plain_words(t) for t in frame["text"]]
+            for docs in _stretches(texts):
+                for (d, k), at in _hits(docs, texts, votes, index, overlap).items():
                     item_id, ws = items[k]
-                    leaked, similar, run = verify(ws, words, list(at), window_size(len(ws)))
+                    leaked, similar, run = verify(ws, texts[d], list(at), window_size(len(ws)))
                     if leaked:
-                        rows.append((doc_id, item_id, similar, run))
+                        rows.append((ids[d], item_id, similar, run))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "longest_run"])
 
     return find
