@@ -86,10 +86,11 @@ def waves(files: DataFrame) -> DataFrame:
 
 def issues(duration: Column, peak: Column, rate: Column, expected_rate: Column, *, shortest: float = SHORTEST, longest: float = LONGEST, silence: float = SILENCE) -> Column:
     """The checks that fail, in fixed order; a null measurement is not judged."""
+    level = F.when(peak < silence, F.format_string("near-silent (peak %.4f)", peak)).when(peak >= FULL_SCALE, F.lit("possible clipping (peak at full scale)"))
+    rates = F.concat(F.lit("sample rate "), rate.cast("string"), F.lit(" != configured "), expected_rate.cast("string"))
     return F.array_compact(F.array(
-        F.when(duration < shortest, F.lit("too_short")), F.when(duration > longest, F.lit("too_long")),
-        F.when(peak < silence, F.lit("near_silent")), F.when(peak >= FULL_SCALE, F.lit("clipped")),
-        F.when(rate != expected_rate, F.lit("sample_rate_mismatch")),
+        F.when(duration < shortest, F.format_string("too short (%.2fs)", duration)), F.when(duration > longest, F.format_string("too long (%.2fs)", duration)),
+        level, F.when((expected_rate > 0) & (rate != expected_rate), rates),
     ))
 
 
@@ -97,8 +98,10 @@ def quality(manifest: DataFrame, measured: DataFrame, **limits: float) -> DataFr
     """The manifest's clips with their measurements and issues; a clip without a file has the one issue 'missing'."""
     m = measured.withColumnRenamed("path", "audio_path").withColumn("_there", F.lit(True))
     joined = manifest.join(m, "audio_path", "left")
-    # Measurements of float files are judged as reported: rounded to four places.
-    shown = lambda c: F.when(F.col("is_float"), F.round(c, 4)).otherwise(F.col(c))
-    judged = issues(shown("duration_s"), shown("peak"), F.col("sample_rate"), F.col("metadata.sample_rate_hz"), **limits)
-    unreadable = F.when(F.col("error").isNotNull(), F.array(F.lit("unreadable"))).when(~F.col("finite"), F.concat(judged, F.array(F.lit("non_finite")))).otherwise(judged)
-    return joined.withColumn("issues", F.when(F.col("_there").isNull(), F.array(F.lit("missing"))).otherwise(unreadable)).drop("_there")
+    # Float files are judged as reported (seconds to three places, peaks to four), PCM files as measured.
+    duration = F.when(F.col("is_float"), F.round("duration_s", 3)).otherwise(F.col("duration_s"))
+    peak = F.when(F.col("is_float"), F.round("peak", 4)).otherwise(F.col("peak"))
+    judged = issues(duration, peak, F.col("sample_rate"), F.col("metadata.sample_rate_hz"), **limits)
+    odd = F.when(~F.col("finite"), F.concat(F.array(F.lit("contains non-finite samples")), judged)).otherwise(judged)
+    found = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("unreadable: "), "error"))).otherwise(odd)
+    return joined.withColumn("issues", F.when(F.col("_there").isNull(), F.array(F.lit("missing"))).otherwise(found)).drop("_there")

@@ -19,49 +19,57 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 
 
 class _Prose(HTMLParser):
-    """Paragraph texts of a page; ``done`` holds (text, kept), where spoiled paragraphs are not kept."""
+    """Paragraph texts of a page; ``done`` holds (text, kept), where spoiled paragraphs are not kept.
+
+    Open elements are a list of names; ``_silent`` is the place of the outermost one whose contents are no prose.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.done: list[tuple[str, bool]] = []
-        self._open: list[tuple[str, bool]] = []
-        self._text: list[str] | None = None
-        self._spoiled = False
-
-    @property
-    def _muted(self) -> bool:
-        return bool(self._open) and self._open[-1][1]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        classes = set((dict(attrs).get("class") or "").split())
-        if self._text is not None and not self._muted:
-            self._spoiled |= tag in SPOILING and "reference" not in classes
-            if tag == "br":
-                self._text.append(" ")
-        mute = self._muted or tag in BLOCKED or bool(classes & BLOCKED_CLASSES)
-        if tag == "p" and not mute:
-            self._text, self._spoiled = [], False  # an unclosed paragraph before it is lost
-        if tag not in EMPTY:
-            self._open.append((tag, mute))
+        self._path: list[str] = []
+        self._silent: int | None = None
+        self._pieces: list[str] | None = None
+        self._clean = True
+
+    def _reading(self) -> bool:
+        return self._pieces is not None and self._silent is None
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
+    def handle_data(self, data: str) -> None:
+        if self._reading():
+            self._pieces.append(data)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        classes = {c for name, value in attrs if name == "class" and value for c in value.split()}
+        if self._reading():
+            self._clean &= tag not in SPOILING or "reference" in classes
+            if tag == "br":
+                self._pieces.append(" ")
+        silences = tag in BLOCKED or not BLOCKED_CLASSES.isdisjoint(classes)
+        if tag == "p" and self._silent is None and not silences:
+            self._pieces, self._clean = [], True  # a paragraph left open before it is lost
+        if tag in EMPTY:
+            return
+        if silences and self._silent is None:
+            self._silent = len(self._path)
+        self._path.append(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in EMPTY:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and self._text is not None:
-            text = " ".join("".join(self._text).split())
-            if text or self._spoiled:
-                self.done.append((text, not self._spoiled))
-            self._text = None
-        depth = next((i for i in reversed(range(len(self._open))) if self._open[i][0] == tag), None)
-        if depth is not None:
-            del self._open[depth:]
-
-    def handle_data(self, data: str) -> None:
-        if self._text is not None and not self._muted:
-            self._text.append(data)
+        if tag == "p" and self._pieces is not None:
+            text = " ".join("".join(self._pieces).split())
+            self._pieces = None
+            if text or not self._clean:
+                self.done.append((text, self._clean))
+        if tag in self._path:
+            while self._path.pop() != tag:
+                pass
+            if self._silent is not None and self._silent >= len(self._path):
+                self._silent = None
 
 
 def page_paragraphs(html: str) -> list[tuple[str, bool]]:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossaflow.operators.ranking import running_index
 from glossaflow.functions.text import collapse_spaces, fallback, path_of, safe_id, word_count
+from glossaflow.operators.ranking import running_index
 
 #: A registry side is broadcast up to so many rows; beyond, the join shuffles.
 REGISTRY_ROWS = 100_000
@@ -118,15 +118,15 @@ def synthesis_manifest(variants: DataFrame, systems: DataFrame, audio_dir: str)
         word_count(spoken).cast("int").alias("synthesis_token_count"), "source_url",
     )
     rows = clips.crossJoin(registry)
-    parts = [safe_id(F.col(c)) for c in ("tts_system_id", "preprocessing_method", "dataset_id", "sentence_id")]
-    utterance = F.concat_ws("__", *[safe_id(F.col(c)) for c in ("dataset_id", "sentence_id", "preprocessing_method", "tts_system_id")])
+    parts = [F.col(c) for c in ("tts_system_id", "preprocessing_method", "dataset_id", "sentence_id")]
+    utterance = safe_id(F.concat_ws("_", "dataset_id", "sentence_id", "preprocessing_method", "tts_system_id"))
     return rows.select(utterance.alias("utterance_id"), *clips.columns, "tts_system_id", "tts_family", "tts_display_name", F.concat(path_of(audio_dir, *parts), F.lit(".wav")).alias("audio_path"), "metadata")
 
 
 def asr_command(audio: Column, transcript_dir: Column, language: Column, asr: dict) -> Column:
     """The command line of one transcription job."""
     base = ["--model", str(asr["model"]), "--language", None, "--task", str(asr.get("task", "transcribe")), "--output_format", str(asr.get("output_format", "json")), "--output_dir", None, "--device", str(asr.get("device", "cuda")), "--compute_type", str(asr.get("compute_type", "float16")), "--batch_size", str(asr.get("batch_size", 16))]
-    filled = {4 - 1: language, 9: transcript_dir}
+    filled = {3: language, 9: transcript_dir}
     words = [F.lit("whisperx"), audio, *[filled.get(i, F.lit(w)) for i, w in enumerate(base)]]
     if not asr.get("align", True):
         words.append(F.lit("--no_align"))

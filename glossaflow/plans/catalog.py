@@ -195,8 +195,8 @@ def audio_paths(spark, sf):
 
 # --- manifests ----------------------------------------------------------------------------------------------------------
 _MANIFEST = f"""WITH v AS (SELECT *, coalesce(nullif(original_text, ''), text) AS source_text, coalesce(nullif(normalized_text, ''), text) AS synthesis_text FROM dataset_05_punctuation QUALIFY row_number() OVER (PARTITION BY id, method ORDER BY ingested_at DESC NULLS LAST) = 1)
-SELECT {_SAFE('v.dataset_id')} || '__' || {_SAFE('v.id')} || '__' || {_SAFE('v.method')} || '__' || {_SAFE('s.id')} AS utterance_id, v.source_text, v.synthesis_text, CAST({_WORDS('source_text')} AS INTEGER) AS source_token_count, CAST({_WORDS('synthesis_text')} AS INTEGER) AS synthesis_token_count,
-  s.id AS tts_system_id, s.voice, 'audio/' || {_SAFE('s.id')} || '/' || {_SAFE('v.method')} || '/' || {_SAFE('v.dataset_id')} || '/' || {_SAFE('v.id')} || '.wav' AS audio_path
+SELECT {_SAFE("v.dataset_id || '_' || v.id || '_' || v.method || '_' || s.id")} AS utterance_id, v.source_text, v.synthesis_text, CAST({_WORDS('source_text')} AS INTEGER) AS source_token_count, CAST({_WORDS('synthesis_text')} AS INTEGER) AS synthesis_token_count,
+  s.id AS tts_system_id, s.voice, 'audio/' || s.id || '/' || v.method || '/' || v.dataset_id || '/' || v.id || '.wav' AS audio_path
 FROM v CROSS JOIN systems s WHERE coalesce(s.enabled, true)"""
 
 
@@ -409,7 +409,7 @@ def speaker_similarity(spark, sf):
 
 
 _CLIP_SQL = "CAST(source_token_count AS DOUBLE) / 2 AS duration_s, CASE WHEN synthesis_token_count <> source_token_count THEN 0.5 ELSE 1.0 END AS peak, CASE WHEN metadata.voice IS NULL THEN 16000 ELSE metadata.sample_rate_hz END AS sample_rate"
-_ISSUES = "list_filter([CASE WHEN duration_s < 0.3 THEN 'too_short' END, CASE WHEN duration_s > 12.0 THEN 'too_long' END, CASE WHEN peak < 0.01 THEN 'near_silent' END, CASE WHEN peak >= 0.999 THEN 'clipped' END, CASE WHEN sample_rate <> metadata.sample_rate_hz THEN 'sample_rate_mismatch' END], lambda v: v IS NOT NULL)"
+_ISSUES = "list_filter([CASE WHEN duration_s < 0.3 THEN printf('too short (%.2fs)', duration_s) END, CASE WHEN duration_s > 12.0 THEN printf('too long (%.2fs)', duration_s) END, CASE WHEN peak < 0.01 THEN printf('near-silent (peak %.4f)', peak) WHEN peak >= 0.999 THEN 'possible clipping (peak at full scale)' END, CASE WHEN sample_rate <> metadata.sample_rate_hz THEN 'sample rate ' || sample_rate || ' != configured ' || metadata.sample_rate_hz END], lambda v: v IS NOT NULL)"
 
 
 def _measured(spark, sf) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "6g") -> SparkSession:
@@ -21,20 +18,3 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "6g") ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; only where none is named, as in tests, a fresh one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    where = named or "file://" + tempfile.mkdtemp(prefix=f"glossaflow-{os.getpid()}-")
-    spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -16,6 +16,11 @@ DATASET = f"dataset_id string, scenario string, language string, total_sentences
 SYNTHESIS = "utterance_id string, dataset_id string, dataset_file string, scenario string, sentence_id string, language string, preprocessing_method string, tts_system_id string, tts_family string, tts_display_name string, source_text string, synthesis_text string, source_token_count int, synthesis_token_count int, source_url string, audio_path string, metadata struct<model_ref:string,voice:string,sample_rate_hz:int>"
 
 
+def plain_path(path):
+    """A file path without its scheme, percent-decoded, so that listings and manifests meet."""
+    return F.try_url_decode(F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), r"\\+", "%2B"))
+
+
 def json_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, value``: whole texts of the JSON files of a folder, not of its subfolders; sort by path for their order."""
     files = spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)

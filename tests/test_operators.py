@@ -42,7 +42,7 @@ def test_manifests(spark):
     variants = spark.createDataFrame([("d", "d.json", "s", "1", "el", "raw", "ένα", "", None, None), ("d", "d.json", "s", "1", "el", "regex", "ένα", "ένα δύο", "τρία  τέσσερα", None)], "dataset_id string, dataset_file string, scenario string, id string, language string, method string, text string, original_text string, normalized_text string, source_url string")
     systems = spark.createDataFrame([("a b", "f", "A", None, "m", "v", 1), ("c", "f", "C", False, "m", None, 1)], "id string, family string, display_name string, enabled boolean, model_ref string, voice string, sample_rate_hz int")
     rows = {r.preprocessing_method: r for r in manifests.synthesis_manifest(variants, systems, "audio").collect()}
-    assert rows["raw"].source_text == "ένα" and rows["raw"].audio_path == "audio/a_b/raw/d/1.wav" and len(rows) == 2
+    assert rows["raw"].source_text == "ένα" and rows["raw"].audio_path == "audio/a b/raw/d/1.wav" and rows["raw"].utterance_id == "d_1_raw_a_b" and len(rows) == 2
     jobs = manifests.transcription_manifest(manifests.synthesis_manifest(variants, systems, "audio"), {"id": "x", "model": "m", "language": "en", "align": False}, "tr").collect()
     assert jobs[0].command[-1] == "--no_align" and jobs[0].transcript_path.startswith("tr/x/a b/")
     assert jobs[0].command[jobs[0].command.index("--language") + 1] == "el"
@@ -191,4 +191,4 @@ def test_waves(spark):
     assert rows["n"].finite is False and rows["e"].peak is None and rows["x"].error and rows["z"].error
     manifest = spark.createDataFrame([(p, (22050 if p == "p" else 16000,)) for p in ("f", "p", "c", "gone", "x")], "audio_path string, metadata struct<sample_rate_hz:int>")
     got = {r.audio_path: r.issues for r in audio.quality(manifest, audio.waves(spark.createDataFrame(files, "path string, content binary"))).collect()}
-    assert got == {"f": ["too_short"], "p": ["sample_rate_mismatch"], "c": ["clipped"], "gone": ["missing"], "x": ["unreadable"]}
+    assert got == {"f": ["too short (0.00s)"], "p": ["sample rate 16000 != configured 22050"], "c": ["possible clipping (peak at full scale)"], "gone": ["missing"], "x": ["unreadable: no RIFF/WAVE file"]}
