@@ -151,3 +151,10 @@ def page_reasons(pages: DataFrame) -> DataFrame:
     first = ruled.filter("_early is null").groupBy("page_id").agg(F.min("pos").alias("_first"))
     joined = ruled.join(first, "page_id", "left")
     return joined.withColumn("reason", F.coalesce("_early", F.when(F.col("pos") > F.col("_first"), "duplicate_page"))).drop("_early", "_first")
+
+
+def merged_titles(given: DataFrame, listed: DataFrame, most: int) -> DataFrame:
+    """``title``: given titles first, then listed ones (both ``pos, title``), each once, ``most`` of them in that order."""
+    both = given.select(F.lit(0).alias("source"), "pos", "title").unionByName(listed.select(F.lit(1).alias("source"), "pos", "title"))
+    first = both.groupBy("title").agg(F.min(F.struct("source", "pos")).alias("at"))
+    return first.orderBy("at").limit(most).select("title")

@@ -29,8 +29,29 @@ def write_variants(df: DataFrame, path: str) -> None:
 
 
 def write_handoff(index: DataFrame, path: str) -> None:
-    """One folder per system with its numbered one-line texts."""
-    index.select("tts_system_id", "handoff_index", "utterance_id", "handoff_text").repartition("tts_system_id").sortWithinPartitions("tts_system_id", "handoff_index").write.mode("errorifexists").partitionBy("tts_system_id").json(path)
+    """One folder per system with its numbered one-line texts, in files of consecutive numbers."""
+    index.select("tts_system_id", "handoff_index", "utterance_id", "handoff_text").repartitionByRange("tts_system_id", "handoff_index").sortWithinPartitions("tts_system_id", "handoff_index").write.mode("errorifexists").partitionBy("tts_system_id").json(path)
+
+
+def copy_returned(plan: DataFrame) -> dict[str, int]:
+    """Copies the existing sources of a copy plan (``source, target, exists``) on the executors; counts both kinds.
+
+    Sources and targets are paths that every executor sees.
+    """
+    import shutil
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, target in zip(frame["source"], frame["target"]):
+                Path(target).parent.mkdir(parents=True, exist_ok=True)
+                shutil.copyfile(source, target)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    copied = plan.filter("exists").select("source", "target").mapInPandas(copy, "n bigint").agg(F.sum("n")).first()[0] or 0
+    return {"copied": copied, "missing": plan.filter("not exists").count()}
 
 
 def write_inventory(files: DataFrame, path: str) -> None:

@@ -63,3 +63,23 @@ def test_stream_scores_what_arrives(spark, tmp_path):
         score_stream(spark, str(source), str(target), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(target)).collect()
     assert sorted(r.utterance_id for r in got) == ["u1", "u2"] and all(r.wer == 0.0 and r.wer_orthographic == 0.5 for r in got)
+
+
+def test_copies(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"x")
+    plan = spark.createDataFrame([(str(tmp_path / "a.wav"), str(tmp_path / "out" / "1.wav"), True), ("gone", "x", False)], "source string, target string, exists boolean")
+    assert sinks.copy_returned(plan) == {"copied": 1, "missing": 1} and (tmp_path / "out" / "1.wav").read_bytes() == b"x"
+
+
+def test_merged_titles(spark):
+    from glossaflow.operators.collect import merged_titles
+
+    given = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b")], "pos int, title string")
+    listed = spark.createDataFrame([(0, "c"), (1, "a"), (2, "d")], "pos int, title string")
+    assert [r.title for r in merged_titles(given, listed, 3).collect()] == ["b", "a", "c"]
+
+
+def test_handoff_folders(spark, tmp_path):
+    index = spark.createDataFrame([(s, i, f"{s}{i}", "κείμενο") for s in "ab" for i in range(1, 6)], "tts_system_id string, handoff_index int, utterance_id string, handoff_text string")
+    sinks.write_handoff(index, str(tmp_path / "h"))
+    assert spark.read.json(str(tmp_path / "h" / "tts_system_id=a")).count() == 5
