@@ -24,7 +24,7 @@ def cleaned_answer(text: Column) -> Column:
     """Without fence, label and quotes that wrap the whole answer; the pairs of quotes are tried in their order."""
     fence = r"(?s)^```[\p{L}\p{N}_-]*\n(.*?)\n?```[" + SPACE + "]*$"
     out = let(strip_edges(text), lambda x: F.when(F.regexp_like(x, F.lit(fence)), strip_edges(F.regexp_extract(x, fence, 1))).otherwise(x))
-    out = F.regexp_replace(out, rf"(?iu)^[{SPACE}]*(?:{'|'.join(LABELS)})[{SPACE}]*[::][{SPACE}]*", "")
+    out = F.regexp_replace(out, rf"(?iu)^[{SPACE}]*(?:{'|'.join(LABELS)})[{SPACE}]*[:\uff1a][{SPACE}]*", "")
     for opening, closing in QUOTES:
         out = _unquoted(out, opening, closing)
     return out

@@ -18,7 +18,7 @@ SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 #: Language codes that count as Greek.
 GREEK_CODES = ("el", "ell", "gre", "greek")
 #: Sentence boundaries: white space behind a final mark, or nothing behind an ideographic one.
-BOUNDARY = r"(?<=[.!?。!?।॥])[" + SPACE + r"]+|(?<=[。!?।॥])(?=[^" + SPACE + "])"
+BOUNDARY = r"(?<=[.!?。\uff01\uff1f।॥])[" + SPACE + r"]+|(?<=[。\uff01\uff1f।॥])(?=[^" + SPACE + "])"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -101,9 +101,12 @@ def tampered(pages: DataFrame) -> DataFrame:
 
 
 def chunks(texts: DataFrame, *, by_sentence: bool = True, boundary: str = BOUNDARY) -> DataFrame:
-    """Adds ``chunk_index, chunk``: the sentences of ``text``, or the whole text."""
+    """Adds ``chunk_index, chunk``: the sentences of ``text``, or the whole text.
+
+    The outer form of the generator keeps the optimizer from adding a size filter that would split every text again.
+    """
     pieces = sentence_split(F.col("text"), boundary) if by_sentence else F.filter(F.array(strip_edges(F.col("text"))), lambda s: s != "")
-    return texts.select("*", F.posexplode(pieces).alias("chunk_index", "chunk"))
+    return texts.select("*", F.posexplode_outer(pieces).alias("chunk_index", "chunk")).filter("chunk is not null")
 
 
 def judged_candidates(pieces: DataFrame, order: list[str], *, min_chars: int = 25, max_chars: int = 300, min_words: int = 0, max_words: int = 0, include: str | None = None, exclude: str | None = None) -> DataFrame:

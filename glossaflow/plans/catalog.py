@@ -369,7 +369,7 @@ _STRIP = lambda c: f"regexp_replace({c}, '^[{_S}]+|[{_S}]+$', '', 'g')"  # noqa:
 
 
 def _cleaned_sql() -> str:
-    out = f"a0 AS (SELECT *, {_STRIP('normalized_text')} AS x FROM rows), a1 AS (SELECT * REPLACE (CASE WHEN regexp_matches(x, '(?s)^```[{_W}-]*\\n(.*?)\\n?```[{_S}]*$') THEN {_STRIP(f"regexp_extract(x, '(?s)^```[{_W}-]*\\n(.*?)\\n?```[{_S}]*$', 1)")} ELSE x END AS x) FROM a0), a2 AS (SELECT * REPLACE (regexp_replace(x, '(?i)^[{_S}]*(?:{_LABELS})[{_S}]*[::][{_S}]*', '') AS x) FROM a1)"
+    out = f"a0 AS (SELECT *, {_STRIP('normalized_text')} AS x FROM rows), a1 AS (SELECT * REPLACE (CASE WHEN regexp_matches(x, '(?s)^```[{_W}-]*\\n(.*?)\\n?```[{_S}]*$') THEN {_STRIP(f"regexp_extract(x, '(?s)^```[{_W}-]*\\n(.*?)\\n?```[{_S}]*$', 1)")} ELSE x END AS x) FROM a0), a2 AS (SELECT * REPLACE (regexp_replace(x, '(?i)^[{_S}]*(?:{_LABELS})[{_S}]*[:\uff1a][{_S}]*', '') AS x) FROM a1)"
     for i, (o, c) in enumerate(answers.QUOTES, 3):
         o, c = o.replace("'", "''"), c.replace("'", "''")
         n = 2 if o == c else 1
@@ -441,7 +441,7 @@ def presence_counts(spark, sf):
 
 
 # --- candidate corpora --------------------------------------------------------------------------------------------------------
-_CHUNKS = f"""WITH pieces AS (SELECT doc_id, page_id, revision_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。!?।॥])[{_S}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP('s')}), lambda s: s <> '') AS cs FROM documents WHERE text IS NOT NULL),
+_CHUNKS = f"""WITH pieces AS (SELECT doc_id, page_id, revision_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。\uff01\uff1f।॥])[{_S}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_STRIP('s')}), lambda s: s <> '') AS cs FROM documents WHERE text IS NOT NULL),
 chunks AS (SELECT doc_id, page_id, revision_id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS chunk FROM pieces),
 early AS (SELECT *, {_WORDS('chunk')} AS words, CASE WHEN length(chunk) < 25 OR length(chunk) > 300 THEN 'character_length' WHEN {_WORDS('chunk')} < 4 OR {_WORDS('chunk')} > 20 THEN 'rough_word_length' WHEN regexp_matches(chunk, '[0-9]{{4}}') THEN 'exclude_pattern' END AS e FROM chunks),
 judged AS (SELECT *, coalesce(e, CASE WHEN row_number() OVER (PARTITION BY e, chunk ORDER BY doc_id, chunk_index) > 1 THEN 'duplicate_text' END) AS reason FROM early)"""

@@ -32,7 +32,7 @@ def test_identifiers(spark):
 
 
 def test_sentence_split(spark):
-    assert one(spark, "Α. Β! Γ; δ。ε。 ζ", text.sentence_split) == ["Α.", "Β!", "Γ; δ。", "ε。", "ζ"]
+    assert one(spark, "Α. Β! Γ; δ。ε。 ζ\uff01η", text.sentence_split) == ["Α.", "Β!", "Γ; δ。", "ε。", "ζ\uff01", "η"]
 
 
 def brute(a, b):
