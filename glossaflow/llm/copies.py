@@ -33,7 +33,7 @@ _MARK = r"[^\p{L}\p{M}\p{N}]"
 #: Runs of marks and white space that do not count: any run but one that stands directly between two digits.
 _DRESS = rf"(?U)[^\p{{L}}\p{{M}}\p{{N}}\s]*+\s{_MARK}*+|(?<!\p{{Nd}}|{_MARK}){_MARK}++|{_MARK}++(?!\p{{Nd}})"
 _FIELD = r"(?U)^[\W_]*\p{L}[\p{L}\p{M}\p{N}_.\-]*(?: [\p{L}\p{M}\p{N}_.\-]+){0,3}\s*:\s*[^\s:][^:]*$"
-_STRONG, _WEAK = r"[|;;/•·\n]+", r"[|;;/•·\n,]+"
+_STRONG, _WEAK = r"[|;\u037e\uff1b/•·\n]+", r"[|;\u037e\uff1b/•·\n,]+"
 
 
 def _bare(text: Column) -> Column:

@@ -59,7 +59,7 @@ def named_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, F.substring_index(F.regexp_replace(plain, "[-_. (].*$", ""), "-", 1)))
 
 
-_ENDS = re.compile(r"(?<=[.!?;;…。])[\"'»”)\]]*(?:\[[^\]\s]{1,3}\])?\s+|\s*\n\s*\n\s*|\s*(?:^|\n)\s*[•*\-#>]+\s+|\s*[•]\s*|(?<=[.!?;;…»\])])\s*\n\s*|\s*\[[….]+\]\s*")
+_ENDS = re.compile(r"(?<=[.!?;\u037e\uff01\uff1f…。])[\"'»”)\]]*(?:\[[^\]\s]{1,3}\])?\s+|\s*\n\s*\n\s*|\s*(?:^|\n)\s*[•*\-#>]+\s+|\s*[•]\s*|(?<=[.!?;\u037e\uff01\uff1f…»\])])\s*\n\s*|\s*\[[….]+\]\s*")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
