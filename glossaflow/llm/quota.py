@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossaflow.llm.sampling import unit_interval
+from glossaflow.operators.manifests import bounded
 
 #: Bins of the hash histogram; a signature of n rows ranks about n / HASH_BINS of them.
 HASH_BINS = 1 << 16
@@ -92,17 +93,21 @@ def signatures(rows: DataFrame, targets: DataFrame) -> DataFrame:
     rows: ``table_name, id, category`` in any number of rows per id. Null ids are left out; categories without a target
     count as none. Duplicates of an id add nothing.
     """
-    known = F.broadcast(targets.select("table_name", "category").distinct().withColumn("_known", F.lit(True)))
+    known = bounded(targets.select("table_name", "category").distinct()).withColumn("_known", F.lit(True))
     tagged = rows.filter("id is not null").join(known, ["table_name", "category"], "left")
     found = F.array_sort(F.collect_set(F.when(F.col("_known"), F.col("category"))))
     return tagged.groupBy("table_name", "id").agg(F.array_join(found, _SEP).alias("sig"))
 
 
 class QuotaPlan:
-    """The repaired plan of every table of ``targets``, its report and its sample."""
+    """The repaired plan of every table of ``targets``, its report and its sample.
+
+    Targets without a table, category, share or sample share take no part; a null ``min_rows`` is 0.
+    """
 
     def __init__(self, rows: DataFrame, targets: DataFrame, salt: str, seed: int = 7) -> None:
         self.spark, self.salt = rows.sparkSession, salt
+        targets = targets.dropna(subset=["table_name", "category", "target_share", "sample_share"]).fillna(0, ["min_rows"])
         self.sigs = signatures(rows, targets).persist(StorageLevel.DISK_ONLY)
         counts: dict[str, dict[tuple[str, ...], int]] = {}
         for t, sig, n in self.sigs.groupBy("table_name", "sig").count().collect():  # at most one row per set of targets seen
@@ -161,6 +166,6 @@ def category_rows(plain: DataFrame, morphological: DataFrame, targets: DataFrame
     flags = plain.select("id", flag(F.col("characteristics")["has_numbers"]).alias("n"), flag(F.col("characteristics")["has_acronyms"]).alias("a"))
     first = flags.select(F.lit("dataset_01_normal_text").alias("table_name"), "id", F.concat(F.lit("numbers="), "n", F.lit(",acronyms="), "a").alias("category"))
     names = targets.filter("table_name = 'dataset_12_morphological'").select(name_key(F.col("category")).alias("k"), "category").distinct()
-    subs = morphological.select("id", name_key(F.col("characteristics")["subcategory"]).alias("k")).join(F.broadcast(names), "k", "left")
+    subs = morphological.select("id", name_key(F.col("characteristics")["subcategory"]).alias("k")).join(bounded(names), "k", "left")
     second = subs.select(F.lit("dataset_12_morphological").alias("table_name"), "id", "category")
     return first.unionByName(second)

@@ -184,10 +184,11 @@ def test_swap_repair_reaches_the_best():
 def test_quota_plan(spark):
     rows = [("t", f"a{i}", "big") for i in range(300)] + [("t", f"b{i}", "small") for i in range(5)] + [("t", f"n{i}", None) for i in range(95)] + [("t", None, "big"), ("t", "a1", "big"), ("t", "x", "other")]
     df = spark.createDataFrame(rows, "table_name string, id string, category string")
-    targets = spark.createDataFrame([("t", "big", 0.5, 1, 0.1), ("t", "small", 0.2, 3, 0.1), ("t", "absent", 0.1, 1, 0.1), ("empty", "c", 0.5, 2, 0.1)], "table_name string, category string, target_share double, min_rows long, sample_share double")
+    targets = spark.createDataFrame([("t", "big", 0.5, 1, 0.1), ("t", "small", 0.2, 3, 0.1), ("t", "absent", 0.1, 1, 0.1), ("empty", "c", 0.5, 2, 0.1), (None, "big", 0.5, 1, 0.1), ("t", None, 0.5, 1, 0.1), ("t", "nulls", None, 1, 0.1), ("t", "free", 0.0, None, 0.1)], "table_name string, category string, target_share double, min_rows long, sample_share double")
     plan = quota.QuotaPlan(df, targets, "s")
     report = {(r.table_name, r.category): r for r in plan.report().collect()}
     assert not report["t", "small"].can_be_met and report["t", "small"].drawn == 5 and report["t", "big"].drawn == 20
+    assert len(report) == 5 and report["t", "free"].can_be_met
     assert not report["t", "absent"].can_be_met and not report["empty", "c"].can_be_met
     sample = plan.sample().collect()
     assert len(sample) == len({r.id for r in sample}) == 40
