@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import word_count
+from glossaflow.operators.manifests import bounded
 
 ISSUE = "path string, severity string, code string, message string, sentence_id string"
 TOP_FIELDS = ("dataset_id", "language", "scenario", "sentences", "source", "total_sentences")
@@ -109,9 +110,12 @@ def uncovered(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cartesian_gaps(df: DataFrame, dimensions: Sequence[Sequence[str]]) -> DataFrame:
-    """Combinations of the dimensions' distinct values that ``df`` lacks."""
+    """Combinations of the dimensions' distinct values that ``df`` lacks.
+
+    The combinations are the result's own yardstick, so they are made; dimensions of proven size are broadcast to it.
+    """
     parts = [df.select(*d).distinct() for d in dimensions]
-    wanted = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), parts)
+    wanted = reduce(lambda x, y: x.crossJoin(bounded(y)), parts)
     columns = [c for d in dimensions for c in d]
     return wanted.join(df.select(*columns).distinct(), columns, "left_anti")
 
