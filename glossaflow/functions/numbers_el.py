@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -168,6 +169,13 @@ def spoken_endings(piece: str, marks: str, before: str = "") -> list[list[str]]:
     return _number_endings(int(piece.replace(".", "")))
 
 
+def spoken_words(number: str, sign: str = "") -> set[str]:
+    """Words that may occur in the spoken form of a number, marks inside included, and of the sign behind it."""
+    parts = re.findall(r"\d+", number)
+    values = {int(p) for p in parts} | {int(d) for p in parts for d in p} | {int(p) for p in re.findall(r"\d+", number.replace(".", ""))}
+    return {w for v in values for ending in _number_endings(v) for w in ending} | {*SPOKEN_SIGNS.get(sign, ())}
+
+
 def _with_number(number: str, units: list[list[str]], link: list[str]) -> list[list[str]]:
     whole = number.replace(".", "")
     if not whole.isdigit():

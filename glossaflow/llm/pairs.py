@@ -7,20 +7,24 @@ Each pair is judged from its two texts alone, in Arrow batches next to the scan
 * greedy string tiling covers answer and original with common runs of words; what lies outside the tiles is new text;
 * a refusal grammar is matched against that new text only, so refusing words quoted from the original do not count;
 * script shares tell answers that are not in the expected script;
-* the end of the original must have a counterpart at the end of the answer, spelled out or not.
+* the end of the original must have a counterpart at the end of the answer, spelled out or not; where an earlier place of
+  the original ends alike, the two texts are aligned to tell at which of them the answer ends.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.functions.numbers_el import spoken_endings
+from glossaflow.functions.numbers_el import SPOKEN_ABBREVIATIONS, SPOKEN_SIGNS, spoken_endings, spoken_words
 
 # Closing marks by opening mark.
 _CLOSES = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‹": "›", "‘": "’"}
@@ -236,7 +240,9 @@ def needs_speaking(original: str) -> bool:
 _LAST = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]+)*|\d+(?:[.,:/]\d+)*)([^\w]*)$", re.U)
 
 
+_PIECES = re.compile(r"\d+(?:[.,:/]\d+)*(?![^\W_])|[^\W_]+(?:\.[^\W\d_]+)*")
 _NUMBER_BEFORE = re.compile(r"(?<![\w.,])(\d{1,3}(?:\.\d{3})*|\d+)\s*$")
+_ACRONYM = re.compile(r"[Α-ΩΆΈΉΊΌΎΏ]{2,}")
 
 
 def last_piece(text: str) -> tuple[str, str] | None:
@@ -250,6 +256,15 @@ ENDING = 64
 
 
 def complete(original: str, answer: str) -> bool:
+    """Whether the answer goes to the end of the original.
+
+    The original's last word or number has a whole counterpart at the end of the answer, and this is its counterpart: the
+    answer does not align better with the original up to an earlier place that ends alike.
+    """
+    return _end_said(original, answer) and not _ends_earlier(original, answer)
+
+
+def _end_said(original: str, answer: str) -> bool:
     """Whether the last word or number of the original has a whole counterpart at the end of the answer."""
     last, own = last_piece(original.strip(_EDGES)), words(answer)
     if last is None or not own:
@@ -264,11 +279,94 @@ def complete(original: str, answer: str) -> bool:
     for ending in spoken_endings(piece, marks, number.group(1) if number else ""):
         if said[-len(ending) :] == [_fold(w) for w in ending]:
             return True
-    if re.fullmatch(r"[Α-ΩΆΈΉΊΌΎΏ]{2,}", piece) and any(ch.islower() for ch in original):
+    if _ACRONYM.fullmatch(piece) and any(ch.islower() for ch in original):
         return _acronym_said(_fold(_bare(piece)), words(original), said)
     return False
 
 
+@lru_cache(maxsize=1 << 14)
+def _ways_to_say(piece: str, marks: str) -> tuple[frozenset[str], str]:
+    """Words that may stand for a piece of the original, and the initials of others that may."""
+    own = {_fold(w) for w in words(piece)}
+    if piece[:1].isdigit():
+        return frozenset(own | {_fold(w) for w in spoken_words(piece, marks.strip()[:1])}), ""
+    if "." in piece or piece.lower() in SPOKEN_ABBREVIATIONS or _ACRONYM.fullmatch(piece):
+        return frozenset(own | {_fold(w) for e in spoken_endings(piece, "") for w in e}), _fold(_bare(piece.replace(".", "")))
+    return frozenset(own), ""
+
+
+def _in_several(way: tuple[frozenset[str], str]) -> bool:
+    return len(way[0]) > 1 or way[1] != ""
+
+
+_SHORT_FORMS = re.compile(r"[Α-ΩΆΈΉΊΌΎΏ]{2,}|[^\W\d_]+(?:\.[^\W\d_]+)+")
+
+
+@lru_cache(maxsize=1)
+def _number_vocabulary() -> frozenset[str]:
+    """Words of which numbers, signs and listed abbreviations are spoken."""
+    values = (*range(101), *range(200, 1001, 100), 101, 2000, 10**6, 2 * 10**6, 10**9, 2 * 10**9)
+    other = {w for forms in (*SPOKEN_SIGNS.values(), *SPOKEN_ABBREVIATIONS.values()) for w in forms}
+    return frozenset(map(_fold, other.union(*[spoken_words(str(v)) for v in values])))
+
+
+def _ends_once(original: str, theirs: list[str], last: str) -> bool:
+    """Whether it is plain at once that the answer's last word speaks no place of the original but its end."""
+    if not theirs or theirs[-1] != last or theirs.count(last) > 1 or last[0].isdigit() or _fold(last) in _number_vocabulary():
+        return False
+    initial = _fold(last[0])
+    return not any(initial in _fold(m) for m in _SHORT_FORMS.findall(original))
+
+
+def _ends_earlier(original: str, answer: str) -> bool:
+    """Whether the answer aligns better with the original up to an earlier place than with the whole.
+
+    Places count that the answer's last word may speak. What the original holds behind such a place costs nothing there, but
+    one a word if the answer is held to go to the end.
+    """
+    own, theirs = words(answer), words(original)
+    if not own or _ends_once(original, theirs, own[-1]):
+        return False
+    said = [_fold(w) for w in own]
+    found = list(_PIECES.finditer(original))
+    ways = [_ways_to_say(m.group(), original[m.end() : m.end() + 3]) for m in found]
+    places = [i for i, (own, initials) in enumerate(ways[:-1]) if said[-1] in own or said[-1][0] in initials]
+    if not places:
+        return False
+    plain = Counter(w for way in ways if not _in_several(way) for w in way[0])
+    if not plain - Counter(said) and not any(map(_in_several, ways[places[0] + 1 : -1])):
+        return False
+    costs = _alignment(ways, said)
+    return min(costs[i + 1][0] for i in places) < costs[-1][1]
+
+
+def _alignment(ways: list[tuple[frozenset[str], str]], said: list[str]) -> list[tuple[float, float]]:
+    """Least costs of aligning the first 0, 1, ... pieces with the whole answer: if its last word speaks the last of them, and at all.
+
+    A word that speaks no piece costs one, as does a piece that is not spoken; one word may stand for another at the same cost.
+    """
+    places: dict[str, list[int]] = {}
+    starts: dict[str, list[int]] = {}
+    for j, w in enumerate(said):
+        places.setdefault(w, []).append(j)
+        starts.setdefault(w[0], []).append(j)
+    row = upwards = np.arange(len(said) + 1, dtype=np.float32)
+    out = [(np.inf, float(row[-1]))]
+    for way in ways:
+        step = np.ones(len(said), np.float32)
+        for j in (j for w in way[0] for j in places.get(w, ())):
+            step[j] = 0
+        for j in (j for ch in way[1] for j in starts.get(ch, ())):
+            step[j] = 0
+        begun = np.concatenate(([row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + step)))
+        reach = np.concatenate(([0], np.cumsum(step))) if _in_several(way) else upwards
+        new = reach + np.minimum.accumulate(begun - reach)
+        spoken = min(row[-2], new[-2] if _in_several(way) else np.inf) if step[-1] == 0 else np.inf
+        out.append((float(spoken), float(new[-1])))
+        row = new
+    return out
+
+
 def _acronym_said(letters: str, original: list[str], said: list[str]) -> bool:
     """Whether the end of the answer spells the acronym out behind the same word as in the original.
 

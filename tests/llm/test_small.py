@@ -45,6 +45,19 @@ def test_parser_and_tiles():
     assert sum(k for _, _, k in pairs.greedy_tiles(long, long)) == 30000
 
 
+REPEATED = "Η χορωδία διάβασε χάρτες και άλλα κείμενα, π.χ. παραμύθια έξω από το χωριό, καθώς πλησίαζε το τρένο των 12 και άλλα κείμενα, π.χ. παραμύθια."
+
+
+def test_stops_at_earlier_place_that_ends_alike():
+    whole = REPEATED.replace("π.χ.", "παραδείγματος χάρη").replace("12", "δώδεκα")
+    assert pairs.judge(REPEATED, whole)[0] is None
+    assert pairs.judge(REPEATED, whole[: whole.index("παραμύθια") + 9])[0] == "truncated"
+    assert pairs.judge("Σελίδα 12 από τις 12", "Σελίδα δώδεκα")[0] == "truncated" and pairs.judge("Σελίδα 12 από τις 12", "Σελίδα δώδεκα από τις δώδεκα")[0] is None
+    assert pairs.judge("Πλήρωσε 45 ευρώ για τα 5", "Πλήρωσε σαράντα πέντε")[0] == "truncated"
+    text = " ".join(f"λέξη{'αβγδεζηθικ'[i % 10]}{'αβγδεζηθικ'[i // 10 % 10]}" for i in range(4000)) + " στις 12 λέξηαα"
+    assert pairs.judge(text, text.replace("12", "δώδεκα"))[0] is None and pairs.judge(text, text[: text.index(" λέξηβα")])[0] == "truncated"
+
+
 def test_pairs_table(spark):
     schema = "dataset_id string, id string, original_text string, normalized_text string, normalization_warnings array<string>, ingested_at timestamp, defect string, row int"
     import datetime as dt
