@@ -4,8 +4,10 @@ Each pair is judged from its two texts alone, in Arrow batches next to the scan
 
 * ``parse_markup``, a pushdown parser, reads fences, brackets, quotations, lists and labels of the answer; it gives the bare
   answer and the constructs left open at its end, which speak for an answer that broke off;
-* greedy string tiling covers answer and original with common runs of words; what lies outside the tiles is new text;
-* a refusal grammar is matched against that new text only, so refusing words quoted from the original do not count;
+* a refusal grammar is matched against the lines of the answer; refusing words that stand there in the surroundings they have
+  in the original are quoted from it and do not count;
+* greedy string tiling covers answer and original with common runs of words; a line that opens with an apology but has no
+  refusing words counts if it lies outside the tiles for the greater part;
 * script shares tell answers that are not in the expected script;
 * the end of the original must have a counterpart at the end of the answer, spelled out or not; where an earlier place of
   the original ends alike, the two texts are aligned to tell at which of them the answer ends.
@@ -195,24 +197,80 @@ _OPENERS = re.compile(rf"^\W*(?:{_APOLOGY}|{_SELF})\b", re.I)
 _APOSTROPHES = str.maketrans("’‘ʼ`´", "'''''")
 
 
-def refuses(answer: str, original: str, tiles_original: list[str]) -> bool:
+_CLAUSE_MARKS = re.compile("[" + re.escape("".join([*_CLOSES, *_CLOSES.values()])) + "\";\u037e:.!?…·–—\n]")
+
+
+def refuses(answer: str, original: str) -> bool:
     """Whether the answer declines in words that it does not take over from the original.
 
-    A refusal counts where it opens a line of the answer: after nothing, an apology or a self-description.
+    A refusal counts where it opens a line of the answer: after nothing, an apology or a self-description. Its words are taken
+    over if they stand in the answer in the same surroundings as in the original, not merely somewhere in both.
     """
-    known = _bare(original.translate(_APOSTROPHES))
-    for line in re.split(r"[\n.!…]+", answer.translate(_APOSTROPHES)):
-        line = line.strip(_EDGES + "\"'«»“”*#>-")
-        if not line or _bare(line) in known:
+    text, mine, tiled = answer.translate(_APOSTROPHES), None, None
+    for part in re.finditer(r"[^\n.!…]+", text):
+        line = part.group().strip(_EDGES + "\"'«»“”*#>-")
+        opener = _OPENERS.match(line)
+        hits = [hit for hit in _REFUSAL.finditer(line) if opener or _near_start(line, hit)]
+        if not hits and (not opener or len(words(line)) > 12):
             continue
-        hit = _REFUSAL.search(line)
-        if hit and _bare(hit.group()) not in known and (_OPENERS.match(line) or _near_start(line, hit)):
+        if mine is None:
+            mine, source = [_fold(w) for w in words(text)], _Source(original.translate(_APOSTROPHES))
+        first = len(words(text[: part.start()]))
+        at = lambda end: first + len(words(line[:end]))  # noqa: B023, E731
+        if any(not source.lends(mine, at(hit.start()), at(hit.end())) for hit in hits):
             return True
-        if _OPENERS.match(line) and not (set(words(line)) & set(tiles_original)) and len(words(line)) <= 12:
+        if hits or source.lends(mine, first, at(opener.end())):
+            continue
+        tiled = tiled or {j + n for _, j, k in greedy_tiles(source.words, mine) for n in range(k)}
+        if 2 * sum(j in tiled for j in range(first, at(len(line)))) < len(words(line)):
             return True
     return False
 
 
+class _Source:
+    """The words of an original, which of them are spoken otherwise than written, and the clause each stands in."""
+
+    def __init__(self, text: str) -> None:
+        self.words, self.spoken, self.clause, end, clause = [], [], [], 0, 0
+        for m in _PIECES.finditer(text):
+            clause += bool(_CLAUSE_MARKS.search(text[end : m.start()]))
+            end = m.end()
+            own = [_fold(w) for w in words(m.group())]
+            spoken = _in_several(_ways_to_say(m.group(), text[end : end + 3])) or text[end : end + 3].strip()[:1] in SPOKEN_SIGNS
+            self.words += own
+            self.spoken += [spoken] * len(own)
+            self.clause += [clause] * len(own)
+
+    def lends(self, mine: list[str], start: int, end: int) -> bool:
+        """Whether the answer's words from start to end are a passage of the original, along with what stands around them.
+
+        The common run of words around them must go beyond their clause on either side, or to where both texts begin or end,
+        or to a word that is spoken otherwise than written.
+        """
+        size = end - start
+        return any(
+            self.words[i : i + size] == mine[start:end] and self._goes_on(mine, i, start, -1) and self._goes_on(mine, i + size - 1, end - 1, 1)
+            for i in range(len(self.words) - size + 1)
+        )
+
+    def _goes_on(self, mine: list[str], i: int, j: int, way: int) -> bool:
+        clause, greek = self.clause[i], bool(_GREEK_LETTERS.search(mine[j]))
+        while True:
+            i, j = i + way, j + way
+            mine_ends, ends = not 0 <= j < len(mine), not 0 <= i < len(self.words)
+            if mine_ends or ends:
+                # An answer may break off inside a passage, but not begin there.
+                return mine_ends and (ends or way > 0)
+            if self.words[i] == mine[j]:
+                if self.clause[i] != clause:
+                    return True
+                continue
+            # A word that is written otherwise, one that is broken off, or one that differs between equal ones.
+            if self.spoken[i] or (way > 0 and j + 1 == len(mine) and self.words[i].startswith(mine[j])) or (greek and not _GREEK_LETTERS.search(self.words[i])):
+                return True
+            return 0 <= i + way < len(self.words) and 0 <= j + way < len(mine) and self.words[i + way] == mine[j + way]
+
+
 def _near_start(line: str, hit: re.Match) -> bool:
     return len(words(line[: hit.start()])) <= 6
 
@@ -404,9 +462,7 @@ def judge(original: str | None, answer: str | None) -> tuple[str | None, str]:
         return "empty", still_open
     original = original or ""
     theirs = words(original)
-    tiles = greedy_tiles(theirs, mine)
-    covered = [w for i, _, k in tiles for w in theirs[i : i + k]]
-    if refuses(bare, original, covered):
+    if refuses(bare, original):
         return "refusal", still_open
     share, own = greek_share(bare), greek_share(original)
     if share is not None and share < 0.5 and (own is None or own >= 0.5 or share < own / 2):

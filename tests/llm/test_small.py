@@ -45,6 +45,25 @@ def test_parser_and_tiles():
     assert sum(k for _, _, k in pairs.greedy_tiles(long, long)) == 30000
 
 
+@pytest.mark.parametrize(
+    ("phrase", "refusal"),
+    [
+        ("«δεν μπορώ άλλο»", "Δεν μπορώ να επεξεργαστώ αυτό το κείμενο."), ("«λυπάμαι, δεν μπορώ απόψε»", "Λυπάμαι, δεν μπορώ να βοηθήσω."), ("«λυπάμαι, δεν μπορώ»", "Λυπάμαι, δεν μπορώ."),
+        ("«δεν μπορώ να απαντήσω»", "Συγγνώμη, αλλά δεν μπορώ να το κάνω"), ("«i cannot stay»", "This request cannot be completed."), ("«δεν επιτρέπεται να απαντήσω»", "Ως γλωσσικό μοντέλο, δεν επιτρέπεται να το αλλάξω"),
+    ],
+)
+def test_refusal_of_an_original_with_refusing_words(phrase, refusal):
+    original = f"Ο φύλακας είπε {phrase} στη σελ. 12, πριν φύγει από το email του σταθμού."
+    good = original.replace("σελ. 12", "σελίδα δώδεκα")
+    assert pairs.judge(original, refusal)[0] == pairs.judge(original, f"{refusal}\n{original}")[0] == "refusal"
+    for sound in (good, good.upper(), good.replace("«", "").replace("»", ""), good.replace("email", "ιμέιλ")):
+        assert pairs.judge(original, sound)[0] is None
+    assert pairs.judge(original, good[: good.index("»") - 1])[0] == "truncated"
+    short = f"{phrase} είπε στις 12."
+    assert pairs.judge(short, short.replace("12", "δώδεκα"))[0] is None
+    assert pairs.judge(short, f"{refusal} Ευχαριστώ.")[0] == "refusal"
+
+
 REPEATED = "Η χορωδία διάβασε χάρτες και άλλα κείμενα, π.χ. παραμύθια έξω από το χωριό, καθώς πλησίαζε το τρένο των 12 και άλλα κείμενα, π.χ. παραμύθια."
 
 
