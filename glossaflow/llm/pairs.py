@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.functions.numbers_el import SPOKEN_ABBREVIATIONS, SPOKEN_SIGNS, spoken_endings, spoken_words
+from glossaflow.functions.numbers_el import SPOKEN_ABBREVIATIONS, SPOKEN_SIGNS, clock_endings, is_whole, number_parts, spoken_endings, spoken_words
 
 # Closing marks by opening mark.
 _CLOSES = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‹": "›", "‘": "’"}
@@ -334,14 +334,47 @@ def _end_said(original: str, answer: str) -> bool:
         sign = next((m for m in marks if m in "%€$£‰°"), None)
         return sign is None or sign in answer.rstrip()[-6:]
     number = _NUMBER_BEFORE.search(original.rstrip()[: -len(piece + marks)])
+    parted = piece[:1].isdigit() and "".join(raw) == re.sub(r"\D", "", piece) and not is_whole(piece)
+    sign = next((m for m in marks if m in SPOKEN_SIGNS), "") if parted else ""
+    if parted and _parts_said(piece, sign, said):
+        return True
     for ending in spoken_endings(piece, marks, number.group(1) if number else ""):
-        if said[-len(ending) :] == [_fold(w) for w in ending]:
+        if said[-len(ending) :] == [_fold(w) for w in ending] and (not parted or _parts_said(piece, sign, _without_link(said[: -len(ending)], sign))):
             return True
     if _ACRONYM.fullmatch(piece) and any(ch.islower() for ch in original):
         return _acronym_said(_fold(_bare(piece)), words(original), said)
     return False
 
 
+def _without_link(said: list[str], sign: str) -> list[str]:
+    return said[:-1] if sign and sign in "%‰" and said[-1:] == ["τοισ"] else said
+
+
+def _folded(ways: Iterable[tuple[str, ...]]) -> list[list[str]]:
+    return [[_fold(w) for w in way] for way in ways]
+
+
+@lru_cache(maxsize=1 << 12)
+def _folded_number(number: str, sign: str) -> tuple[list[list[str]], list[tuple[list[list[str]], list[list[str]]]]]:
+    return _folded(clock_endings(number)), [(_folded(ways), _folded(links)) for ways, links in number_parts(number, sign)]
+
+
+def _parts_said(number: str, sign: str, said: list[str]) -> bool:
+    """Whether the words end with all parts of a time, date, decimal or fraction, and not only with its last."""
+    clock, parts = _folded_number(number, sign)
+    if any(said[-len(way) :] == way for way in clock):
+        return True
+    ends = {len(said)}
+    for ways, links in parts:
+        ends = _before(said, _before(said, ends, ways), links)
+    return bool(ends)
+
+
+def _before(said: list[str], ends: set[int], ways: list[list[str]]) -> set[int]:
+    """Where the words begin that end at one of the places and say one of the ways."""
+    return {end - len(way) for end in ends for way in ways if len(way) <= end and said[end - len(way) : end] == way}
+
+
 @lru_cache(maxsize=1 << 14)
 def _ways_to_say(piece: str, marks: str) -> tuple[frozenset[str], str]:
     """Words that may stand for a piece of the original, and the initials of others that may."""

@@ -64,6 +64,19 @@ def test_refusal_of_an_original_with_refusing_words(phrase, refusal):
     assert pairs.judge(short, f"{refusal} Ευχαριστώ.")[0] == "refusal"
 
 
+@pytest.mark.parametrize(
+    ("number", "whole", "cut"),
+    [
+        ("22,2", "είκοσι δύο κόμμα δύο", "είκοσι δύο"), ("4:04", "τέσσερις και τέσσερα", "τέσσερις"), ("4:45", "πέντε παρά τέταρτο", "τέταρτο"), ("16:30", "τεσσερισήμισι", "τέσσερις"), ("3:00", "τρεις ακριβώς", "στις"),
+        ("5/5/2005", "πέντε Μαΐου δύο χιλιάδες πέντε", "πέντε"), ("3,05", "τρία κόμμα μηδέν πέντε", "τρία"), ("3/4", "τρία τέταρτα", "τρία"), ("1.234,4", "χίλια διακόσια τριάντα τέσσερα κόμμα τέσσερα", "χίλια διακόσια τριάντα τέσσερα"),
+        ("2,2 %", "δύο κόμμα δύο τοις εκατό", "δύο"), ("2,20 €", "δύο ευρώ και είκοσι λεπτά", "δύο ευρώ"), ("12.12.2012", "δώδεκα δωδεκάτου δύο χιλιάδες δώδεκα".replace("δωδεκάτου", "Δεκεμβρίου"), "δώδεκα"),
+    ],
+)
+def test_all_parts_of_a_number(number, whole, cut):
+    assert pairs.judge(f"Το σημείωσαν ως {number}.", f"Το σημείωσαν ως {whole}.")[0] is None
+    assert pairs.judge(f"Το σημείωσαν ως {number}.", f"Το σημείωσαν ως {cut}")[0] == "truncated"
+
+
 REPEATED = "Η χορωδία διάβασε χάρτες και άλλα κείμενα, π.χ. παραμύθια έξω από το χωριό, καθώς πλησίαζε το τρένο των 12 και άλλα κείμενα, π.χ. παραμύθια."
 
 
