@@ -121,13 +121,13 @@ def words(text: str) -> list[str]:
 def greedy_tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     """Greedy string tiling: longest common runs of unmarked words first, (start in a, start in b, length).
 
-    Runs of two words and more are tiles. Where the texts share more than ``SEEDS`` pairs of places, the runs (of eight
-    words and more) are taken from left to right instead, in time linear in the texts.
+    Runs of two words and more are tiles. Where the texts share more than ``SEEDS`` pairs of places, the longest runs come
+    first only by the steps of ``LEAST_RUNS``, within a step from left to right, in time linear in the texts.
     """
     starts = _starts(b, 2)
     seeds = [(i, found) for i in range(len(a) - 1) if (found := starts.get((a[i], a[i + 1])))]
     if sum(len(found) for _, found in seeds) > SEEDS:
-        return _left_to_right(a, b, 8)
+        return _left_to_right(a, b)
     free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
     while True:
         best, found = 2, []
@@ -154,6 +154,8 @@ def greedy_tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
 
 #: Pairs of places that share two words, up to which tiling is exact.
 SEEDS = 4000
+#: Least lengths of the runs taken in each pass beyond that; the last is the least run of all.
+LEAST_RUNS = (64, 16, 8, 4, 3, 2)
 
 
 def _starts(words: list[str], least: int) -> dict[tuple[str, ...], list[int]]:
@@ -163,21 +165,25 @@ def _starts(words: list[str], least: int) -> dict[tuple[str, ...], list[int]]:
     return out
 
 
-def _left_to_right(a: list[str], b: list[str], least: int) -> list[tuple[int, int, int]]:
-    places = {key: iter(at) for key, at in _starts(b, least).items()}
-    free_b, tiles, i = [True] * len(b), [], 0
-    while i + least <= len(a):
-        j = next((j for j in places.get(tuple(a[i : i + least]), iter(())) if all(free_b[j : j + least])), None)
-        if j is None:
-            i += 1
-            continue
-        k = 0
-        while i + k < len(a) and j + k < len(b) and free_b[j + k] and a[i + k] == b[j + k]:
-            free_b[j + k] = False
-            k += 1
-        tiles.append((i, j, k))
-        i += k
-    return tiles
+def _left_to_right(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """Tiles of runs from left to right: those of 64 words and more first, then of fewer, down to two."""
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
+    for least in LEAST_RUNS:
+        places = {key: iter(at) for key, at in _starts(b, least).items()}
+        i = 0
+        while i + least <= len(a):
+            key = tuple(a[i : i + least])
+            j = next((j for j in places.get(key, iter(())) if all(free_b[j : j + least])), None) if all(free_a[i : i + least]) else None
+            if j is None:
+                i += 1
+                continue
+            k = 0
+            while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+                free_a[i + k] = free_b[j + k] = False
+                k += 1
+            tiles.append((i, j, k))
+            i += k
+    return sorted(tiles)
 
 
 # The refusal grammar. A refusal is a core, before which an apology or a self-description may stand.
@@ -480,6 +486,7 @@ def _acronym_said(letters: str, original: list[str], said: list[str]) -> bool:
 _MARKS = str.maketrans("άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ")
 
 
+@lru_cache(maxsize=1 << 16)
 def _fold(word: str) -> str:
     return word.lower().translate(_MARKS)
 

@@ -90,6 +90,13 @@ def test_stops_at_earlier_place_that_ends_alike():
     assert pairs.judge(text, text.replace("12", "δώδεκα"))[0] is None and pairs.judge(text, text[: text.index(" λέξηβα")])[0] == "truncated"
 
 
+def test_long_texts_keep_the_least_run():
+    a = [w for i in range(3000) for w in ("α", "β", f"x{i}")]
+    b = [w for i in range(3000) for w in ("α", "β", f"y{i}")]
+    tiles = pairs.greedy_tiles(a, b)
+    assert len(tiles) == 3000 and all(k == 2 for _, _, k in tiles) and all(a[i : i + k] == b[j : j + k] for i, j, k in tiles)
+
+
 def test_pairs_table(spark):
     schema = "dataset_id string, id string, original_text string, normalized_text string, normalization_warnings array<string>, ingested_at timestamp, defect string, row int"
     import datetime as dt
