@@ -3,7 +3,7 @@
 Each pair is judged from its two texts alone, in Arrow batches next to the scan (map-only):
 
 * ``parse_markup``, a pushdown parser, reads fences, brackets, quotations, lists and labels of the answer; it gives the bare
-  answer and the constructs left open at its end, which speak for an answer that broke off;
+  answer and the constructs left open at its end, which decide for a broken-off answer where the alignment is undecided;
 * a refusal grammar is matched against the lines of the answer; refusing words that stand there in the surroundings they have
   in the original are quoted from it and do not count;
 * greedy string tiling covers answer and original with common runs of words; a line that opens with an apology but has no
@@ -419,7 +419,8 @@ def _ends_earlier(original: str, answer: str) -> bool:
     """Whether the answer aligns better with the original up to an earlier place than with the whole.
 
     Places count that the answer's last word may speak. What the original holds behind such a place costs nothing there, but
-    one a word if the answer is held to go to the end.
+    one a word if the answer is held to go to the end. If both fit alike, an answer that leaves open what the original closes
+    ends earlier.
     """
     own, theirs = words(answer), words(original)
     if not own or _ends_once(original, theirs, own[-1]):
@@ -434,7 +435,8 @@ def _ends_earlier(original: str, answer: str) -> bool:
     if not plain - Counter(said) and not any(map(_in_several, ways[places[0] + 1 : -1])):
         return False
     costs = _alignment(ways, said)
-    return min(costs[i + 1][0] for i in places) < costs[-1][1]
+    early, whole = min(costs[i + 1][0] for i in places), costs[-1][1]
+    return early < whole or (early == whole and bool(Counter(_open_constructs(answer)) - Counter(_open_constructs(original))))
 
 
 def _alignment(ways: list[tuple[frozenset[str], str]], said: list[str]) -> list[tuple[float, float]]:

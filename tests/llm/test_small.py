@@ -90,6 +90,12 @@ def test_stops_at_earlier_place_that_ends_alike():
     assert pairs.judge(text, text.replace("12", "δώδεκα"))[0] is None and pairs.judge(text, text[: text.index(" λέξηβα")])[0] == "truncated"
 
 
+def test_open_constructs_decide_where_alignment_does_not():
+    original, answer = "Είπε «έλα στις 5» και φύγε 5", "Είπε «να ρθει μόνος του κάπου πέντε"
+    assert pairs.judge(original, answer)[0] == "truncated" and pairs.judge(original, answer + "»")[0] is None
+    assert pairs.judge(original, "Είπε «έλα στις πέντε και φύγε πέντε")[0] is None
+
+
 def test_long_texts_keep_the_least_run():
     a = [w for i in range(3000) for w in ("α", "β", f"x{i}")]
     b = [w for i in range(3000) for w in ("α", "β", f"y{i}")]
