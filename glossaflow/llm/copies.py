@@ -32,16 +32,18 @@ HOT_GROUPS = 512
 _MARK = r"[^\p{L}\p{M}\p{N}]"
 #: Runs of marks and white space that do not count: any run but one that stands directly between two digits.
 _DRESS = rf"(?U)[^\p{{L}}\p{{M}}\p{{N}}\s]*+\s{_MARK}*+|(?<!\p{{Nd}}|{_MARK}){_MARK}++|{_MARK}++(?!\p{{Nd}})"
-_FIELD = r"(?U)^[\W_]*\p{L}[\p{L}\p{M}\p{N}_.\-]*(?: [\p{L}\p{M}\p{N}_.\-]+){0,3}\s*:\s*[^\s:][^:]*$"
-_STRONG, _WEAK = r"[|;\u037e\uff1b/•·\n]+", r"[|;\u037e\uff1b/•·\n,]+"
+_LABEL = r"[\W_]*\p{L}[\p{L}\p{M}\p{N}_.\-]*(?: [\p{L}\p{M}\p{N}_.\-]+){0,7}\s*:"
+_FIELD = rf"(?sU)^{_LABEL}\s*[^\s:].*$"
+#: Separators of fields: only those that a label follows, so that values may hold them, and colons.
+_SEPARATORS = rf"(?U)[|;\u037e\uff1b/•·\n,]+(?={_LABEL})"
 
 
 def _bare(text: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(text, _DRESS, "")), "ς", "σ")
 
 
-def _fields(text: Column, separators: str) -> Column:
-    return F.filter(F.split(text, separators), lambda part: _bare(part) != "")
+def _fields(text: Column) -> Column:
+    return F.filter(F.split(text, _SEPARATORS), lambda part: _bare(part) != "")
 
 
 def _all_labelled(parts: Column) -> Column:
@@ -59,11 +61,10 @@ def canonical(text: Column) -> Column:
     """Canonical form of a record: white space, case (σ and ς alike) and marks removed, labelled fields sorted.
 
     A mark between two digits stays, as do accents and word order. Null stays null; a text of marks only becomes ''.
-    Fields are looked for only in texts with a colon.
+    Fields are looked for only in texts with a colon; they part where a separator and a label follow each other.
     """
-    weak = lambda t: let(_fields(t, _WEAK), lambda parts: F.when(_all_labelled(parts), _field_key(parts)))
-    strong = lambda t: let(_fields(t, _STRONG), lambda parts: F.when(_all_labelled(parts), _field_key(parts)))
-    return F.coalesce(F.when(text.contains(":"), F.coalesce(strong(text), weak(text))), _bare(text))
+    fields = lambda t: let(_fields(t), lambda parts: F.when(_all_labelled(parts), _field_key(parts)))
+    return F.coalesce(F.when(text.contains(":"), fields(text)), _bare(text))
 
 
 class CountingTrie:

@@ -155,6 +155,17 @@ def test_canonical_matches_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_marks_inside_values_of_fields(spark):
+    groups = [
+        ["Ώρα: 10:41 | Τόπος: Χ", "τόπος: Χ; ώρα: 10:41", "Τόπος: Χ, Ώρα: 10:41."], ["Ώρα: 1041 | Τόπος: Χ"], ["Ώρα: Χ | Τόπος: 10:41"],
+        ["Ημερομηνία: 12/5/2024 | Πηγή: https://a.gr/β?γ=1", "Πηγή: https://a.gr/β?γ=1 / Ημερομηνία: 12/5/2024", "• Πηγή: https://a.gr/β?γ=1\n• Ημερομηνία: 12/5/2024"], ["Ημερομηνία: 12/52024 | Πηγή: https://a.gr/β?γ=1"],
+        ["Τόπος: Α; Β | Έτος: 1942, Μήνας: 5", "Έτος: 1942 | Μήνας: 5 | Τόπος: Α; Β"], ["Ένα δύο τρία τέσσερα πέντε: α | Έτος: 1", "Έτος: 1; ένα δύο τρία τέσσερα πέντε: α"],
+    ]
+    rows = [(n, t) for n, group in enumerate(groups) for t in group]
+    keys = spark.createDataFrame(rows, "n int, t string").groupBy("n").agg(F.collect_set(copies.canonical(F.col("t"))).alias("k")).collect()
+    assert all(len(r.k) == 1 for r in keys) and len({r.k[0] for r in keys}) == len(groups)
+
+
 def test_trie_against_counter():
     rng, trie, want = random.Random(1), copies.CountingTrie(), collections.Counter()
     for _ in range(3000):
