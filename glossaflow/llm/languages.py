@@ -61,6 +61,13 @@ def named_language(label: Column) -> Column:
 
 _ENDS = re.compile(r"(?<=[.!?;\u037e\uff01\uff1f…。])[\"'»”)\]]*(?:\[[^\]\s]{1,3}\])?\s+|\s*\n\s*\n\s*|\s*(?:^|\n)\s*[•*\-#>]+\s+|\s*[•]\s*|(?<=[.!?;\u037e\uff01\uff1f…»\])])\s*\n\s*|\s*\[[….]+\]\s*")
 _WORDS = re.compile(r"[^\W\d_]+")
+_FINAL = re.compile(r"[.!?;\u037e\uff01\uff1f…。][\"'»”)\]\s]*$")
+
+
+def ends_whole(sentence: str, words: list[str]) -> bool:
+    """Whether a stretch of any length begins and ends as a sentence; pieces of abbreviations (under three letters) do not."""
+    first = _WORDS.search(sentence)
+    return first is not None and first.group()[0].isupper() and sum(map(len, words)) >= 3 and _FINAL.search(sentence) is not None
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -223,7 +230,7 @@ def _labeller(model: Model):
                                 scores.clear()
                             s = scores[w] = model.word_score(w)
                         total += s
-                    spans.append((k, a, b, len(ws)))
+                    spans.append((k, a, b, len(ws), len(ws) >= WHOLE_WORDS or ends_whole(text[a:b], ws)))
                     sums.append(total)
             if not spans:
                 continue
@@ -246,7 +253,7 @@ def _segments(doc_ids: list, spans: list, got: np.ndarray, sure: np.ndarray, mar
         while j < len(spans) and spans[j][0] == spans[i][0]:
             j += 1
         own = range(i, j)
-        whole = [k for k in own if spans[k][3] >= WHOLE_WORDS and margin[k] >= MARGIN]
+        whole = [k for k in own if spans[k][4] and margin[k] >= MARGIN]
         if not whole:
             best = max(own, key=lambda k: (spans[k][3], margin[k]))
             rows.append((doc_ids[spans[i][0]], 0, spans[i][1], spans[j - 1][2], names[got[best]], float(sure[best]), 0, True))
@@ -288,8 +295,11 @@ def document_languages(documents: DataFrame, model: Model | None = None) -> Data
 
 
 def mislabelled(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id, true_lang``: every language with a whole sentence, of documents whose label misses or errs or that mix."""
-    spoken = language_segments(documents, model).filter("n_sentences > 0").groupBy("doc_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    """``doc_id, true_lang``: every language with a whole sentence, of documents whose label misses or errs or that mix.
+
+    A document without a whole, unambiguous sentence counts with its likeliest language.
+    """
+    spoken = language_segments(documents, model).groupBy("doc_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
     labels = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), named_language(F.col("lang")).alias("named"))
     both = spoken.join(labels, "doc_id")
     off = F.col("named").isNull() | ~F.array_contains("langs", F.col("named")) | (F.size("langs") > 1)

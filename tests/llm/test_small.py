@@ -388,3 +388,12 @@ def test_small_documents(spark):
     assert langs[8].lang == "el" and langs[3].n_languages == 2 and 0 < langs[1].confidence <= 1 and 7 not in langs
     empty = d.limit(0)
     assert languages.mislabelled(empty).count() == 0 and languages.document_languages(empty).count() == 0
+
+
+def test_short_sentences_count(spark):
+    train = [(i * 10 + k, " ".join(ss), lang) for i, (lang, ss) in enumerate(SENTENCES.items()) for k in range(3)]
+    schema = "doc_id long, text string, lang string"
+    model = languages.training_model(spark.createDataFrame(train, schema))
+    docs = [(1, "Κανείς δεν περίμενε.", None), (2, SENTENCES["el"][0] + " Nobody had expected.", "el"), (3, "το παλιό δρομολόγιο", " "), (4, "Κανείς δεν περίμενε.", "el"), (5, SENTENCES["el"][0] + " nobody had expected", "el")]
+    got = {(r.doc_id, r.true_lang) for r in languages.mislabelled(spark.createDataFrame(docs, schema), model).collect()}
+    assert got == {(1, "el"), (2, "el"), (2, "en"), (3, "el")}
