@@ -2,15 +2,16 @@
 
 Each pair is judged from its two texts alone, in Arrow batches next to the scan (map-only):
 
-* ``parse_markup``, a pushdown parser, reads fences, brackets, quotations, lists and labels of the answer; it gives the bare
-  answer and the constructs left open at its end, which decide for a broken-off answer where the alignment is undecided;
+* a pushdown parser (``markup``) reads fences, brackets, quotations, lists, emphasis, tags and labels of the answer; it gives the
+  bare answer and the constructs left open at its end;
 * a refusal grammar is matched against the lines of the answer; refusing words that stand there in the surroundings they have
   in the original are quoted from it and do not count;
-* greedy string tiling covers answer and original with common runs of words; a line that opens with an apology but has no
-  refusing words counts if it lies outside the tiles for the greater part;
+* greedy string tiling (``tiling``) covers answer and original with common runs of words; a line that opens with an apology but
+  has no refusing words counts if it lies outside the tiles for the greater part;
 * script shares tell answers that are not in the expected script;
-* the end of the original must have a counterpart at the end of the answer, spelled out or not; where an earlier place of
-  the original ends alike, the two texts are aligned to tell at which of them the answer ends.
+* an answer stops early if the last word or number of the original has no whole counterpart at its end, spelled out or not; if
+  the original goes on behind its last tile with more words than the answer has outside the tiles; or if it leaves a construct
+  open that it could not have closed behind the last word.
 """
 
 from __future__ import annotations
@@ -18,98 +19,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.functions.numbers_el import SPOKEN_ABBREVIATIONS, SPOKEN_SIGNS, clock_endings, is_whole, number_parts, spoken_endings, spoken_words
+from glossaflow.llm.markup import CLOSES, EDGES, Markup, closed_behind, frames, parse_markup
+from glossaflow.llm.spoken import SPOKEN_ABBREVIATIONS, SPOKEN_SIGNS, clock_endings, is_whole, number_parts, spoken_endings, spoken_words
+from glossaflow.llm.tiling import greedy_tiles
 
-# Closing marks by opening mark.
-_CLOSES = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“", "‹": "›", "‘": "’"}
-# Labels that may stand before an answer.
-_LABELS = (
-    "απάντηση", "έξοδος", "κανονικοποιημένο κείμενο", "κανονικοποιημένη πρόταση", "κείμενο", "αποτέλεσμα", "μετατροπή", "πρόταση",
-    "answer", "output", "result", "response", "normalized text", "normalised text", "normalized", "text", "assistant", "antwort",
-    "ausgabe", "réponse", "sortie", "respuesta", "salida", "risposta", "testo",
-)
 # Ways to say that there is nothing.
 _NOTHING = frozenset("n/a na n.a null none nil nan undefined void empty blank nothing κενό κενη κενο τίποτα τιποτα καμία καμια ουδέν".split())
-_EDGES = " \t\r\n\f\v\xa0​‌‍⁠﻿\xad  "
-_LABEL = re.compile(r"[\s*_#>\-•]*(?:" + "|".join(sorted(map(re.escape, _LABELS), key=len, reverse=True)) + r")\s*[*_]*\s*[:\uff1a]\s*[*_]*", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 
 
-@dataclass
-class Markup:
-    """The bare answer, what was stripped around it and what was still open at its end."""
-
-    text: str
-    stripped: list[str] = field(default_factory=list)
-    open_at_end: list[str] = field(default_factory=list)
-
-
-def parse_markup(text: str) -> Markup:
-    """Push on every opening construct, pop on its closing one; peel wrappers that span the whole answer."""
-    out = Markup(text.strip(_EDGES))
-    out.open_at_end = _open_constructs(out.text)
-    while True:
-        t = out.text
-        if label := _LABEL.match(t):
-            out.text = t[label.end() :].strip(_EDGES)
-            out.stripped.append("label")
-        elif t.startswith("```"):
-            head, _, rest = t[3:].partition("\n") if re.match(r"```[\w+-]*[ \t]*\n", t) else ("", "", t[3:])
-            closed = rest.rstrip(_EDGES).endswith("```")
-            out.text = (rest.rstrip(_EDGES)[:-3] if closed else rest).strip(_EDGES)
-            out.stripped.append("fence")
-        elif (end := _wraps(t)) is not None:
-            out.text = t[1:end].strip(_EDGES)
-            out.stripped.append("quotes")
-        elif re.match(r"(?:[-*•·]|\d{1,2}[.)])\s+\S", t) and "\n" not in t:
-            out.text = re.sub(r"^(?:[-*•·]|\d{1,2}[.)])\s+", "", t)
-            out.stripped.append("list")
-        else:
-            return out
-        if out.text == t:
-            return out
-
-
-def _wraps(text: str) -> int | None:
-    """Where the mark that opens the text closes, if only that ends it."""
-    if len(text) < 2:
-        return None
-    if text[0] in "\"'`" and text[-1] == text[0] and text.count(text[0]) == 2:
-        return len(text) - 1
-    close = _CLOSES.get(text[0])
-    if close is None or text[0] in "({[":
-        return None
-    depth = 0
-    for i, ch in enumerate(text):
-        depth += (ch == text[0]) - (ch == close)
-        if depth == 0:
-            return i if i == len(text) - 1 else None
-    return None
-
-
-_BRACKETS = re.compile("```|[\"" + re.escape("".join([*_CLOSES, *_CLOSES.values()])) + "]")
-
-
-def _open_constructs(text: str) -> list[str]:
-    """What the parser's stack holds after the last character."""
-    stack: list[str] = []
-    for m in _BRACKETS.finditer(text):
-        mark = m.group()
-        if stack and mark == _CLOSES.get(stack[-1], stack[-1]):
-            stack.pop()
-        elif mark in _CLOSES or mark in ('"', "```"):
-            stack.append(mark)
-    return stack
-
-
 def _bare(text: str) -> str:
     return text.lower().replace("ς", "σ")
 
@@ -118,79 +42,11 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(_bare(text))
 
 
-def greedy_tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: longest common runs of unmarked words first, (start in a, start in b, length).
-
-    Runs of two words and more are tiles. Where the texts share more than ``SEEDS`` pairs of places, the longest runs come
-    first only by the steps of ``LEAST_RUNS``, within a step from left to right, in time linear in the texts.
-    """
-    starts = _starts(b, 2)
-    seeds = [(i, found) for i in range(len(a) - 1) if (found := starts.get((a[i], a[i + 1])))]
-    if sum(len(found) for _, found in seeds) > SEEDS:
-        return _left_to_right(a, b)
-    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
-    while True:
-        best, found = 2, []
-        for i, at in seeds:
-            for j in at:
-                # A run that goes on from the word before is found from its start.
-                if i and j and a[i - 1] == b[j - 1] and free_a[i - 1] and free_b[j - 1]:
-                    continue
-                k = 0
-                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k > best:
-                    best, found = k, [(i, j, k)]
-                elif k == best:
-                    found.append((i, j, k))
-        if not found:
-            return sorted(tiles)
-        for i, j, k in found:
-            if all(free_a[i : i + k]) and all(free_b[j : j + k]):
-                free_a[i : i + k] = [False] * k
-                free_b[j : j + k] = [False] * k
-                tiles.append((i, j, k))
-
-
-#: Pairs of places that share two words, up to which tiling is exact.
-SEEDS = 4000
-#: Least lengths of the runs taken in each pass beyond that; the last is the least run of all.
-LEAST_RUNS = (64, 16, 8, 4, 3, 2)
-
-
-def _starts(words: list[str], least: int) -> dict[tuple[str, ...], list[int]]:
-    out: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(words) - least + 1):
-        out.setdefault(tuple(words[j : j + least]), []).append(j)
-    return out
-
-
-def _left_to_right(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
-    """Tiles of runs from left to right: those of 64 words and more first, then of fewer, down to two."""
-    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
-    for least in LEAST_RUNS:
-        places = {key: iter(at) for key, at in _starts(b, least).items()}
-        i = 0
-        while i + least <= len(a):
-            key = tuple(a[i : i + least])
-            j = next((j for j in places.get(key, iter(())) if all(free_b[j : j + least])), None) if all(free_a[i : i + least]) else None
-            if j is None:
-                i += 1
-                continue
-            k = 0
-            while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
-                free_a[i + k] = free_b[j + k] = False
-                k += 1
-            tiles.append((i, j, k))
-            i += k
-    return sorted(tiles)
-
-
 # The refusal grammar. A refusal is a core, before which an apology or a self-description may stand.
 _APOLOGY = r"(?:συγγν[ωώ]μη|με συγχωρε[ιί]τε|λυπ[αά]μαι|λυπο[υύ]μαι|δυστυχ[ωώ]ς|ζητ[ωώ] συγγν[ωώ]μη|i'?m (?:very )?sorry|sorry|i apologi[sz]e|unfortunately|es tut mir leid|entschuldigung|leider|désolée?|je suis désolée?|malheureusement|lo siento|lamentablemente|mi dispiace|purtroppo|spiacente)"
 _SELF = r"(?:ως (?:γλωσσικ[οό] μοντ[εέ]λο|τεχνητ[ηή] νοημοσ[υύ]νη|βοηθ[οό]ς)|as an? (?:ai|a\.i\.|language model|large language model|assistant|ai language model)|als (?:ki|sprachmodell)|en tant que (?:modèle|ia)|como (?:modelo|ia)|in quanto (?:modello|ia)|come (?:modello|ia))"
 _CORE = r"""(?:
- (?:δεν|δε)\ (?:μπορ[ωώ]|μπορο[υύ]με|γ[ιί]νεται|επιτρ[εέ]πεται|ε[ιί]ναι\ (?:δυνατ[οό]ν?|εφικτ[οό])|[εέ]χω\ τη(?:ν)?\ δυνατ[οό]τητα|θα\ (?:προχωρ[ηή]σω|μπορ[εέ]σω|απαντ[ηή]σω|βοηθ[ηή]σω))
+ (?:δεν|δε)\ (?:(?:μου|σου|μας|σας|του|της|τους|τον|την|τη|το|τα|τις)\ ){0,2}(?:μπορ[ωώ]|μπορο[υύ]με|γ[ιί]νεται|επιτρ[εέ]πεται|ε[ιί]ναι\ (?:δυνατ[οό]ν?|εφικτ[οό])|[εέ]χω\ τη(?:ν)?\ δυνατ[οό]τητα|θα\ (?:προχωρ[ηή]σω|μπορ[εέ]σω|απαντ[ηή]σω|βοηθ[ηή]σω))
  |αδυνατ[ωώ]|αρνο[υύ]μαι|θα\ προτιμο[υύ]σα\ να\ μην|προτιμ[ωώ]\ να\ μην|ξεπερν[αά]\ [οό]σα\ μου\ επιτρ[εέ]πονται|ε[ιί]ναι\ αδ[υύ]νατον?
  |(?:can'?t|cannot|can\ not|could\ not|couldn'?t|won'?t|will\ not|would\ rather\ not|am\ not\ able\ to|unable\ to|must\ decline|have\ to\ decline|decline\ to|refuse\ to|not\ allowed\ to|not\ permitted\ to|do\ not\ have\ the\ ability)
  |(?:kann|darf|werde)\ (?:ich\ )?(?:\w+\ ){0,4}nicht|nicht\ möglich|muss\ ablehnen|lehne\ \w*\ ?ab
@@ -203,21 +59,26 @@ _OPENERS = re.compile(rf"^\W*(?:{_APOLOGY}|{_SELF})\b", re.I)
 _APOSTROPHES = str.maketrans("’‘ʼ`´", "'''''")
 
 
-_CLAUSE_MARKS = re.compile("[" + re.escape("".join([*_CLOSES, *_CLOSES.values()])) + "\";\u037e:.!?…·–—\n]")
+_CLAUSE_MARKS = re.compile("[" + re.escape("".join([*CLOSES, *CLOSES.values()])) + "\";\u037e:.!?…·–—\n]")
+
+
+#: The grammar lets so many words stand before the core of a refusal ("according to my rules I cannot").
+LEAD = 6
 
 
 def refuses(answer: str, original: str) -> bool:
     """Whether the answer declines in words that it does not take over from the original.
 
-    A refusal counts where it opens a line of the answer: after nothing, an apology or a self-description. Its words are taken
-    over if they stand in the answer in the same surroundings as in the original, not merely somewhere in both.
+    A refusal counts where it opens a line of the answer: after nothing, an apology, a self-description or a lead of at most
+    ``LEAD`` words. Its words are taken over if they stand in the answer in the same surroundings as in the original, not
+    merely somewhere in both. An apology alone counts if most of its line lies outside the tiles and the original has none.
     """
     text, mine, tiled = answer.translate(_APOSTROPHES), None, None
     for part in re.finditer(r"[^\n.!…]+", text):
-        line = part.group().strip(_EDGES + "\"'«»“”*#>-")
+        line = part.group().strip(EDGES + "\"'«»“”*#>-")
         opener = _OPENERS.match(line)
-        hits = [hit for hit in _REFUSAL.finditer(line) if opener or _near_start(line, hit)]
-        if not hits and (not opener or len(words(line)) > 12):
+        hits = [hit for hit in _REFUSAL.finditer(line) if opener or len(words(line[: hit.start()])) <= LEAD]
+        if not hits and not opener:
             continue
         if mine is None:
             mine, source = [_fold(w) for w in words(text)], _Source(original.translate(_APOSTROPHES))
@@ -225,7 +86,7 @@ def refuses(answer: str, original: str) -> bool:
         at = lambda end: first + len(words(line[:end]))  # noqa: B023, E731
         if any(not source.lends(mine, at(hit.start()), at(hit.end())) for hit in hits):
             return True
-        if hits or source.lends(mine, first, at(opener.end())):
+        if hits or source.lends(mine, first, at(opener.end())) or source.apologises:
             continue
         tiled = tiled or {j + n for _, j, k in greedy_tiles(source.words, mine) for n in range(k)}
         if 2 * sum(j in tiled for j in range(first, at(len(line)))) < len(words(line)):
@@ -238,6 +99,7 @@ class _Source:
 
     def __init__(self, text: str) -> None:
         self.words, self.spoken, self.clause, end, clause = [], [], [], 0, 0
+        self.apologises = any(_OPENERS.match(line.strip(EDGES + "\"'«»“”*#>-")) for line in re.split(r"[\n.!…]+", text))
         for m in _PIECES.finditer(text):
             clause += bool(_CLAUSE_MARKS.search(text[end : m.start()]))
             end = m.end()
@@ -277,10 +139,6 @@ class _Source:
             return 0 <= i + way < len(self.words) and 0 <= j + way < len(mine) and self.words[i + way] == mine[j + way]
 
 
-def _near_start(line: str, hit: re.Match) -> bool:
-    return len(words(line[: hit.start()])) <= 6
-
-
 _LETTERS, _GREEK_LETTERS = re.compile(r"[^\W\d_]+"), re.compile("[\u0370-\u03ff\u1f00-\u1fff]+")
 
 
@@ -315,27 +173,51 @@ def last_piece(text: str) -> tuple[str, str] | None:
     return (found.group(1), found.group(2)) if found else None
 
 
-#: Words at the end of an answer that can speak one word or number.
-ENDING = 64
+def complete(original: str, answer: Markup) -> bool:
+    """Whether the answer goes to the end of the original."""
+    own = words(answer.text)
+    said = [_fold(w) for w in own]
+    if not _end_said(original, answer.text, said):
+        return False
+    left_open = _left_open(original, answer)
+    theirs = words(original)
+    if not own or (not left_open and _ends_once(original, theirs, own[-1])):
+        return True
+    if _goes_on_untiled(original, said):
+        return False
+    if not left_open:
+        return True
+    # A mark alone may be lost from a whole answer, if it is one of the original's and all of its words are said.
+    known = Counter(_shape(f.kind) for f in frames(original)[0])
+    ways = _piece_ways(original)
+    plain = Counter(w for _, way in ways if not _in_several(way) for w in way[0])
+    return not left_open - known and not plain - Counter(said)
+
+
+# Marks of which one may stand for another.
+_SHAPES = {"«": "quote", "“": "quote", "„": "quote", "‹": "quote", "‘": "quote", '"': "quote"}
 
 
-def complete(original: str, answer: str) -> bool:
-    """Whether the answer goes to the end of the original.
+def _shape(kind: str) -> str:
+    return _SHAPES.get(kind, kind)
 
-    The original's last word or number has a whole counterpart at the end of the answer, and this is its counterpart: the
-    answer does not align better with the original up to an earlier place that ends alike.
-    """
-    return _end_said(original, answer) and not _ends_earlier(original, answer)
 
+def _left_open(original: str, answer: Markup) -> Counter:
+    """Constructs open at the answer's end that neither wrap it nor stay open in the original nor close behind its last word."""
+    if not answer.open_at_end:
+        return Counter()
+    last = max((m.end() for m in _WORDS.finditer(original)), default=0)
+    excused = [*answer.wrapping, *(f.kind for f in frames(original)[1]), *closed_behind(original, last)]
+    return Counter(map(_shape, answer.open_at_end)) - Counter(map(_shape, excused))
 
-def _end_said(original: str, answer: str) -> bool:
-    """Whether the last word or number of the original has a whole counterpart at the end of the answer."""
-    last, own = last_piece(original.strip(_EDGES)), words(answer)
-    if last is None or not own:
-        return bool(own) or last is None
+
+def _end_said(original: str, answer: str, said: list[str]) -> bool:
+    """Whether the last word or number of the original has a whole counterpart at the end of the answer (folded: ``said``)."""
+    last = last_piece(original.strip(EDGES))
+    if last is None or not said:
+        return bool(said) or last is None
     piece, marks = last
     raw = words(piece)
-    said = [_fold(w) for w in own[-ENDING:]]
     if [_fold(w) for w in raw] == said[-len(raw) :]:
         sign = next((m for m in marks if m in "%€$£‰°"), None)
         return sign is None or sign in answer.rstrip()[-6:]
@@ -415,55 +297,45 @@ def _ends_once(original: str, theirs: list[str], last: str) -> bool:
     return not any(initial in _fold(m) for m in _SHORT_FORMS.findall(original))
 
 
-def _ends_earlier(original: str, answer: str) -> bool:
-    """Whether the answer aligns better with the original up to an earlier place than with the whole.
-
-    Places count that the answer's last word may speak. What the original holds behind such a place costs nothing there, but
-    one a word if the answer is held to go to the end. If both fit alike, an answer that leaves open what the original closes
-    ends earlier.
-    """
-    own, theirs = words(answer), words(original)
-    if not own or _ends_once(original, theirs, own[-1]):
-        return False
-    said = [_fold(w) for w in own]
+def _piece_ways(original: str) -> list[tuple[list[str], tuple[frozenset[str], str]]]:
+    """The pieces of the original: their words and the ways to say them."""
     found = list(_PIECES.finditer(original))
-    ways = [_ways_to_say(m.group(), original[m.end() : m.end() + 3]) for m in found]
-    places = [i for i, (own, initials) in enumerate(ways[:-1]) if said[-1] in own or said[-1][0] in initials]
-    if not places:
-        return False
-    plain = Counter(w for way in ways if not _in_several(way) for w in way[0])
-    if not plain - Counter(said) and not any(map(_in_several, ways[places[0] + 1 : -1])):
-        return False
-    costs = _alignment(ways, said)
-    early, whole = min(costs[i + 1][0] for i in places), costs[-1][1]
-    return early < whole or (early == whole and bool(Counter(_open_constructs(answer)) - Counter(_open_constructs(original))))
+    return [([_fold(w) for w in words(m.group())], _ways_to_say(m.group(), original[m.end() : m.end() + 3])) for m in found]
 
 
-def _alignment(ways: list[tuple[frozenset[str], str]], said: list[str]) -> list[tuple[float, float]]:
-    """Least costs of aligning the first 0, 1, ... pieces with the whole answer: if its last word speaks the last of them, and at all.
+def _goes_on_untiled(original: str, said: list[str]) -> bool:
+    """Whether the original goes on behind its last tile with words that the answer does not have.
 
-    A word that speaks no piece costs one, as does a piece that is not spoken; one word may stand for another at the same cost.
+    Words outside the tiles may speak a number, sign or short form of the original, or replace one of its words; what is left
+    of them must be as many as the plain words behind the last tile that the answer lacks.
     """
-    places: dict[str, list[int]] = {}
-    starts: dict[str, list[int]] = {}
-    for j, w in enumerate(said):
-        places.setdefault(w, []).append(j)
-        starts.setdefault(w[0], []).append(j)
-    row = upwards = np.arange(len(said) + 1, dtype=np.float32)
-    out = [(np.inf, float(row[-1]))]
-    for way in ways:
-        step = np.ones(len(said), np.float32)
-        for j in (j for w in way[0] for j in places.get(w, ())):
-            step[j] = 0
-        for j in (j for ch in way[1] for j in starts.get(ch, ())):
-            step[j] = 0
-        begun = np.concatenate(([row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + step)))
-        reach = np.concatenate(([0], np.cumsum(step))) if _in_several(way) else upwards
-        new = reach + np.minimum.accumulate(begun - reach)
-        spoken = min(row[-2], new[-2] if _in_several(way) else np.inf) if step[-1] == 0 else np.inf
-        out.append((float(spoken), float(new[-1])))
-        row = new
-    return out
+    pieces = _piece_ways(original)
+    theirs = [w for ws, _ in pieces for w in ws]
+    tiles = greedy_tiles(theirs, said)
+    covered, reached = set(), 0
+    free = Counter(said)
+    for i, _, k in tiles:
+        covered.update(range(i, i + k))
+        reached = max(reached, i + k)
+        free.subtract(theirs[i : i + k])
+    at, lacking, spoken = 0, [0, 0], []
+    for ws, way in pieces:
+        if not covered.issuperset(range(at, at + len(ws))):
+            if _in_several(way):
+                spoken.append(way)
+            else:
+                for w in way[0]:
+                    if free[w] > 0:
+                        free[w] -= 1
+                    else:
+                        lacking[at >= reached] += 1
+        at += len(ws)
+    for own, initials in spoken:
+        for w in free:
+            if w in own or w[0] in initials:
+                free[w] = 0
+    spare = sum(n for n in free.values() if n > 0) - lacking[0]
+    return lacking[1] > max(0, spare)
 
 
 def _acronym_said(letters: str, original: list[str], said: list[str]) -> bool:
@@ -500,7 +372,7 @@ def judge(original: str | None, answer: str | None) -> tuple[str | None, str]:
     mark = parse_markup(answer)
     bare, still_open = mark.text, " ".join(mark.open_at_end)
     mine = words(bare)
-    if not mine or bare.strip(_EDGES + ".…-–—\"'«»()[]{}<>`*").lower() in _NOTHING:
+    if not mine or bare.strip(EDGES + ".…-–—\"'«»()[]{}<>`*").lower() in _NOTHING:
         return "empty", still_open
     original = original or ""
     theirs = words(original)
@@ -511,7 +383,7 @@ def judge(original: str | None, answer: str | None) -> tuple[str | None, str]:
         return "other_language", still_open
     if "".join(mine) == "".join(theirs):
         return ("copy" if needs_speaking(original) else None), still_open
-    if not complete(original, bare):
+    if not complete(original, mark):
         return "truncated", still_open
     return None, still_open
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossaflow.llm import copies, languages, leakage, lookalikes, mixture, pairs, quota, sampling
+from glossaflow.llm import copies, languages, leakage, lookalikes, markup, mixture, pairs, quota, sampling, tiling
 
 
 # --- p1 -----------------------------------------------------------------------------------------------------------------
@@ -36,13 +36,84 @@ def test_judge(original, answer, defect):
     assert pairs.judge(original, answer)[0] == defect
 
 
-def test_parser_and_tiles():
-    assert pairs.parse_markup("```text\n«α (β»").open_at_end == ["```", "«", "("]
-    assert pairs.parse_markup("- Έξοδος: “α”").text == "α"
+def test_parser():
+    assert markup.parse_markup("```text\n«α [β").open_at_end == ["fence", "«", "["]
+    assert markup.parse_markup("- Έξοδος: “α”").text == "α" and markup.parse_markup("**Απάντηση:** <b>«α»</b>").text == "α"
+    assert markup.parse_markup("1. α\n2. β").text == "1. α\n2. β" and markup.parse_markup("1. α\n2.").open_at_end == ["item"]
+    assert markup.parse_markup("«α» και «β»").text == "«α» και «β»" and markup.parse_markup("«α «β» γ»").text == "α «β» γ"
+    assert markup.parse_markup("α <b>β <i").open_at_end == ["tag", "tag"] and markup.parse_markup("α <br> 3 < 4").open_at_end == []
+    assert markup.parse_markup("α (β»)").open_at_end == [] and markup.parse_markup("").text == ""
+    assert markup.parse_markup("«" * 5000 + "α" + "»" * 5000).text == "α" and len(markup.parse_markup("(" * 3000).open_at_end) == 3000
+
+
+def brute_tiles(a, b):
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
+    while True:
+        best, found = 1, []
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+                k += 1
+            if k > best:
+                best, found = k, [(i, j)]
+            elif k == best:
+                found.append((i, j))
+        if best < 2:
+            return sorted(tiles)
+        for i, j in found:
+            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
+                free_a[i : i + best] = free_b[j : j + best] = [False] * best
+                tiles.append((i, j, best))
+
+
+def test_tiles_match_brute_force():
     a, b = "α β γ δ ε ζ".split(), "δ ε ζ x α β γ".split()
-    assert pairs.greedy_tiles(a, b) == [(0, 4, 3), (3, 0, 3)] and pairs.greedy_tiles([], b) == []
+    assert tiling.greedy_tiles(a, b) == [(0, 4, 3), (3, 0, 3)] and tiling.greedy_tiles([], b) == []
+    rng = random.Random(3)
+    for _ in range(300):
+        v = "abcd"[: rng.randint(1, 4)]
+        a, b = rng.choices(v, k=rng.randint(0, 25)), rng.choices(v, k=rng.randint(0, 25))
+        assert tiling.greedy_tiles(a, b) == brute_tiles(a, b)
+
+
+def test_tiles_of_long_texts():
     long = [f"w{i % 700}" for i in range(30000)]
-    assert sum(k for _, _, k in pairs.greedy_tiles(long, long)) == 30000
+    assert tiling.greedy_tiles(long, long) == [(0, 0, 30000)]
+    a = [w for i in range(3000) for w in ("α", "β", f"x{i}")]
+    b = [w for i in range(3000) for w in ("α", "β", f"y{i}")]
+    tiles = tiling.greedy_tiles(a, b)
+    assert len(tiles) == 3000 and all(k == 2 for _, _, k in tiles) and all(a[i : i + k] == b[j : j + k] for i, j, k in tiles)
+    assert len(tiling.greedy_tiles(["α"] * 20000 + ["x"], ["α"] * 20000 + ["y"])) == 1
+
+
+# Each row is judged right only with the tiles or the parser's stack; the second test holds that.
+BY_TILES = [("Είδε τον μεγάλο παλιό φάρο και μετά γύρισε στον φάρο.", "Είδε τον φάρο και μετά γύρισε στον φάρο.", None), ("Έγραψε στον καλό και μόνο φίλο, ύστερα στον φίλο του φίλο", "Έγραψε στον φίλο, ύστερα στον φίλο του φίλο", None)]
+BY_STACK = [
+    ("Ο φορέας ήρθε στις 5 χθες.", "Ο φορέας (ήρθε στις πέντε χθες", "truncated"), ("Είπε «έλα στις 5» και φύγε 5", "Είπε «να ρθει μόνος του κάπου πέντε", "truncated"),
+    ("Πήγε στις 5 η Ζωή, ύστερα η Ζωή", "Πήγε στις πέντε η <b>Ζωή, ύστερα η Ζωή", "truncated"), ("Ο φορέας ήρθε χθες.", "Ο φορέας [ήρθε] (σαν χθες", "truncated"),
+]
+
+
+@pytest.mark.parametrize(
+    ("original", "answer", "defect"),
+    [
+        ("Είδε τον φάρο, μετά το λιμάνι και ξανά τον φάρο.", "Είδε τον φάρο", "truncated"), ("Είδε 5 φάρους (στα 12 νησιά).", "Είδε πέντε φάρους (στα δώδεκα νησιά", None), ("Είδε 5 φάρους.", "```\nΕίδε πέντε φάρους.", None),
+        ("Δώσε μου 5 λεπτά", "Δεν μου επιτρέπεται να το κάνω αυτό", "refusal"), ("Δώσε μου 5 λεπτά", "Δεν θα το έλεγα, πέντε λεπτά", None), *BY_TILES, *BY_STACK,
+        ("Η αποθήκη είναι του φορέα ΣΠΗΛ απέναντι, με τη στήριξη του φορέα ΣΠΗΛ.", "Η αποθήκη είναι του φορέα Σύλλογος Πειραματικής Ηχολογίας απέν", "truncated"),
+        ("Δυστυχώς το πλοίο έφυγε στις 5.", "Unfortunately the ship left at five.", "other_language"), ("Το πλοίο έφυγε στις 5.", "Λυπάμαι για την αναμονή σας, ίσως κάποια άλλη φορά να τα καταφέρουμε μαζί όπως θα θέλατε κι εσείς.", "refusal"),
+    ],
+)
+def test_what_decides(original, answer, defect):
+    assert pairs.judge(original, answer)[0] == defect
+
+
+def test_tiles_and_stack_decide(monkeypatch):
+    monkeypatch.setattr(pairs, "greedy_tiles", lambda a, b: [])
+    assert all(pairs.judge(o, a)[0] != d for o, a, d in BY_TILES)
+    monkeypatch.undo()
+    bare = lambda text: markup.Markup(markup.parse_markup(text).text)
+    monkeypatch.setattr(pairs, "parse_markup", bare)
+    assert all(pairs.judge(o, a)[0] != d for o, a, d in BY_STACK)
 
 
 @pytest.mark.parametrize(
@@ -96,13 +167,6 @@ def test_open_constructs_decide_where_alignment_does_not():
     assert pairs.judge(original, "Είπε «έλα στις πέντε και φύγε πέντε")[0] is None
 
 
-def test_long_texts_keep_the_least_run():
-    a = [w for i in range(3000) for w in ("α", "β", f"x{i}")]
-    b = [w for i in range(3000) for w in ("α", "β", f"y{i}")]
-    tiles = pairs.greedy_tiles(a, b)
-    assert len(tiles) == 3000 and all(k == 2 for _, _, k in tiles) and all(a[i : i + k] == b[j : j + k] for i, j, k in tiles)
-
-
 def test_pairs_table(spark):
     schema = "dataset_id string, id string, original_text string, normalized_text string, normalization_warnings array<string>, ingested_at timestamp, defect string, row int"
     import datetime as dt
