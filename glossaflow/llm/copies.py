@@ -3,10 +3,13 @@
 1. ``canonical`` brings a text to canonical bytes with built-in expressions.
 2. Every partition counts its own keys in a trie first, so that a key held by a third of all rows leaves each partition as
    one row per batch.
-3. ``radix_levels`` partitions the canonical bytes recursively: buckets (byte prefixes) that hold more bytes than fit are
-   split by further bytes until each fits. The limit is never under 1/``MAX_OVERSIZE`` of all bytes, so at most
-   ``MAX_OVERSIZE`` prefixes of a level can be oversized; only those prefixes are sent around.
+3. ``radix_levels`` partitions the canonical bytes recursively: buckets (byte prefixes) that hold more than ``BUCKET_BYTES``
+   are split by further bytes until each fits. The limit is fixed and does not grow with the data; the oversized prefixes of
+   every level stay a distributed table, known by 64-bit hashes, and nothing of them goes through the driver.
 4. Every bucket is counted in a path-compressed trie with terminal counters.
+
+A trie takes some seven times the bytes of its keys, so a worker holds some 60 MB for a bucket. Two prefixes of one hash would
+share a bucket, which changes nothing, as tries hold whole keys.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import let
+from glossaflow.operators.manifests import bounded
 
 #: Bytes of the prefixes at each level; doubling bounds the levels by the logarithm of the longest key.
 FIRST_DEPTH, LAST_DEPTH = 4, 1 << 30
-#: A bucket of fewer bytes is never split.
-BUCKET_BYTES = 4 << 20
-#: Most prefixes of one level that can be oversized, as a bucket may hold this share of all bytes.
-MAX_OVERSIZE = 2048
+#: Levels that are sized in one pass over the keys.
+DEPTHS_A_PASS = 3
+#: Bytes of keys above which a bucket is split.
+BUCKET_BYTES = 8 << 20
 #: Groups with more than 1/HOT_GROUPS of all records are joined map-side; there are fewer than HOT_GROUPS of them.
-HOT_GROUPS = 512
+HOT_GROUPS = 1 << 14
 
 _MARK = r"[^\p{L}\p{M}\p{N}]"
 #: Runs of marks and white space that do not count: any run but one that stands directly between two digits.
@@ -117,7 +121,7 @@ def _common(label: bytes, key: bytes, at: int) -> int:
 
 
 #: A partition's own trie is emptied at this many key bytes.
-_LOCAL_BYTES = 32 << 20
+_LOCAL_BYTES = 16 << 20
 
 
 def _count_locally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,75 +142,83 @@ def _frame(rows) -> pd.DataFrame:
 
 def _count_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by bucket, so one trie is held at a time."""
-    bucket, trie, cut = None, CountingTrie(), 0
+    bucket, trie = None, CountingTrie()
     for frame in frames:
+        done = []
         for b, key, n, first in zip(frame["bucket"], frame["key"], frame["n"], frame["kept_id"]):
-            b = bytes(b)
             if b != bucket:
-                if bucket is not None:
-                    yield _frame((bucket + rest, c, i) for rest, c, i in trie.items())
-                bucket, trie, cut = b, CountingTrie(), len(b)
-            trie.add(bytes(key)[cut:], int(n), first)
-    if bucket is not None:
-        yield _frame((bucket + rest, c, i) for rest, c, i in trie.items())
-
-
-def radix_levels(partial: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[tuple[int, list[bytearray]]], int]:
-    """The oversized prefixes of every level, each list at most ``MAX_OVERSIZE`` long, and the last depth."""
-    total = partial.agg(F.sum(F.length("key"))).first()[0] or 0
-    limit, levels, depth = max(bucket_bytes, -(-total // MAX_OVERSIZE)), [], FIRST_DEPTH
-    inside = partial.select("key")
+                done.extend(trie.items())
+                bucket, trie = b, CountingTrie()
+            trie.add(bytes(key), int(n), first)
+        yield _frame(done)
+    yield _frame(trie.items())
+
+
+def _prefix(depth: int) -> Column:
+    return F.xxhash64(F.lit(depth), F.substring("key", 1, depth))
+
+
+def radix_levels(partial: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[tuple[int, DataFrame]], int]:
+    """``(depth, prefixes)`` of every level that has oversized prefixes, each a table of hashes, and the depth below the last.
+
+    A pass sizes ``DEPTHS_A_PASS`` levels of the keys inside the last oversized prefixes, map-side combined; only hashes and
+    sizes are shuffled. A key that is no longer than the depth cannot be split further and is not counted.
+    """
+    levels, depth, inside = [], FIRST_DEPTH, partial.select("key")
     while depth < LAST_DEPTH:
-        # A prefix shorter than the depth is a whole key: there is nothing left to split it by.
-        sized = inside.groupBy(F.substring("key", 1, depth).alias("prefix")).agg(F.sum(F.length("key")).alias("size"))
-        large = [r[0] for r in sized.filter((F.col("size") > limit) & (F.length("prefix") == depth)).select("prefix").collect()]
-        if not large:
-            break
-        levels.append((depth, large))
-        oversized = inside.sparkSession.createDataFrame([(p,) for p in large], "prefix binary")
-        inside = partial.select("key").join(F.broadcast(oversized), F.substring("key", 1, depth) == F.col("prefix"), "left_semi")
-        depth *= 2
+        depths = [depth << i for i in range(DEPTHS_A_PASS)]
+        size = F.length("key")
+        parts = F.filter(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix"), size.alias("size")) for d in depths]), lambda p: p["size"] > p["depth"])
+        sized = inside.select(F.explode(parts).alias("p")).groupBy("p.depth", "p.prefix").agg(F.sum("p.size").alias("size"))
+        large = sized.filter(F.col("size") > bucket_bytes).select("depth", "prefix").persist(StorageLevel.DISK_ONLY)
+        held = {r[0] for r in large.groupBy("depth").count().collect()}  # at most one row per depth
+        for d in depths:
+            if d not in held:
+                return levels, d
+            levels.append((d, large.filter(F.col("depth") == d).select("prefix")))
+        inside = inside.join(bounded(levels[-1][1]), _prefix(depths[-1]) == F.col("prefix"), "left_semi")
+        depth = depths[-1] << 1
     return levels, depth
 
 
-def with_bucket(partial: DataFrame, levels: list[tuple[int, list[bytearray]]], depth: int) -> DataFrame:
-    """Adds ``bucket``: the shortest prefix that fits."""
-    df, bucket = partial, F.substring("key", 1, depth)
+def with_bucket(partial: DataFrame, levels: list[tuple[int, DataFrame]], depth: int) -> DataFrame:
+    """Adds ``bucket``: the hash of the shortest prefix that fits."""
+    df, bucket = partial, _prefix(depth)
     for i, (d, large) in reversed(list(enumerate(levels))):
-        oversized = partial.sparkSession.createDataFrame([(p,) for p in large], f"_p{i} binary")
-        df = df.join(F.broadcast(oversized), F.substring("key", 1, d) == F.col(f"_p{i}"), "left")
-        bucket = F.when(F.col(f"_p{i}").isNull(), F.substring("key", 1, d)).otherwise(bucket)
+        df = df.join(bounded(large.select(F.col("prefix").alias(f"_p{i}"))), _prefix(d) == F.col(f"_p{i}"), "left")
+        bucket = F.when(F.col(f"_p{i}").isNull(), _prefix(d)).otherwise(bucket)
     return df.select("key", "n", "kept_id", bucket.alias("bucket"))
 
 
 def records(df: DataFrame, id_col: str, text_col: str, order_col: str | None) -> DataFrame:
     """``id``, ``key`` (canonical bytes), ``digest`` of the latest delivery of every id.
 
-    Rows with a null id or text are left out, as are texts without any letter or digit, which hold no record. Of several
-    rows of an id the one with the latest ``order_col`` counts (nulls first), then the largest text.
+    Rows with a null id are left out. A null text, or one without any letter or digit, has a null key: it is a record that
+    is no copy of any other. Of several rows of an id the one with the latest ``order_col`` counts (nulls first), then the
+    largest text.
     """
     order = F.col(f"`{order_col}`") if order_col else F.lit(0)
     rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), order.alias("at"))
-    rows = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    latest = rows.groupBy("id").agg(F.max(F.struct("at", "text"))["text"].alias("text"))
-    # Exploded and not filtered, as a filter would be pushed down and compute the form a second time.
-    keyed = latest.select("id", F.explode(F.filter(F.array(canonical(F.col("text"))), lambda k: k != "")).alias("k"))
-    return keyed.select("id", F.encode("k", "UTF-8").alias("key"), F.md5(F.encode("k", "UTF-8")).alias("digest"))
+    latest = rows.filter("id is not null").groupBy("id").agg(F.max(F.struct("at", "text"))["text"].alias("text"))
+    # Exploded and not projected twice, as the optimizer would compute the form for every use.
+    keyed = latest.select("id", F.explode(F.array(F.nullif(canonical(F.col("text")), F.lit("")))).alias("k"))
+    return keyed.select("id", F.encode("k", "UTF-8").alias("key"), F.unhex(F.md5(F.encode("k", "UTF-8"))).alias("digest"))
 
 
 def collapse(recs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``key``, ``n`` copies and ``kept_id`` (the smallest id) of every record."""
+    """``key``, ``n`` copies and ``kept_id`` (the smallest id) of every record with a key."""
     schema = "key binary, n bigint, kept_id string"
-    partial = recs.select("key", "id").mapInPandas(_count_locally, schema).persist(StorageLevel.DISK_ONLY)
+    partial = recs.filter("key is not null").select("key", "id").mapInPandas(_count_locally, schema).persist(StorageLevel.DISK_ONLY)
     levels, depth = radix_levels(partial, bucket_bytes)
     parted = with_bucket(partial, levels, depth).repartition("bucket").sortWithinPartitions("bucket")
     return parted.mapInPandas(_count_buckets, schema)
 
 
 def collapsed_records(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per record: ``kept_id`` and ``n_copies``, counted over distinct ids."""
-    done = collapse(records(df, id_col, text_col, order_col), bucket_bytes)
-    return done.select("kept_id", F.col("n").alias("n_copies"))
+    """One row per record: ``kept_id`` and ``n_copies``, counted over distinct ids; texts without a key are single records."""
+    recs = records(df, id_col, text_col, order_col).persist(StorageLevel.DISK_ONLY)
+    counted = collapse(recs, bucket_bytes).select("kept_id", F.col("n").alias("n_copies"))
+    return counted.unionByName(recs.filter("key is null").select(F.col("id").alias("kept_id"), F.lit(1).cast("bigint").alias("n_copies")))
 
 
 def copy_links(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -215,8 +227,8 @@ def copy_links(df: DataFrame, id_col: str, text_col: str, order_col: str | None
     Groups that hold more than 1/``HOT_GROUPS`` of all records (fewer than that many exist) are matched map-side by a
     broadcast of their digests; the rest meet in a shuffle on the digest, whose groups are small by then.
     """
-    recs = records(df, id_col, text_col, order_col).persist(StorageLevel.DISK_ONLY)
-    groups = collapse(recs, bucket_bytes).filter("n > 1").select(F.md5("key").alias("digest"), "n", "kept_id").persist(StorageLevel.DISK_ONLY)
+    recs = records(df, id_col, text_col, order_col).filter("key is not null").persist(StorageLevel.DISK_ONLY)
+    groups = collapse(recs, bucket_bytes).filter("n > 1").select(F.unhex(F.md5("key")).alias("digest"), "n", "kept_id").persist(StorageLevel.DISK_ONLY)
     hot_from = max(1000, recs.count() // HOT_GROUPS)
     hot, cold = groups.filter(F.col("n") > hot_from), groups.filter(F.col("n") <= hot_from)
     ids = recs.select("id", "digest")
