@@ -373,7 +373,7 @@ def test_leaks_match_brute_force(spark):
             if own and ws and (leakage.longest_run(own, ws) >= min(8, len(own)) or (len(own) >= 4 and leakage.edits_inside(own, ws) <= 2)):
                 want.add((doc, item))
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == want and len(want) > 50
-    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i, block_words=40).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i, group_chars=900).collect()} == want
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
