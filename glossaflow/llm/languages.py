@@ -4,10 +4,11 @@ Error-correcting output codes: every language has a codeword of ``BITS`` bits; f
 character n-grams tells on which side a sentence lies. Decoding sums a loss per bit, weighted by how well that bit's
 classifier separates its sides, and takes the codeword with the least; a near second one makes the sentence ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows (``DOCS_PER_LABEL``, ``SENTENCES_PER_DOC``). Labels are
-noisy, so sentences that a first fit contradicts are dropped before the second. Greek in Latin letters has a codeword of
-its own, fitted on romanised Greek sentences, and is reported as Greek. The weights have a fixed size (2^18 x BITS floats)
-and travel with the map-only labelling stage.
+The classifiers are fitted on a bounded sample of labelled rows: one document of each label and hash bucket, so at most
+``DOCS_PER_LABEL`` a label, and ``SENTENCES_PER_DOC`` sentences of each. Labels are noisy, so sentences that a first fit
+contradicts are dropped before the second. Greek in Latin letters has a codeword of its own, fitted on romanised Greek
+sentences, and is reported as Greek. The weights have a fixed size (2^18 x BITS floats) and are broadcast to the map-only
+labelling stage. The documents are read twice, to sample and to label; labels travel with their texts, so nothing is joined.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import html
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ LANGUAGES = ("el", "en", "de", "fr", "es", "it")
 #: Classes with a codeword; the last is Greek in Latin letters.
 CLASSES = (*LANGUAGES, "el-Latn")
 BITS = 15
-#: Bound of the training sample.
+#: Bounds of the training sample.
 DOCS_PER_LABEL, SENTENCES_PER_DOC = 300, 5
 FEATURES = 1 << 18
 #: A sentence has at least so many words; one whose decoding margin is lower is ambiguous.
@@ -185,11 +187,13 @@ def _greek(words: list[str]) -> bool:
 
 
 def training_model(documents: DataFrame, salt: str = "p8-train") -> Model:
-    """Fits the model on the bounded sample of ``documents`` (``doc_id, text, lang``)."""
+    """Fits the model on the bounded sample of ``documents`` (``doc_id, text, lang``).
+
+    The document with the least hash stands for its label and bucket: a map-side combined minimum, one pass over the table.
+    """
     labelled = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", named_language(F.col("lang")).alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    rate = F.create_map(*[F.lit(x) for lang in LANGUAGES for x in (lang, min(1.0, DOCS_PER_LABEL / max(1, sizes.get(lang, 0))))])
-    drawn = labelled.filter(unit_interval(F.col("doc_id"), salt) < rate[F.col("lang")])
+    placed = labelled.withColumn("u", unit_interval(F.coalesce("doc_id", F.lit("")), salt)).withColumn("bucket", F.floor(F.col("u") * DOCS_PER_LABEL))
+    drawn = placed.groupBy("lang", "bucket").agg(F.min(F.struct("u", "doc_id", "text")).alias("d")).select("lang", "d.doc_id", "d.text")
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -201,7 +205,7 @@ def training_model(documents: DataFrame, salt: str = "p8-train") -> Model:
             yield pd.DataFrame(rows, columns=["lang", "words"])
 
     samples: list[tuple[list[str], int]] = []
-    # Sorted, so that the fit is the same in every layout; bounded by labels x DOCS_PER_LABEL x SENTENCES_PER_DOC in expectation.
+    # Sorted, so that the fit is the same in every layout; at most labels x DOCS_PER_LABEL x SENTENCES_PER_DOC rows.
     for k, (lang, joined) in enumerate(sorted(drawn.mapInPandas(pick, "lang string, words string").collect())):
         ws = joined.split(" ")
         if _greek(ws):
@@ -212,8 +216,11 @@ def training_model(documents: DataFrame, salt: str = "p8-train") -> Model:
     return fit(samples)
 
 
-def _labeller(model: Model):
+def _labeller(shared: Broadcast, shape: Callable[[pd.DataFrame, list[list[tuple]]], pd.DataFrame]):
+    """Labels batches of ``doc_id, text, ...``; ``shape`` makes the result of a batch out of it and its documents' segments."""
+
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         scores: dict[str, np.ndarray] = {}
         for frame in frames:
             spans, sums = [], []
@@ -232,43 +239,47 @@ def _labeller(model: Model):
                         total += s
                     spans.append((k, a, b, len(ws), len(ws) >= WHOLE_WORDS or ends_whole(text[a:b], ws)))
                     sums.append(total)
-            if not spans:
-                continue
-            got, sure, margin = model.decode(np.stack(sums))
-            yield pd.DataFrame(_segments(frame["doc_id"].tolist(), spans, got, sure, margin), columns=["doc_id", "segment", "start", "end", "lang", "confidence", "n_sentences", "ambiguous"])
+            yield shape(frame, _segments(len(frame), spans, *model.decode(np.stack(sums))) if spans else [[] for _ in range(len(frame))])
 
     return label
 
 
-def _segments(doc_ids: list, spans: list, got: np.ndarray, sure: np.ndarray, margin: np.ndarray) -> list[tuple]:
-    """Neighbouring sentences of one language joined; fragments and ambiguous sentences go with their neighbours.
+def _segments(documents: int, spans: list, got: np.ndarray, sure: np.ndarray, margin: np.ndarray) -> list[list[tuple]]:
+    """Segments of each document: neighbouring sentences of one language joined; fragments and ambiguous ones go with their neighbours.
 
-    ``n_sentences`` counts the whole, unambiguous ones; a document that has none is one segment of its likeliest language.
+    A segment is (start, end, language, confidence, sentences, ambiguous). Its sentences are the whole, unambiguous ones; a
+    document that has none is one segment of its likeliest language.
     """
     names = [c.split("-")[0] for c in CLASSES]
-    rows: list[tuple] = []
+    out: list[list[tuple]] = [[] for _ in range(documents)]
     i = 0
     while i < len(spans):
         j = i
         while j < len(spans) and spans[j][0] == spans[i][0]:
             j += 1
-        own = range(i, j)
+        own, rows = range(i, j), out[spans[i][0]]
         whole = [k for k in own if spans[k][4] and margin[k] >= MARGIN]
         if not whole:
             best = max(own, key=lambda k: (spans[k][3], margin[k]))
-            rows.append((doc_ids[spans[i][0]], 0, spans[i][1], spans[j - 1][2], names[got[best]], float(sure[best]), 0, True))
+            rows.append((spans[i][1], spans[j - 1][2], names[got[best]], float(sure[best]), 0, True))
         else:
-            segment, start, members = 0, spans[i][1], [whole[0]]
+            start, members = spans[i][1], [whole[0]]
             for k, after in zip(whole, [*whole[1:], None]):
                 if after is not None and names[got[after]] == names[got[k]]:
                     members.append(after)
                     continue
                 end = spans[after - 1][2] if after is not None else spans[j - 1][2]
-                rows.append((doc_ids[spans[i][0]], segment, start, end, names[got[k]], float(np.mean(sure[members])), len(members), False))
+                rows.append((start, end, names[got[k]], float(np.mean(sure[members])), len(members), False))
                 if after is not None:
-                    segment, start, members = segment + 1, spans[after][1], [after]
+                    start, members = spans[after][1], [after]
         i = j
-    return rows
+    return out
+
+
+def _labelled(documents: DataFrame, model: Model | None, shape: Callable, schema: str) -> DataFrame:
+    model = model or training_model(documents)
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", named_language(F.col("lang")).alias("named")).filter("doc_id is not null and text is not null")
+    return docs.mapInPandas(_labeller(documents.sparkSession.sparkContext.broadcast(model), shape), schema)
 
 
 def language_segments(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -277,30 +288,50 @@ def language_segments(documents: DataFrame, model: Model | None = None) -> DataF
     Null, empty and letterless texts have no segment. The text is read whole; repeated rows of a doc_id give repeated
     segments, so pass distinct documents where they may occur.
     """
-    model = model or training_model(documents)
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    schema = "doc_id bigint, segment int, start int, end int, lang string, confidence double, n_sentences int, ambiguous boolean"
-    return docs.mapInPandas(_labeller(model), schema)
+
+    def shape(frame: pd.DataFrame, found: list[list[tuple]]) -> pd.DataFrame:
+        rows = [(d, n, *s) for d, segments in zip(frame["doc_id"], found) for n, s in enumerate(segments)]
+        return pd.DataFrame(rows, columns=["doc_id", "segment", "start", "end", "lang", "confidence", "n_sentences", "ambiguous"])
+
+    return _labelled(documents, model, shape, "doc_id bigint, segment int, start int, end int, lang string, confidence double, n_sentences int, ambiguous boolean")
 
 
 def document_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id, lang, confidence, n_languages``: the language with most whole sentences, then of most text, then by name."""
-    parts = language_segments(documents, model)
-    by_lang = parts.groupBy("doc_id", "lang").agg(
-        F.sum("n_sentences").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.avg("confidence").alias("confidence")
-    )
-    best = F.max_by(F.struct("lang", "confidence"), F.struct("n", "chars", "lang"))
-    done = by_lang.groupBy("doc_id").agg(best.alias("best"), F.greatest(F.lit(1), F.count_if(F.col("n") > 0)).cast("int").alias("n_languages"))
-    return done.select("doc_id", "best.lang", "best.confidence", "n_languages")
+    """``doc_id, lang, confidence, n_languages``: the language with most whole sentences, then of most text, then by name.
+
+    The confidence is the mean over the segments of that language. Repeated rows of a doc_id give repeated rows.
+    """
+
+    def shape(frame: pd.DataFrame, found: list[list[tuple]]) -> pd.DataFrame:
+        rows = []
+        for d, segments in zip(frame["doc_id"], found):
+            by_lang: dict[str, list] = {}
+            for start, end, lang, sure, n, _ in segments:
+                own = by_lang.setdefault(lang, [0, 0, []])
+                own[0] += n
+                own[1] += end - start
+                own[2].append(sure)
+            if by_lang:
+                lang = max(by_lang, key=lambda x: (by_lang[x][0], by_lang[x][1], x))
+                rows.append((d, lang, float(np.mean(by_lang[lang][2])), max(1, sum(n > 0 for n, *_ in by_lang.values()))))
+        return pd.DataFrame(rows, columns=["doc_id", "lang", "confidence", "n_languages"])
+
+    return _labelled(documents, model, shape, "doc_id bigint, lang string, confidence double, n_languages int")
 
 
 def mislabelled(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, true_lang``: every language with a whole sentence, of documents whose label misses or errs or that mix.
 
-    A document without a whole, unambiguous sentence counts with its likeliest language.
+    A document without a whole, unambiguous sentence counts with its likeliest language. Repeated rows add nothing: only the
+    rows found are made distinct, and nothing else is shuffled.
     """
-    spoken = language_segments(documents, model).groupBy("doc_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    labels = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), named_language(F.col("lang")).alias("named"))
-    both = spoken.join(labels, "doc_id")
-    off = F.col("named").isNull() | ~F.array_contains("langs", F.col("named")) | (F.size("langs") > 1)
-    return both.filter(F.coalesce(off, F.lit(True))).select("doc_id", F.explode("langs").alias("true_lang")).distinct()
+
+    def shape(frame: pd.DataFrame, found: list[list[tuple]]) -> pd.DataFrame:
+        rows = []
+        for d, named, segments in zip(frame["doc_id"], frame["named"], found):
+            spoken = {s[2] for s in segments}
+            if spoken and spoken != {named}:
+                rows += [(d, lang) for lang in sorted(spoken)]
+        return pd.DataFrame(rows, columns=["doc_id", "true_lang"])
+
+    return _labelled(documents, model, shape, "doc_id bigint, true_lang string").distinct()

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -474,3 +475,21 @@ def test_short_sentences_count(spark):
     docs = [(1, "Κανείς δεν περίμενε.", None), (2, SENTENCES["el"][0] + " Nobody had expected.", "el"), (3, "το παλιό δρομολόγιο", " "), (4, "Κανείς δεν περίμενε.", "el"), (5, SENTENCES["el"][0] + " nobody had expected", "el")]
     got = {(r.doc_id, r.true_lang) for r in languages.mislabelled(spark.createDataFrame(docs, schema), model).collect()}
     assert got == {(1, "el"), (2, "el"), (2, "en"), (3, "el")}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_held_out_accuracy(spark):
+    """Fitted on the documents of one half, read on those of the other and on sentences from outside."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    half = sampling.unit_interval(F.col("doc_id"), "held-out") < 0.5
+    model = languages.training_model(docs.filter(half))
+    outside = spark.createDataFrame([(n, s, lang) for n, (lang, s) in enumerate((lang, s) for lang, ss in SENTENCES.items() for s in ss)], "doc_id long, text string, lang string")
+    assert all(r.lang == r.want for r in languages.document_languages(outside, model).join(outside.select("doc_id", F.col("lang").alias("want")), "doc_id").collect())
+    other = docs.filter(~half)
+    # One language by both its label and its script: Greek against Latin letters tells noisy labels of Greek from right ones.
+    greek = F.length(F.regexp_replace("text", "[^\u0370-\u03ff\u1f00-\u1fff]", "")) > 0.9 * F.length(F.regexp_replace("text", "\\P{L}", ""))
+    named = other.withColumn("want", languages.named_language(F.col("lang"))).withColumn("greek", greek)
+    both = languages.document_languages(other, model).join(named.select("doc_id", "want", "greek"), "doc_id")
+    assert both.filter("greek and lang <> 'el'").count() == 0 and both.filter("greek").count() > 100
+    latin = both.filter("not greek and want <> 'el' and n_languages = 1").agg(F.count("*").alias("n"), F.count_if(F.col("want") == F.col("lang")).alias("right")).first()
+    assert latin.n > 50 and latin.right / latin.n > 0.9
