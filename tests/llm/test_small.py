@@ -399,9 +399,15 @@ def test_very_long_document(spark):
 # --- p7 -----------------------------------------------------------------------------------------------------------------
 def test_splitting_tree_is_exact():
     quotas = np.array([100, 7, 0, 33])
-    tree = mixture.splitting_tree(quotas, 8, 3)
-    assert (tree.sum(0) == quotas).all() and set(tree.sum(1)) <= {17, 18} and (tree >= 0).all()
-    assert (tree == mixture.splitting_tree(quotas, 8, 3)).all()
+    source = np.repeat(np.arange(4), quotas)
+    rank = np.concatenate([np.arange(q) for q in quotas])
+    tree = mixture.SplittingTree(quotas, 8, 3)
+    shard = tree.shard_of(source, rank)
+    assert set(np.bincount(shard, minlength=8)) <= {17, 18}
+    order = np.random.default_rng(1).permutation(len(rank))
+    assert (tree.shard_of(source[order], rank[order]) == shard[order]).all() and (tree.shard_of(source[:1], rank[:1]) == shard[:1]).all()
+    counts = np.bincount(mixture.SplittingTree(np.array([6, 2]), 4, 5).shard_of(np.repeat([0, 1], [6, 2]), np.array([*range(6), 0, 1])), minlength=4)
+    assert counts.tolist() == [2, 2, 2, 2] and len(mixture.SplittingTree(np.zeros(2, np.int64), 8, 1).shard_of(np.array([], np.int64), np.array([], np.int64))) == 0
 
 
 def test_mixture(spark):
@@ -425,6 +431,15 @@ def test_mixture(spark):
     again = mixture.Mixture(d.repartition(3), targets).rows().collect()
     assert {(r.shard, r.doc_id, r.repeat) for r in again} == {(r.shard, r.doc_id, r.repeat) for r in rows}
     assert mixture.Mixture(d.limit(0), targets).rows().count() == 0 and mixture.Mixture(d, targets.limit(0)).rows().count() == 0
+    assert all(r.text == texts[r.doc_id] for r in rows) and len({(r.doc_id, r.repeat) for r in rows}) == len(rows)
+    small = mixture.Mixture(d, targets, shard_tokens=10)
+    cut = small.rows().collect()
+    assert small.shards > 500 and small.fine > 1 and len({r.shard for r in cut}) > 300 and {(r.doc_id, r.repeat) for r in cut} == {(r.doc_id, r.repeat) for r in rows}
+    pressed = spark.createDataFrame([("big", 0.7, 1), ("tiny", 0.3, 1)], targets.schema)
+    held = [sum(r.tokens for r in mixture.Mixture(d, pressed, keep=k).shares().collect()) for k in (0.0, 0.9)]
+    assert 3 * held[0] < held[1]
+    with pytest.raises(ValueError):
+        mixture.Mixture(d, spark.range(3000).selectExpr("cast(id as string) source", "0.1D target_share", "1 max_repeats"))
     full = mixture.Mixture(d, targets, budget=10**9)
     assert all(r.repeats_used == r.max_repeats for r in full.shares().collect() if r.source != "absent")
 
