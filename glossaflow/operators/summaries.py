@@ -102,8 +102,15 @@ def python_rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.mapInPandas(apply, df.schema)
 
 
-def latest(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """The row of each key with the latest ``at`` (nulls first): one shuffle, map-side combined, no window."""
+def latest(df: DataFrame, keys: Sequence[str], at: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """``keys`` and ``columns`` (all by default) of the row of each key with the latest ``at``, nulls first.
+
+    One shuffle, map-side combined, no window. Name the columns that are needed: only they are read and shuffled. Of rows
+    with the same ``at`` any may stay.
+    """
+    kept = [c for c in (df.columns if columns is None else columns) if c not in keys]
+    if not kept:
+        return df.select(*keys).distinct()
     when = F.coalesce(F.col(at), F.lit("0001-01-01").cast(df.schema[at].dataType))
-    packed = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), when).alias("_row"))
-    return packed.select("_row.*")
+    packed = df.groupBy(*keys).agg(F.max_by(F.struct(*kept), when).alias("_row"))
+    return packed.select(*keys, "_row.*") if columns is not None else packed.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
