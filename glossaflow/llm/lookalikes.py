@@ -5,7 +5,7 @@ compatibility forms, invisible characters, spaces and look-alike letters. The st
 in-memory connection for its partition and sees one batch at a time.
 
 Rules, in this order:
-1. full-width forms (U+FF01-FF5E) become ASCII, the micro sign and the Greek symbol letters their plain Greek letter;
+1. full-width forms become ordinary ones, mathematical letters and digits, the micro sign and the Greek symbol letters plain;
 2. invisible characters vanish and any other space becomes the ordinary one;
 3. a free-standing accent before or after a bare Greek vowel joins it; then canonical composition;
 4. in a word that mixes scripts, letters of the minority become their look-alike of the majority (Greek wins a tie).
@@ -14,6 +14,7 @@ Whole Latin words, quotes, dashes and signs such as … № ° ½ ² stay as the
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,10 @@ def _table(to: str) -> tuple[str, str]:
 
 # Compatibility twins of Greek letters.
 _TWINS = ("µϐϑϒϕϖϰϱϲϴϵϹ", "μβθΥφπκρςΘεΣ")
-_FULL = ("".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)))
+# Full-width signs.
+_SIGNS = ("\uffe0\uffe1\uffe2\uffe3\uffe4\uffe5\uffe6", "¢£¬¯¦¥₩")
+_FULL = ("".join(chr(c) for c in range(0xFF01, 0xFF5F)) + _SIGNS[0], "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + _SIGNS[1])
+_MATHEMATICAL = "".join(chr(c) for c in range(0x1D400, 0x1D800) if len(unicodedata.normalize("NFKC", chr(c))) == 1 and unicodedata.normalize("NFKC", chr(c)) != chr(c))
 #: Cf characters, fillers and variation selectors, as RE2 classes.
 _INVISIBLE = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0100}-\x{e01ef}]"
 _SPACES = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{2028}\x{2029}]"
@@ -51,7 +55,11 @@ def _quoted(text: str) -> str:
 
 def cleaning_sql(column: str) -> str:
     """SQL expression that brings ``column`` to the consistent form."""
-    step = f"translate({column}, {_quoted(_FULL[0] + _TWINS[0])}, {_quoted(_FULL[1] + _TWINS[1])})"
+    # A translation builds its table for every text, so it runs on those that need it only, the large one on very few.
+    narrow, wide = (_FULL[0] + _TWINS[0], _FULL[1] + _TWINS[1]), (_MATHEMATICAL, unicodedata.normalize("NFKC", _MATHEMATICAL))
+    full = f"translate({column}, {_quoted(narrow[0])}, {_quoted(narrow[1])})"
+    both = f"translate({column}, {_quoted(narrow[0] + wide[0])}, {_quoted(narrow[1] + wide[1])})"
+    step = f"CASE WHEN regexp_matches({column}, '[\\x{{1d400}}-\\x{{1d7ff}}]') THEN {both} WHEN regexp_matches({column}, '[\\x{{ff01}}-\\x{{ff5e}}\\x{{ffe0}}-\\x{{ffe6}}{_TWINS[0]}]') THEN {full} ELSE {column} END"
     step = f"regexp_replace(regexp_replace({step}, '{_INVISIBLE}', '', 'g'), '{_SPACES}', ' ', 'g')"
     for bare, accented in zip(_BARE, _TONOS):
         # Capitals carry a free-standing accent in front, small letters behind or in front.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.llm import copies, languages, leakage, lookalikes, mixture, pairs, quota, sampling
+from glossaflow.operators import summaries
 
 #: Production parameters.
 SAMPLE_RATE, SAMPLE_SALT = 0.1, "stable-sample-1"
@@ -51,12 +52,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
-    done = lookalikes.consistent_form(_read(spark, sf, "dataset_05_punctuation"), ["original_text", "normalized_text"], ["id", "method"])
-    return done.select("id", "method", F.col("original_text_clean").alias("original_text"), F.col("normalized_text_clean").alias("normalized_text")).distinct()
+    """The texts of the latest row of every key in their consistent form."""
+    rows = summaries.latest(_read(spark, sf, "dataset_05_punctuation"), ["id", "method"], "ingested_at", ["original_text", "normalized_text"])
+    done = lookalikes.consistent_form(rows, ["original_text", "normalized_text"], ["id", "method"])
+    return done.select("id", "method", F.col("original_text_clean").alias("original_text"), F.col("normalized_text_clean").alias("normalized_text"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _quota(spark, sf).report().filter("not can_be_met").select("table_name", "category")
+    """Targets that the repaired draw falls short of because too few ids have the category."""
+    return _quota(spark, sf).report().filter("short_by > 0 and not can_be_met").select("table_name", "category")
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:

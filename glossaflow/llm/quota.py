@@ -22,6 +22,8 @@ from glossaflow.operators.manifests import bounded
 
 #: Bins of the hash histogram; a signature of n rows ranks about n / HASH_BINS of them.
 HASH_BINS = 1 << 16
+#: Targets and signatures that a plan may have: they come to the driver, where every pair of a table's signatures is tried.
+MAX_TARGETS, MAX_SIGNATURES = 4096, 4096
 _SEP = "\x1f"
 
 
@@ -44,11 +46,12 @@ def swap_repair(have: dict[tuple[str, ...], int], size: int, targets: dict[str,
     signatures = sorted(have)
     held = lambda c: sum(take[s] for s in signatures if c in s)
     for c in sorted(targets, key=lambda c: sum(have[s] for s in signatures if c in s)):
-        while held(c) < targets[c][1] and sum(take.values()) < size:
+        while (lacking := min(targets[c][1] - held(c), size - sum(take.values()))) > 0:
             open_to = [s for s in signatures if c in s and take[s] < have[s]]
             if not open_to:
                 break
-            take[rng.choices(open_to, [have[s] - take[s] for s in open_to])[0]] += 1
+            s = rng.choices(open_to, [have[s] - take[s] for s in open_to])[0]
+            take[s] += min(lacking, have[s] - take[s], max(1, lacking // 64))
     rest = size - sum(take.values())
     while rest > 0:  # the random start, in strides so that large samples take few draws
         open_to = [s for s in signatures if take[s] < have[s]]
@@ -99,6 +102,14 @@ def signatures(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return tagged.groupBy("table_name", "id").agg(F.array_join(found, _SEP).alias("sig"))
 
 
+def _few(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that is small by its nature; refuses one that is not, before it reaches the driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 class QuotaPlan:
     """The repaired plan of every table of ``targets``, its report and its sample.
 
@@ -110,10 +121,10 @@ class QuotaPlan:
         targets = targets.dropna(subset=["table_name", "category", "target_share", "sample_share"]).fillna(0, ["min_rows"])
         self.sigs = signatures(rows, targets).persist(StorageLevel.DISK_ONLY)
         counts: dict[str, dict[tuple[str, ...], int]] = {}
-        for t, sig, n in self.sigs.groupBy("table_name", "sig").count().collect():  # at most one row per set of targets seen
+        for t, sig, n in _few(self.sigs.groupBy("table_name", "sig").count(), MAX_SIGNATURES, "signatures"):
             counts.setdefault(t, {})[tuple(sig.split(_SEP)) if sig else ()] = n
         wanted: dict[str, list] = {}
-        for r in targets.select("table_name", "category", "target_share", "min_rows", "sample_share").distinct().collect():
+        for r in _few(targets.select("table_name", "category", "target_share", "min_rows", "sample_share").distinct(), MAX_TARGETS, "targets"):
             wanted.setdefault(r.table_name, []).append(r)
         self.report_rows, self.take = [], {}
         for t, rs in sorted(wanted.items()):
@@ -126,10 +137,11 @@ class QuotaPlan:
                 available = sum(n for s, n in have.items() if r.category in s)
                 drawn = sum(n for s, n in take.items() if r.category in s)
                 needed = max(_ceil(r.target_share, size), r.min_rows)
-                self.report_rows.append((t, r.category, r.target_share, r.min_rows, needed, available, drawn, drawn / size if size else 0.0, available >= needed))
+                self.report_rows.append((t, r.category, r.target_share, r.min_rows, needed, available, drawn, drawn / size if size else 0.0, max(0, needed - drawn), available >= needed))
 
     def report(self) -> DataFrame:
-        schema = "table_name string, category string, target_share double, min_rows bigint, needed bigint, available bigint, drawn bigint, drawn_share double, can_be_met boolean"
+        """One row per target: what the repaired draw holds, what it is short by, and whether the rows at hand could meet it."""
+        schema = "table_name string, category string, target_share double, min_rows bigint, needed bigint, available bigint, drawn bigint, drawn_share double, short_by bigint, can_be_met boolean"
         return self.spark.createDataFrame(self.report_rows, schema)
 
     def sample(self) -> DataFrame:
