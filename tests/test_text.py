@@ -99,10 +99,20 @@ def test_verbaliser_toggles_and_nulls(spark):
     assert rewrite.speak("Ο ΟΗΕ το 5", ("acronyms", "numbers")) == "Ο ΟΗΕ το 5"
     rows = spark.createDataFrame([(None,), ("",), ("5",)], "t string")
     assert [r.s for r in rewrite.verbalise(rows, "t", "s").collect()] == [None, "", "πέντε"]
+    assert rewrite.verbalise(rows.limit(0), "t", "s").count() == 0
 
 
-def test_lexicon_in_the_jvm(spark):
-    assert one(spark, "π.χ. ο κ. Α", lambda c: rewrite.lexicon(c, rewrite.ABBREVIATIONS)) == "παραδείγματος χάριν ο κύριος Α"
+@pytest.mark.parametrize(
+    ("value", "expected"),
+    [
+        ("5%2 και 5%-1", "πέντε τοις εκατό2 και πέντε τοις εκατό-ένα"), ("12,5η", "δώδεκα κόμμα πέντεη"), ("12:30%", "δώδεκα και μισή%"), (".5%", "μηδέν και πέντε τοις εκατό"), ("12.$", "δώδεκα δολάρια"),
+        ("1/2-3/4", "ένα δεύτερο-τρία τέταρτα"), ("-1/2 και +1/2", "-ένα δεύτερο και συν ένα δεύτερο"), ("+5% -5% -5,5", "+πέντε τοις εκατό -πέντε τοις εκατό μείον πέντε κόμμα πέντε"), ("1,234,567", "1,234,567"),
+        ("5 Μαΐου 2020 €", "πέντε Μαΐου δύο χιλιάδες είκοσι ευρώ"), ("12 Μαΐου και 3-4-2021", "δώδεκα Μαΐου και τρεις Απριλίου δύο χιλιάδες είκοσι ένα"), ("ΜέΡΑ25 και ΑΠΕ-ΜΠΕ", "Μέτωπο Ευρωπαϊκής Ρεαλιστικής Ανυπακοής και Αθηναϊκό Πρακτορείο Ειδήσεων - Μακεδονικό Πρακτορείο Ειδήσεων"),
+        ("5,5,5€ 3:4 x7", "πέντε,πέντε ευρώ και πέντε λεπτά τρία:τέσσερα x7"), ("1234567 12345678901η", "ένα δύο τρία τέσσερα πέντε έξι επτά ένα δύο τρία τέσσερα πέντε έξι επτά οκτώ εννέα μηδέν έναη"), ("", ""),
+    ],
+)
+def test_clusters(value, expected):
+    assert rewrite.speak(value) == expected
 
 
 def test_policy_equivalences(spark):
