@@ -8,10 +8,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossaflow.functions.text import BOUNDARY
 from glossaflow.operators import audio, checks, collect, manifests, summaries, variants
 from glossaflow.plans import scoring
 from glossaflow.session import local_session
-from glossaflow.sources import readers, sinks
+from glossaflow.sources import pages, readers, sinks
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -40,39 +41,48 @@ def synthesis(spark: SparkSession, a: argparse.Namespace) -> int:
     for name, kind in (("enabled", "boolean"), ("voice", "string"), ("sample_rate_hz", "int")):
         if name not in systems.columns:
             systems = systems.withColumn(name, F.lit(None).cast(kind))
-    rows = manifests.in_scenarios(rows, a.scenario, a.exclude_scenario)
+    if a.tier and not a.experiment:
+        print("a tier needs --experiment")
+        return 2
+    run = {"methods": a.method or ["raw", "regex"], "scenarios": a.scenario, "per_scenario": a.per_scenario, "seed": a.seed}
+    if a.experiment:
+        plan = manifests.tier(readers.document(spark, a.experiment), a.tier, methods=a.method, seed=a.seed)
+        run = {k: v if v is not None else run[k] for k, v in plan.items()} | {"seed": plan["seed"]}
+    rows = manifests.in_scenarios(rows, run["scenarios"], a.exclude_scenario)
+    systems = systems.filter(~F.col("id").isin(*a.exclude_system)) if a.exclude_system else systems
     base = rows.select("dataset_id", "dataset_file", "scenario", "id", "text", "sentence_index").dropDuplicates(["dataset_id", "id"])
     base = manifests.within_words(base, a.max_tokens) if a.max_tokens else base
-    chosen = selected(base, a.per_scenario, a.seed)
+    chosen = selected(base, run["per_scenario"], run["seed"], a.exact_shuffle)
     rows = rows.join(chosen, ["dataset_id", "id"], "left_semi")
-    missing = manifests.missing_sentences(chosen, rows, a.method).limit(20).collect()
+    missing = manifests.missing_sentences(chosen, rows, run["methods"]).limit(20).collect()
     for m in missing:
         print(f"WARNING sentence {m.id} of {m.dataset_id} missing in {m.method}")
     if missing and a.fail_on_missing:
         return 1
-    sinks.write_json_lines(manifests.synthesis_manifest(rows.filter(F.col("method").isin(*a.method)), systems, a.audio), a.output)
+    sinks.write_json_lines(manifests.synthesis_manifest(rows.filter(F.col("method").isin(*run["methods"])), systems, a.audio), a.output)
     return 0
 
 
-def selected(base: DataFrame, per_scenario: int | None, seed: str | None) -> DataFrame:
-    """``dataset_id, id`` chosen once from the base texts, so that every method has the same sentences."""
+def selected(base: DataFrame, per_scenario: int | None, seed: str | None, exact: bool = False) -> DataFrame:
+    """``dataset_id, id`` chosen once from the base texts, so that every method has the same sentences.
+
+    Without a seed in file order, else by seeded digest; ``exact`` repeats the shuffle of published selections, which needs
+    every data set in one task.
+    """
     if not per_scenario:
         return base.select("dataset_id", "id")
     per_file = base.groupBy("scenario", "dataset_file", "dataset_id").agg(F.count("*").alias("eligible"))
-    caps = {r.dataset_id: r.taken for r in manifests.scenario_caps(per_file, per_scenario).collect()}  # one row per file
-    parts = []
-    for dataset, most in caps.items():
-        own = base.filter(F.col("dataset_id") == dataset)
-        part = manifests.first_of_dataset(own, most) if seed is None else manifests.shuffled_selection(own, most, seed)
-        parts.append(part.select("dataset_id", "id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    caps = manifests.scenario_caps(per_file, per_scenario).select("dataset_id", F.col("taken").alias("_taken"))
+    capped = base.join(caps, "dataset_id")  # one row per file
+    if seed is not None and exact:
+        return manifests.shuffled_selection(capped, "_taken", seed)
+    order = ["sentence_index", "id"] if seed is None else [F.sha2(F.concat(F.lit(f"{seed}:"), "dataset_id", F.lit(":"), "id"), 256), "id"]
+    keyed = capped.select("dataset_id", "id", "_taken", *[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)])
+    return manifests.first_of_groups(keyed, "dataset_id", ["_o0", "_o1"], "_taken").select("dataset_id", "id")
 
 
 def transcription(spark: SparkSession, a: argparse.Namespace) -> int:
-    asr = spark.read.option("multiLine", True).json(a.asr).first().asDict()
+    asr = readers.document(spark, a.asr)
     jobs = manifests.transcription_manifest(readers.json_lines(spark, a.manifest, readers.SYNTHESIS), asr, a.transcripts)
     sinks.write_json_lines(jobs, a.output)
     return 0
@@ -99,23 +109,46 @@ def score(spark: SparkSession, a: argparse.Namespace) -> int:
 def check_audio(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = readers.json_lines(spark, a.manifest, readers.SYNTHESIS)
     measured = audio.waves(readers.binary_files(spark, a.audio, "*.wav")).withColumn("path", readers.plain_path(F.col("path")))
-    rows = rows.withColumn("audio_path", F.when(F.col("audio_path").startswith("/"), F.col("audio_path")).otherwise(F.concat(F.lit(a.root.rstrip("/") + "/"), "audio_path")))
+    listed = readers.listing(spark, a.audio, "*.wav").select(readers.plain_path(F.col("path")).alias("path"))
+    rows = manifests.resolve_audio_paths(rows, listed, a.root, a.config_dir).withColumn("audio_path", F.col("resolved_path")).drop("resolved_path")
     done = audio.quality(rows, measured, shortest=a.min_duration, longest=a.max_duration, silence=a.silence_peak).persist()
     sinks.write_json_lines(done.select("utterance_id", "tts_system_id", "audio_path", "duration_s", "sample_rate", "peak", "issues"), a.output)
     sinks.write_document(sinks.summary_document(summaries.qc_summary(done)), a.output.rstrip("/") + ".summary.json")
     return 0
 
 
+def fetch(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Saves a snapshot of pages; the only command that needs a network."""
+    try:
+        found = pages.snapshot(pages.wiki(a.edition, a.agent, delay=a.delay), a.edition, a.title, a.category, a.max_pages)
+        sinks.write_document(found, a.output, overwrite=False)
+    except (ValueError, RuntimeError, FileExistsError) as e:
+        print(e)
+        return 1
+    print(f"pages={len(found['pages'])} skipped={len(found['skipped'])}")
+    return 0
+
+
 def candidates(spark: SparkSession, a: argparse.Namespace) -> int:
-    pages = readers.snapshot_pages(spark, a.snapshot)
-    if bad := collect.tampered(pages).limit(20).collect():
+    options = {"boundary": a.boundary or BOUNDARY, "min_chars": a.min_chars, "max_chars": a.max_chars, "min_words": a.min_words, "max_words": a.max_words, "include": a.include, "exclude": a.exclude}
+    try:
+        collect.checked_options(**options, max_sentences=a.max_sentences, dataset_id=a.dataset_id, scenario=a.scenario)
+    except ValueError as e:
+        print(e)
+        return 2
+    saved = readers.snapshot_pages(spark, a.snapshot)
+    if bad := collect.tampered(saved).limit(20).collect():
         print("digest differs:", *[r.page_id for r in bad])
         return 1
-    kept = collect.paragraphs(pages).filter("kept").join(pages.select("page_id", "page_pos", "revision_id"), "page_id")
-    judged = collect.judged_candidates(collect.chunks(kept).drop("text"), ["page_pos", "paragraph_index", "chunk_index"], min_chars=a.min_chars, max_chars=a.max_chars, include=a.include, exclude=a.exclude).persist()
-    rows = collect.candidates(judged.filter("reason is null"), a.edition)
-    sinks.write_once(manifests.sampled_exactly(rows, a.max_sentences, a.seed), a.output)
-    for r in collect.collection_counts(judged).orderBy("counter").collect():
+    read = collect.paragraphs(saved).persist()
+    kept = read.filter("kept").join(saved.drop("html"), "page_id")
+    split = collect.chunks(kept, by_sentence=a.split == "punctuation", boundary=options.pop("boundary"))
+    judged = collect.judged_candidates(split.drop("text"), ["page_pos", "paragraph_index", "chunk_index"], **options).persist()
+    rows = collect.candidates(collect.kept_candidates(judged), a.edition).withColumns({"dataset_id": F.lit(a.dataset_id), "scenario": F.lit(a.scenario)})
+    draw = manifests.sampled_exactly if a.exact_sample else manifests.sampled_by_hash
+    drawn = draw(rows, a.max_sentences, a.seed).persist()
+    sinks.write_once(drawn, a.output)
+    for r in collect.collection_counts(judged, read, drawn.count()).orderBy("counter").collect():
         print(f"{r.counter}={r.n}")
     return 0
 
@@ -139,12 +172,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--method", nargs="+", choices=("raw", "regex"), default=["raw", "regex"])
     p = command(synthesis, "variants", "systems", "output")
     p.add_argument("--audio", default="audio")
-    p.add_argument("--method", nargs="+", default=["raw", "regex"])
+    p.add_argument("--method", nargs="+")
+    p.add_argument("--experiment")
+    p.add_argument("--tier", choices=("pilot", "core"))
+    p.add_argument("--exclude-system", nargs="*")
+    p.add_argument("--exact-shuffle", action="store_true")
     p.add_argument("--scenario", nargs="*")
     p.add_argument("--exclude-scenario", nargs="*")
     p.add_argument("--max-tokens", type=int)
     p.add_argument("--per-scenario", type=int)
-    p.add_argument("--seed")
+    p.add_argument("--seed", "--selection-seed")
     p.add_argument("--fail-on-missing", action="store_true")
     command(transcription, "manifest", "asr", "transcripts", "output")
     p = command(score, "manifest", "transcripts", "output")
@@ -152,15 +189,30 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--exclude-empty", action="store_true")
     p = command(check_audio, "manifest", "audio", "output")
     p.add_argument("--root", default=".")
+    p.add_argument("--config-dir")
     p.add_argument("--min-duration", type=float, default=audio.SHORTEST)
     p.add_argument("--max-duration", type=float, default=audio.LONGEST)
     p.add_argument("--silence-peak", type=float, default=audio.SILENCE)
+    p = command(fetch, "output")
+    p.add_argument("--edition", default="el")
+    p.add_argument("--agent", required=True)
+    p.add_argument("--delay", type=float, default=pages.LEAST_DELAY)
+    p.add_argument("--title", nargs="*", default=[])
+    p.add_argument("--category", nargs="*", default=[])
+    p.add_argument("--max-pages", type=int, default=20)
     p = command(candidates, "snapshot", "output")
     p.add_argument("--edition", default="el")
     p.add_argument("--min-chars", type=int, default=25)
     p.add_argument("--max-chars", type=int, default=300)
     p.add_argument("--include")
     p.add_argument("--exclude")
+    p.add_argument("--min-words", type=int, default=0)
+    p.add_argument("--max-words", type=int, default=0)
+    p.add_argument("--boundary")
+    p.add_argument("--split", choices=("punctuation", "paragraph"), default="punctuation")
+    p.add_argument("--dataset-id", default="candidates")
+    p.add_argument("--scenario", default="unreviewed")
+    p.add_argument("--exact-sample", action="store_true")
     p.add_argument("--max-sentences", type=int, default=200)
     p.add_argument("--seed", type=int, default=20260610)
     return top

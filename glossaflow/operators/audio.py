@@ -18,7 +18,7 @@ _PCM, _FLOAT, _EXTENSIBLE = 1, 3, 0xFFFE
 
 @dataclass
 class Wave:
-    """What a WAV file holds; ``peak`` is None where samples are not judged (8 and 24 bit)."""
+    """What a WAV file holds; ``peak`` is None where samples are not judged (8 and 24 bit, no samples)."""
 
     rate: int
     channels: int
@@ -33,10 +33,11 @@ def read_wave(content: bytes) -> Wave:
     """Walks the RIFF chunks (odd ones are padded); raises ValueError for anything that is no readable WAV."""
     if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE file")
-    at, form, data = 12, None, None
+    at, form, data, short = 12, None, None, ""
     while at + 8 <= len(content):
         name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
         body = content[at + 8 : at + 8 + size]
+        short = short or (len(body) < size and name.decode("latin-1").strip())
         if name == b"fmt ":
             if len(body) < 16:
                 raise ValueError("short fmt chunk")
@@ -44,14 +45,19 @@ def read_wave(content: bytes) -> Wave:
             if form[0] == _EXTENSIBLE and len(body) >= 26:
                 form[0] = struct.unpack_from("<H", body, 24)[0]
         elif name == b"data":
-            data = body
+            data, declared = body, size
         at += 8 + size + size % 2
+        if form is not None and data is not None:
+            break
+    if form is not None and form[0] == _FLOAT and short:
+        raise ValueError(f"truncated {short} chunk")
     if form is None or data is None:
         raise ValueError("fmt or data chunk missing")
     kind, channels, rate, _, frame_bytes, bits = form
     if kind not in (_PCM, _FLOAT) or not channels or not rate or not frame_bytes:
         raise ValueError("unsupported coding")
-    duration = (len(data) // frame_bytes) / rate
+    # A PCM file lasts as long as its header says, even if its samples break off.
+    duration = ((len(data) if kind == _FLOAT else declared) // frame_bytes) / rate
     if kind == _FLOAT:
         if bits not in (32, 64):
             raise ValueError("unsupported float width")
@@ -61,7 +67,7 @@ def read_wave(content: bytes) -> Wave:
         peak = float(np.abs(samples[np.isfinite(samples)]).max(initial=0.0))
         return Wave(rate, channels, bits, True, duration, peak, finite)
     peak = None
-    if bits == 16:
+    if bits == 16 and len(data) >= frame_bytes:
         samples = np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.int32)
         peak = float(np.abs(samples).max(initial=0)) / 32768.0
     return Wave(rate, channels, bits, False, duration, peak, True)

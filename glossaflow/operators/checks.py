@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import word_count
-from glossaflow.operators.manifests import bounded
+from glossaflow.operators.ranking import bounded
 
 ISSUE = "path string, severity string, code string, message string, sentence_id string"
 TOP_FIELDS = ("dataset_id", "language", "scenario", "sentences", "source", "total_sentences")
@@ -28,7 +28,8 @@ def _kind(v: Column) -> Column:
 def dataset_issues(files: DataFrame, *, strict: bool = False, tolerance: int = 2) -> DataFrame:
     """Issues of JSON data sets given as ``path, value`` (whole texts).
 
-    Variants keep an absent field apart from a null one. Unreadable files and files whose sentences are no list end with
+    Variants keep an absent field apart from a null one; a null id is an id. Word counts are judged where the text is a
+    string, be it empty. Unreadable files and files whose sentences are no list end with
     that issue; duplicates of a sentence id give one issue per id. Order is not part of the result.
     """
     parsed = files.select("path", F.try_parse_json("value").alias("doc"))
@@ -42,10 +43,13 @@ def dataset_issues(files: DataFrame, *, strict: bool = False, tolerance: int = 2
     has_list = _kind(F.col("sentences")).startswith("ARRAY")
     no_list = listed.filter(~has_list).select(_issue(path, "error", "sentences_not_list", "sentences is no list").alias("i"))
     whole = listed.filter(has_list).select("path", "doc", F.try_variant_get("sentences", "$", "array<variant>").alias("items"))
-    total = F.try_variant_get("doc", "$.total_sentences", "bigint")
-    count = whole.filter(~total.eqNullSafe(F.size("items").cast("bigint"))).select(_issue(path, "error", "sentence_count_mismatch", F.concat(F.lit("total_sentences differs from "), F.size("items").cast("string"))).alias("i"))
+    # Compared by value and kind, as 1, 1.0 and true are one number here, and "1" is none.
+    total = F.try_variant_get("doc", "$.total_sentences", "variant")
+    number = F.when(_kind(total).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("doc", "$.total_sentences", "double")).when(_kind(total) == "BOOLEAN", F.try_variant_get("doc", "$.total_sentences", "boolean").cast("double"))
+    count = whole.filter(~number.eqNullSafe(F.size("items").cast("double"))).select(_issue(path, "error", "sentence_count_mismatch", F.concat(F.lit("total_sentences differs from "), F.size("items").cast("string"))).alias("i"))
     each = whole.select("path", F.posexplode("items").alias("pos", "s"))
-    sid = F.coalesce(F.try_variant_get("s", "$.id", "string"), F.concat(F.lit("index_"), F.col("pos").cast("string")))
+    own_id = F.try_variant_get("s", "$.id", "variant")
+    sid = F.when(_kind(own_id) == "ABSENT", F.concat(F.lit("index_"), F.col("pos").cast("string"))).when(_kind(own_id) == "VOID", "None").otherwise(F.try_variant_get("s", "$.id", "string"))
     each = each.withColumns({"sid": sid, "object": _kind(F.col("s")).startswith("OBJECT")})
     not_object = each.filter("not object").select(_issue(path, "error", "sentence_not_object", "sentence is no object", F.concat(F.lit("index_"), F.col("pos").cast("string"))).alias("i"))
     rows = each.filter("object")
@@ -60,8 +64,8 @@ def dataset_issues(files: DataFrame, *, strict: bool = False, tolerance: int = 2
     found = F.array_compact(
         F.array(
             F.when(empty, _issue(path, "error", "empty_text", "text is empty or no string", F.col("sid"))),
-            F.when((_kind(words) != "ABSENT") & ~whole_number, _issue(path, "error", "word_count_not_int", "word_count is no integer", F.col("sid"))),
-            F.when(~empty & whole_number & off, _issue(path, "error" if strict else "warning", "word_count_mismatch", "word_count differs from the text", F.col("sid"))),
+            F.when(plain.isNotNull() & (_kind(words) != "ABSENT") & ~whole_number, _issue(path, "error", "word_count_not_int", "word_count is no integer", F.col("sid"))),
+            F.when(plain.isNotNull() & whole_number & off, _issue(path, "error" if strict else "warning", "word_count_mismatch", "word_count differs from the text", F.col("sid"))),
             F.when((_kind(F.try_variant_get("s", "$.characteristics", "variant")) != "ABSENT") & ~_kind(F.try_variant_get("s", "$.characteristics", "variant")).startswith("OBJECT"), _issue(path, "error", "characteristics_not_object", "characteristics is no object", F.col("sid"))),
         )
     )
@@ -71,14 +75,14 @@ def dataset_issues(files: DataFrame, *, strict: bool = False, tolerance: int = 2
 
 
 def sentence_issues(sentences: DataFrame, *, strict: bool = False, tolerance: int = 2) -> DataFrame:
-    """The row rules over a table of sentences: empty text, word count off, doubled id (distinct texts under one id)."""
+    """The row rules over a table of sentences: empty text, word count off, doubled id. Pass one row of re-delivered ones."""
     path, sid = F.col("dataset_file"), F.col("id")
     off = F.abs(F.col("word_count") - word_count(F.col("text"))) > tolerance
     empty = F.coalesce("text", F.lit("")) == ""
     found = F.array_compact(F.array(
         F.when(empty, _issue(path, "error", "empty_text", "text is empty", sid)),
         F.when(F.col("word_count").isNull(), _issue(path, "error", "word_count_not_int", "word_count is no integer", sid)),
-        F.when(~empty & off, _issue(path, "error" if strict else "warning", "word_count_mismatch", "word_count differs from the text", sid)),
+        F.when(off, _issue(path, "error" if strict else "warning", "word_count_mismatch", "word_count differs from the text", sid)),
         F.when(F.col("characteristics").isNull(), _issue(path, "error", "characteristics_not_object", "characteristics is no object", sid)),
     ))
     rows = sentences.select(F.explode(found).alias("i"))
@@ -114,12 +118,23 @@ def cartesian_gaps(df: DataFrame, dimensions: Sequence[Sequence[str]]) -> DataFr
 
     The combinations are the result's own yardstick, so they are made; dimensions of proven size are broadcast to it.
     """
-    parts = [df.select(*d).distinct() for d in dimensions]
-    wanted = reduce(lambda x, y: x.crossJoin(bounded(y)), parts)
+    wanted = _combinations([df.select(*d).distinct() for d in dimensions])
     columns = [c for d in dimensions for c in d]
     return wanted.join(df.select(*columns).distinct(), columns, "left_anti")
 
 
+def _combinations(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda x, y: x.crossJoin(bounded(y, derived=True)), parts)
+
+
+def cartesian_differences(df: DataFrame, dimensions: Sequence[DataFrame]) -> DataFrame:
+    """``columns, side``: combinations of given dimensions that ``df`` lacks ('missing') or has beyond them ('extra')."""
+    wanted = _combinations([d.distinct() for d in dimensions])
+    have = df.select(*wanted.columns).distinct()
+    missing = wanted.join(have, wanted.columns, "left_anti").withColumn("side", F.lit("missing"))
+    return missing.unionByName(have.join(wanted, wanted.columns, "left_anti").withColumn("side", F.lit("extra")))
+
+
 def broken_dependencies(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """Keys within which ``value`` is not constant (null counts as a value), with the number of its values."""
     return df.groupBy(*key).agg((F.countDistinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("n_values")).filter("n_values > 1")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import BOUNDARY, candidate_id, digest, has_decimal_digit, sentence_split, strip_edges, word_count
+from glossaflow.operators.ranking import join_groups
 
 # Elements and classes whose text is no prose, elements that spoil a paragraph, elements without an end.
 BLOCKED = frozenset("table ul ol dl script style figure nav aside".split())
@@ -109,11 +112,29 @@ def chunks(texts: DataFrame, *, by_sentence: bool = True, boundary: str = BOUNDA
     return texts.select("*", F.posexplode_outer(pieces).alias("chunk_index", "chunk")).filter("chunk is not null")
 
 
+def checked_options(*, boundary: str = BOUNDARY, min_chars: int = 25, max_chars: int = 300, min_words: int = 0, max_words: int = 0, max_sentences: int = 200, dataset_id: str = "candidates", scenario: str = "unreviewed", include: str | None = None, exclude: str | None = None) -> None:
+    """Refuses options of a candidate build that cannot work, before anything runs (ValueError)."""
+    problems = [
+        (not re.fullmatch("[A-Za-z0-9][A-Za-z0-9_-]*", dataset_id), "the data set's id may hold letters, digits, _ and -"), (not scenario.strip(), "the scenario is empty"),
+        (min_chars < 1 or max_chars < min_chars, "bad bounds of characters"), (min_words < 0 or max_words < 0 or 0 < max_words < min_words, "bad bounds of words"), (max_sentences < 1, "bad number of sentences"),
+    ]
+    for name, pattern in (("boundary", boundary), ("include", include), ("exclude", exclude)):
+        try:
+            compiled = regex.compile(pattern or "x")
+        except regex.error as e:
+            raise ValueError(f"bad {name} pattern: {e}") from e
+        problems.append((name == "boundary" and (compiled.groups > 0 or compiled.search("") is not None), "a boundary may neither capture nor match nothing"))
+    for wrong, what in problems:
+        if wrong:
+            raise ValueError(what)
+
+
 def judged_candidates(pieces: DataFrame, order: list[str], *, min_chars: int = 25, max_chars: int = 300, min_words: int = 0, max_words: int = 0, include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """Adds ``words`` and ``reason``: why a chunk is rejected (first rule that fires), null for those kept.
+    """``reason, n, row``: chunks by what becomes of them.
 
-    A duplicate is any but the first, in ``order``, of the chunks that pass the other rules. The first is a map-side
-    combined minimum per digest, not a window, so no task holds the copies of a chunk that recurs in a third of all rows.
+    A chunk that breaks a rule counts under the first such rule; its row is one of them. Of all others the first of each text,
+    in ``order``, is kept (reason null), and n - 1 are its duplicates. One pass and one map-side combined aggregation, so a
+    text that makes up a third of all chunks leaves every task as one row, and nothing is joined.
     """
     words = word_count(F.col("chunk"))
     size = F.char_length("chunk")
@@ -122,38 +143,64 @@ def judged_candidates(pieces: DataFrame, order: list[str], *, min_chars: int = 2
         early = early.when(~F.regexp_like("chunk", F.lit(include)), "include_pattern")
     if exclude:
         early = early.when(F.regexp_like("chunk", F.lit(exclude)), "exclude_pattern")
-    ruled = pieces.withColumns({"words": words, "_early": early, "_key": digest(F.col("chunk")), "_at": F.struct(*order)})
-    first = ruled.filter("_early is null").groupBy("_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_key", "_first")
-    joined = ruled.join(first, "_key", "left")
-    repeated = F.col("_early").isNull() & F.col("_first").isNotNull() & (F.col("_at") != F.col("_first"))
-    return joined.withColumn("reason", F.coalesce(F.col("_early"), F.when(repeated, "duplicate_text"))).drop("_early", "_key", "_at", "_first")
+    ruled = pieces.select(F.struct(*pieces.columns, words.alias("words")).alias("row"), F.struct(*order).alias("at"), early.alias("reason"), digest(F.col("chunk")).alias("key"))
+    grouped = ruled.groupBy("reason", F.when(F.col("reason").isNull(), F.col("key")).alias("key"))
+    return grouped.agg(F.count("*").alias("n"), F.min_by("row", "at").alias("row")).select("reason", "n", "row")
+
+
+def kept_candidates(judged: DataFrame) -> DataFrame:
+    """The chunks that are kept, with their columns and ``words``."""
+    return judged.filter("reason is null").select("row.*")
 
 
 def candidates(kept: DataFrame, edition: str) -> DataFrame:
-    """Candidate rows of kept chunks (``page_id, revision_id, chunk, words``) with their stable ids."""
-    text = F.col("chunk")
+    """Candidate rows of kept chunks (``page_id, revision_id, chunk, words``) with their stable ids.
+
+    ``provenance`` holds what is known of the page a chunk comes from and its place there; ``source_url`` is the page's
+    revision. Columns that the chunks lack are null.
+    """
+    text, have = F.col("chunk"), set(kept.columns)
+    known = lambda c, kind="string": (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
+    told = [known("title"), known("page_id", "bigint"), known("revision_id", "bigint"), known("revision_timestamp"), known("article_url"), known("history_url"), known("html_sha256"), known("paragraph_index", "int")]
     return kept.select(
-        candidate_id(F.lit(edition), F.col("page_id"), F.col("revision_id"), text).alias("id"), text.alias("text"), F.col("words").alias("word_count"),
+        candidate_id(F.lit(edition), F.col("page_id"), F.col("revision_id"), text).alias("id"), text.alias("text"), known("revision_url").alias("source_url"), F.col("words").alias("word_count"),
         has_decimal_digit(text).alias("has_digit"), F.lit("needs_language_review").alias("review_status"), "page_id", "revision_id", digest(text).alias("text_sha256"),
+        F.struct(*told, digest(text).alias("text_sha256")).alias("provenance"),
     )
 
 
-def collection_counts(judged: DataFrame) -> DataFrame:
-    """``counter, n``: candidates, every reason that occurred, and the eligible ones."""
-    reasons = judged.groupBy(F.coalesce("reason", F.lit("eligible_unique")).alias("counter")).agg(F.count("*").alias("n"))
-    return reasons.unionByName(judged.agg(F.count("*").alias("n")).select(F.lit("candidates").alias("counter"), "n"))
+def collection_counts(judged: DataFrame, paragraphs: DataFrame | None = None, selected: int | None = None) -> DataFrame:
+    """``counter, n``: candidates, every reason that occurred, duplicates and the eligible ones.
+
+    With ``paragraphs`` (``kept``) also the paragraphs read and those rejected for their mark-up, and the number selected if
+    it is given.
+    """
+    eligible = F.col("reason").isNull()
+    counter = lambda name, n: F.struct(name.alias("counter"), n.cast("bigint").alias("n"))
+    parts = F.array(
+        counter(F.lit("candidates"), F.col("n")), counter(F.coalesce("reason", F.lit("eligible_unique")), F.when(eligible, 1).otherwise(F.col("n"))),
+        counter(F.lit("duplicate_text"), F.when(eligible & (F.col("n") > 1), F.col("n") - 1)),
+    )
+    out = judged.select(F.explode(parts).alias("p")).filter("p.n is not null").groupBy("p.counter").agg(F.sum("p.n").alias("n"))
+    spark = judged.sparkSession
+    explicit = spark.createDataFrame([("candidates", 0), ("eligible_unique", 0), *([("selected", selected)] if selected is not None else [])], "counter string, n bigint")
+    if paragraphs is not None:
+        read = paragraphs.agg(F.count_if("kept").alias("paragraphs"), F.count_if(~F.col("kept")).alias("markup_paragraphs_rejected"))
+        explicit = explicit.unionByName(read.unpivot([], ["paragraphs", "markup_paragraphs_rejected"], "counter", "n"))
+    return out.unionByName(explicit).groupBy("counter").agg(F.sum("n").alias("n"))
 
 
 def page_reasons(pages: DataFrame) -> DataFrame:
     """Adds ``reason`` to requested pages (``pos, title, page_id, namespace, disambiguation``): why a page is skipped.
 
-    Missing or invalid pages, other namespaces, disambiguation pages, and pages resolved before under another title.
+    Missing or invalid pages, other namespaces, disambiguation pages, and pages resolved before under another title. A page
+    that holds a large part of all rows is met map-side, and rows that are skipped anyway meet nothing.
     """
     early = F.when(F.col("page_id").isNull(), "missing_or_invalid").when(F.col("namespace") != 0, "not_an_article").when(F.coalesce("disambiguation", F.lit(False)), "disambiguation")
-    ruled = pages.withColumn("_early", early)
-    first = ruled.filter("_early is null").groupBy("page_id").agg(F.min("pos").alias("_first"))
-    joined = ruled.join(first, "page_id", "left")
-    return joined.withColumn("reason", F.coalesce("_early", F.when(F.col("pos") > F.col("_first"), "duplicate_page"))).drop("_early", "_first")
+    ruled = pages.withColumn("_early", early).withColumn("_page", F.when(F.col("_early").isNull(), F.col("page_id")))
+    first = ruled.filter("_page is not null").groupBy("_page").agg(F.count("*").alias("n"), F.min("pos").alias("_first"))
+    joined = join_groups(ruled, first, "_page")
+    return joined.withColumn("reason", F.coalesce("_early", F.when(F.col("pos") > F.col("_first"), "duplicate_page"))).drop("_early", "_page", "_first")
 
 
 def merged_titles(given: DataFrame, listed: DataFrame, most: int) -> DataFrame:

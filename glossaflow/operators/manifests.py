@@ -11,16 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossaflow.functions.text import collapse_spaces, fallback, path_of, safe_id, word_count
-from glossaflow.operators.ranking import running_index
-
-#: A registry side is broadcast up to so many rows; beyond, the join shuffles.
-REGISTRY_ROWS = 100_000
-
-
-def bounded(df: DataFrame, rows: int = REGISTRY_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count that stops early proves it small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from glossaflow.operators.ranking import bounded, running_index
 
 def enabled_systems(systems: DataFrame) -> DataFrame:
     """Systems that are not switched off; a missing switch is on."""
@@ -38,46 +29,114 @@ def within_words(df: DataFrame, most: int) -> DataFrame:
 
 def first_of_dataset(sentences: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` sentences of every data set in file order."""
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("sentence_index", "id"))
-    return sentences.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    return first_of_groups(sentences, "dataset_id", ["sentence_index", "id"], limit)
 
 
 def hash_selected(sentences: DataFrame, limit: int, seed: str) -> DataFrame:
     """``limit`` sentences of every data set in the order of a seeded digest: the native, distributed selection."""
     key = F.sha2(F.concat(F.lit(seed), F.lit(":"), "dataset_id", F.lit(":"), "id"), 256)
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy(key, "id"))
-    return sentences.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    return first_of_groups(sentences.withColumn("_digest", key), "dataset_id", ["_digest", "id"], limit).drop("_digest")
+
+
+#: Limits up to which Spark cuts a group in every task before the shuffle.
+SMALL_LIMIT = 1000
+
 
+def first_of_groups(rows: DataFrame, key: str, order: Sequence[str], limit: int | str) -> DataFrame:
+    """The first ``limit`` rows (a number or a column) of every group in ``order``.
 
-def shuffled_selection(sentences: DataFrame, limit: int, seed: int | str) -> DataFrame:
+    Small limits cut every task's share of a group before the shuffle; a large one numbers the rows over range partitions,
+    so that no task sorts a whole group.
+    """
+    if isinstance(limit, int) and limit <= SMALL_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    most = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    return running_index(rows, [key], order, "_rank").filter(F.col("_rank") <= most).drop("_rank")
+
+
+def shuffled_selection(sentences: DataFrame, limit: int | str, seed: int | str) -> DataFrame:
     """``dataset_id, id``: the exact selection of a Mersenne-Twister shuffle seeded with '<seed>:<dataset_id>'.
 
-    For parity with existing manifests only: the shuffle needs all ids of a data set in one task. Data sets are files of
-    a few dozen sentences; use ``hash_selected`` for corpora.
+    limit: a number, or the column that holds the data set's own. For parity with existing manifests only: the shuffle needs
+    all ids of a data set in one task. Data sets are files of a few dozen sentences; use ``hash_selected`` for corpora.
     """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame.sort_values(["sentence_index", "id"])["id"].tolist()
         chosen = list(ids)
         random.Random(f"{seed}:{frame['dataset_id'].iloc[0]}").shuffle(chosen)
-        keep = set(chosen[:limit])
+        keep = set(chosen[: int(frame["_most"].iloc[0])])
         return pd.DataFrame({"dataset_id": frame["dataset_id"].iloc[0], "id": [i for i in ids if i in keep]})
 
-    return sentences.select("dataset_id", "sentence_index", "id").groupBy("dataset_id").applyInPandas(pick, "dataset_id string, id string")
+    most = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    return sentences.select("dataset_id", "sentence_index", "id", most.alias("_most")).groupBy("dataset_id").applyInPandas(pick, "dataset_id string, id string")
+
+
+def sampled_by_hash(rows: DataFrame, limit: int, seed: int | str) -> DataFrame:
+    """The ``limit`` rows with the least seeded digests of their ids: a distributed top-k, the same in every layout."""
+    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
+    return rows.withColumn("_digest", key).orderBy("_digest", "id").limit(limit).drop("_digest")
 
 
 def sampled_exactly(rows: DataFrame, limit: int, seed: int) -> DataFrame:
-    """``limit`` rows drawn as ``random.Random(seed).sample`` draws from the rows in id order, in id order again.
+    """``limit`` rows drawn as ``random.Random(seed).sample`` draws from the rows in id order.
+
+    For parity with published selections only; ``sampled_by_hash`` is the distributed draw. The draw picks positions, so the
+    ids are numbered in order over range partitions and meet the drawn positions; no task sees all of them.
+    """
+    numbered = running_index(rows.select(F.lit(1).alias("_all"), "id"), ["_all"], ["id"], "_at")
+    n = numbered.count()
+    if n <= limit:
+        return rows
+    drawn = rows.sparkSession.createDataFrame([(i + 1,) for i in random.Random(seed).sample(range(n), limit)], "_at bigint")
+    return rows.join(numbered.join(F.broadcast(drawn), "_at").select("id"), "id", "left_semi")
+
 
-    Only ids travel to one task; the rows join back. For candidate sets of a release, not for corpora.
+def tier(experiment: dict, name: str | None, *, methods: Sequence[str] | None = None, seed: str | None = None) -> dict:
+    """Methods, scenarios, sentences per scenario and seed of a run: the whole experiment, or one of its tiers.
+
+    Given methods and a given seed take precedence over the tier's; the seed 'none' means file order.
     """
+    part = experiment[name] if name else {}
+    own = part.get("selection_seed") if seed is None else (None if seed.lower() == "none" else seed)
+    return {
+        "methods": list(methods or part.get("preprocessing_methods") or experiment["preprocessing_methods"]), "scenarios": sorted(set(part["scenarios"])) if name else None,
+        "per_scenario": int(part["sentences_per_scenario"]) if name else None, "seed": None if own is None else str(own),
+    }
+
 
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = sorted(i for f in frames for i in f["id"])
-        yield pd.DataFrame({"id": ids if len(ids) <= limit else sorted(random.Random(seed).sample(ids, limit))})
+def without_systems(rows: DataFrame, excluded: Sequence[str]) -> DataFrame:
+    """Rows of all but the excluded systems; a row without a system stays."""
+    return rows.filter(~F.coalesce(F.col("tts_system_id").isin(*excluded), F.lit(False))) if excluded else rows
 
-    chosen = rows.select("id").coalesce(1).mapInPandas(pick, "id string")
-    return rows.join(chosen, "id", "left_semi")
+
+def selected_ids(rows: DataFrame) -> DataFrame:
+    """``dataset_file, n_ids, ids``: the distinct sentences that a manifest takes from every file, in order."""
+    return rows.groupBy("dataset_file").agg(F.array_sort(F.collect_set("sentence_id")).alias("ids")).select("dataset_file", F.size("ids").alias("n_ids"), "ids")
+
+
+def reference_assets(paths: DataFrame, shared: Sequence[tuple[str, str, str, str]], folders: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """Adds ``asset_id, asset_path, asset_kind`` to reference audio paths (``path``); all null where no rule maps a path.
+
+    shared: (ending, id, path, kind) of assets that many systems use. folders: (folder, ending, prefix of the id, kind) of
+    assets that keep their path and are known by their file name. The first rule that fits counts.
+    """
+    p, kind = F.col("path"), "struct<id:string,path:string,kind:string>"
+    made = lambda i, at, k: F.struct(i.alias("id"), at.alias("path"), F.lit(k).alias("kind"))
+    rules = [F.when(p.endswith(e), made(F.lit(i), F.lit(at), k)) for e, i, at, k in shared]
+    rules += [F.when(p.startswith(folder) & p.endswith(e), made(F.concat(F.lit(prefix), F.regexp_extract(p, r"([^/]*?)\.[^./]*$", 1)), p, k)) for folder, e, prefix, k in folders]
+    found = F.coalesce(*rules, F.lit(None).cast(kind))
+    return paths.withColumn("_a", found).withColumns({"asset_id": F.col("_a.id"), "asset_path": F.col("_a.path"), "asset_kind": F.col("_a.kind")}).drop("_a")
+
+
+def resolve_audio_paths(rows: DataFrame, listing: DataFrame, root: str, config_dir: str | None = None) -> DataFrame:
+    """Adds ``resolved_path``: absolute paths as they are, others below ``root`` if they exist there, else below ``config_dir``."""
+    there = listing.select(F.col("path").alias("_at_root")).distinct().withColumn("_there", F.lit(True))
+    p = F.col("audio_path")
+    placed = rows.withColumn("_at_root", F.concat(F.lit(root.rstrip("/") + "/"), p)).join(there, "_at_root", "left")
+    below = F.concat(F.lit((config_dir or root).rstrip("/") + "/"), p)
+    return placed.withColumn("resolved_path", F.when(p.startswith("/"), p).when(F.coalesce("_there", F.lit(False)), F.col("_at_root")).otherwise(below)).drop("_at_root", "_there")
 
 
 def scenario_caps(per_file: DataFrame, most: int) -> DataFrame:
@@ -149,11 +208,12 @@ def transcription_manifest(synthesis: DataFrame, asr: dict, transcript_dir: str)
     )
 
 
-def handoff_index(manifest: DataFrame, order: Sequence[str] = ("utterance_id",)) -> DataFrame:
+def handoff_index(manifest: DataFrame, order: Sequence[str] = ("utterance_id",), variant: str = "ft") -> DataFrame:
     """Clips of every system numbered from 1, with the one-line text and the name of the wave file that comes back."""
-    numbered = running_index(manifest, ["tts_system_id"], order, "handoff_index")
+    needed = list(dict.fromkeys(["tts_system_id", "utterance_id", "synthesis_text", "audio_path", *order]))
+    numbered = running_index(manifest.select(*needed), ["tts_system_id"], order, "handoff_index")
     line = collapse_spaces(F.col("synthesis_text"))
-    return numbered.select("tts_system_id", "handoff_index", "utterance_id", line.alias("handoff_text"), (line != F.col("synthesis_text")).alias("text_changed"), F.format_string("%03d_ft.wav", "handoff_index").alias("returned_wav"), "audio_path")
+    return numbered.select("tts_system_id", "handoff_index", "utterance_id", line.alias("handoff_text"), (line != F.col("synthesis_text")).alias("text_changed"), returned_wav(F.col("handoff_index"), variant).alias("returned_wav"), "audio_path")
 
 
 def returned_wav(index: Column, variant: str) -> Column:
@@ -161,6 +221,11 @@ def returned_wav(index: Column, variant: str) -> Column:
     return F.format_string({"ft": "%03d_ft.wav", "base": "%03d_base.wav", "plain": "%03d.wav"}[variant], index)
 
 
+def copy_summary(plan: DataFrame) -> DataFrame:
+    """``tts_system_id, copied, missing`` of a copy plan."""
+    return plan.groupBy("tts_system_id").agg(F.count_if("exists").alias("copied"), F.count_if(~F.col("exists")).alias("missing"))
+
+
 def handoff_summary(index: DataFrame) -> DataFrame:
     return index.groupBy("tts_system_id").agg(F.count("*").alias("rows"), F.count_if("text_changed").alias("changed"))
 

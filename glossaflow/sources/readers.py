@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from email.utils import parsedate_to_datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,6 +42,20 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def document(spark: SparkSession, path: str) -> dict:
+    """A small JSON document, {} if there is none at the path; anything but an object is refused."""
+    try:
+        text = spark.read.option("wholetext", True).text(path).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    value = json.loads(text[0]) if text else {}
+    if not isinstance(value, dict):
+        raise ValueError(f"no JSON object in {path}")
+    return value
+
+
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """``path, hypothesis`` of the transcript files below a folder."""
     docs = spark.read.schema("text string, segments array<struct<text:string>>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
@@ -117,20 +134,44 @@ def register_paged(spark: SparkSession, fetch: Callable[[str | None], tuple[list
     spark.dataSource.register(source)
 
 
-def polite(call: Callable[[], tuple[int, dict, dict]], *, sleep: Callable[[float], None], attempts: int = 4, longest_wait: float = 30.0) -> dict:
+# Statuses and errors of a busy service, and the seconds it wants after such an error.
+BUSY_STATUSES, BUSY_ERRORS, LAG_WAIT = (429, 500, 502, 503, 504), ("maxlag", "ratelimited"), 5.0
+
+
+def retry_after(header: str | None, now: float) -> float:
+    """Seconds that a Retry-After header asks for: a number or a date; 0 for anything else."""
+    try:
+        return float(header or 0)
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(header).timestamp() - now)
+    except (ValueError, TypeError, OverflowError):
+        return 0.0
+
+
+def polite(call: Callable[[], tuple[int, dict, dict]], *, sleep: Callable[[float], None], attempts: int = 4, longest_wait: float = 30.0, clock: Callable[[], float] = time.time) -> dict:
     """The JSON of a call that is tried again when the service is busy.
 
-    call gives status, headers and payload. Busy are 429, 5xx and the errors maxlag and ratelimited; the wait doubles and is
-    never under Retry-After, a longer Retry-After than ``longest_wait`` gives up.
+    call gives status, headers and payload, or raises OSError where the network fails. The wait doubles and is never under
+    what the service asks for; more than ``longest_wait`` gives up. Warnings and payloads that are no object are failures,
+    as a collection must not go on with part of its data.
     """
     for n in range(attempts):
-        status, headers, payload = call()
+        try:
+            status, headers, payload = call()
+        except OSError as e:
+            status, headers, payload = 503, {}, {"error": {"code": str(e)}}
+        if not isinstance(payload, dict):
+            raise RuntimeError("the answer is no object")
         error = (payload.get("error") or {}).get("code")
         if status < 400 and not error:
+            if payload.get("warnings"):
+                raise RuntimeError(f"warning: {payload['warnings']}")
             return payload
-        if not (status == 429 or status >= 500 or error in ("maxlag", "ratelimited")):
+        if not (status in BUSY_STATUSES or error in BUSY_ERRORS):
             raise RuntimeError(f"request failed: {status} {error}")
-        asked = float(headers.get("Retry-After", 0))
+        asked = retry_after(headers.get("Retry-After"), clock()) if status >= 400 else LAG_WAIT
         if asked > longest_wait or n + 1 == attempts:
             break
         sleep(max(2.0 ** (n + 1), asked))

@@ -56,6 +56,26 @@ def test_candidates(spark, tmp_path, capsys):
     assert "duplicate_text=2" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "c")).count() == 2
     (tmp_path / "bad.json").write_text(json.dumps({"edition": "el", "language": "el", "pages": [page | {"html": "x"}]}))
     assert main(["candidates", str(tmp_path / "bad.json"), str(tmp_path / "c2")], spark) == 1
+    for wrong in (["--boundary", "(x)"], ["--min-chars", "0"], ["--dataset-id", "a b"]):
+        assert main(["candidates", str(tmp_path / "s.json"), str(tmp_path / "c3"), *wrong], spark) == 2
+    assert main(["candidates", str(tmp_path / "s.json"), str(tmp_path / "c4"), "--exact-sample", "--max-sentences", "1", "--split", "paragraph"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "c4")).first().provenance.title == "t" and "selected=1" in capsys.readouterr().out
+
+
+def test_tiers(spark, tmp_path):
+    dataset(tmp_path / "data", n=9)
+    assert main(["normalise", str(tmp_path / "data"), str(tmp_path / "v")], spark) == 0
+    (tmp_path / "systems.json").write_text(json.dumps({"systems": [{"id": i, "family": "f", "display_name": "A", "model_ref": "m"} for i in ("a", "b")]}))
+    (tmp_path / "x.json").write_text(json.dumps({"preprocessing_methods": ["raw"], "pilot": {"scenarios": ["plain"], "sentences_per_scenario": 2, "preprocessing_methods": ["regex"], "selection_seed": 5}}))
+    go = lambda out, *a: main(["synthesis", str(tmp_path / "v"), str(tmp_path / "systems.json"), str(tmp_path / out), *a], spark)
+    assert go("m", "--experiment", str(tmp_path / "x.json"), "--tier", "pilot", "--exclude-system", "b") == 0
+    rows = spark.read.json(str(tmp_path / "m")).collect()
+    assert len(rows) == 2 and {(r.preprocessing_method, r.tts_system_id) for r in rows} == {("regex", "a")}
+    assert go("n", "--experiment", str(tmp_path / "x.json")) == 0 and spark.read.json(str(tmp_path / "n")).count() == 18
+    assert go("o", "--experiment", str(tmp_path / "x.json"), "--tier", "pilot", "--selection-seed", "none") == 0
+    assert {r.sentence_id for r in spark.read.json(str(tmp_path / "o")).collect()} == {"s0", "s1"}
+    assert go("p", "--per-scenario", "3", "--seed", "4", "--exact-shuffle") == 0 and spark.read.json(str(tmp_path / "p")).count() == 12
+    assert go("q", "--tier", "core") == 2
 
 
 def test_variants(spark):

@@ -48,6 +48,8 @@ def test_manifests(spark):
     assert jobs[0].command[jobs[0].command.index("--language") + 1] == "el"
     assert jobs[0].command[jobs[0].command.index("--output_dir") + 1].startswith("tr/x/")
     index = manifests.handoff_index(manifests.synthesis_manifest(variants, systems, "audio")).orderBy("handoff_index").collect()
+    plan = manifests.copy_plan(manifests.handoff_index(manifests.synthesis_manifest(variants, systems, "audio")), spark.createDataFrame([("in/a b/001_ft.wav",)], "path string"), "in")
+    assert [tuple(r) for r in manifests.copy_summary(plan).collect()] == [("a b", 1, 1)]
     assert [r.returned_wav for r in index] == ["001_ft.wav", "002_ft.wav"] and index[1].text_changed
 
 
@@ -57,7 +59,14 @@ def test_selection(spark):
     a, b = ({r.id for r in manifests.shuffled_selection(rows.repartition(n), 5, 7).collect()} for n in (1, 5))
     assert a == b and len(a) == 5
     assert manifests.hash_selected(rows, 5, "x").count() == 5
-    assert manifests.sampled_exactly(rows, 4, 1).count() == 4
+    import random
+
+    picked = {r.id for r in manifests.sampled_exactly(rows.repartition(7), 4, 1).collect()}
+    assert picked == set(random.Random(1).sample(sorted(f"s_{i:03d}" for i in range(20)), 4)) and manifests.sampled_exactly(rows, 40, 1).count() == 20
+    assert {r.id for r in manifests.sampled_by_hash(rows, 4, 1).collect()} == {r.id for r in manifests.sampled_by_hash(rows.repartition(6), 4, 1).collect()}
+    big = spark.range(3000).selectExpr("if(id < 2800, 'd', 'e') dataset_id", "cast(id as int) sentence_index", "cast(id as string) id")
+    assert {r.n for r in manifests.first_of_dataset(big, 1500).groupBy("dataset_id").agg(F.count("*").alias("n")).collect()} == {1500, 200}
+    assert manifests.first_of_dataset(big, 1500).filter("dataset_id = 'd'").agg(F.max("sentence_index")).first()[0] == 1499
     caps = spark.createDataFrame([("s", "a", 3), ("s", "b", 4), ("s", "c", 2)], "scenario string, dataset_file string, eligible int")
     assert [r.taken for r in manifests.scenario_caps(caps, 5).orderBy("dataset_file").collect()] == [3, 2, 0]
 
@@ -68,6 +77,22 @@ def test_reference_resolution(spark):
     assert [(r.reference_path, r.reference_selector) for r in got] == [("1", "system:s1"), ("2", "family_voice:f::v"), ("3", "voice:v"), (None, None), ("own.wav", "row:ref")]
 
 
+def test_paths_tiers_and_assets(spark):
+    listing = spark.createDataFrame([("/root/a/1.wav",)], "path string")
+    rows = spark.createDataFrame([("a/1.wav",), ("b/2.wav",), ("/x/3.wav",), (None,)], "audio_path string")
+    got = {r.audio_path: r.resolved_path for r in manifests.resolve_audio_paths(rows, listing, "/root/", "/conf").collect()}
+    assert got == {"a/1.wav": "/root/a/1.wav", "b/2.wav": "/conf/b/2.wav", "/x/3.wav": "/x/3.wav", None: None}
+    paths = spark.createDataFrame([("/any/refs/f.wav",), ("natural/s_1.wav",), ("natural/s_1.mp3",), (None,)], "path string")
+    assets = {r.path: (r.asset_id, r.asset_path, r.asset_kind) for r in manifests.reference_assets(paths, [("refs/f.wav", "shared_f", "refs/shared_f.wav", "voice")], [("natural/", ".wav", "natural_", "anchor")]).collect()}
+    assert assets["/any/refs/f.wav"] == ("shared_f", "refs/shared_f.wav", "voice") and assets["natural/s_1.wav"] == ("natural_s_1", "natural/s_1.wav", "anchor") and assets["natural/s_1.mp3"] == assets[None] == (None, None, None)
+    experiment = {"preprocessing_methods": ["raw"], "core": {"scenarios": ["b", "a"], "sentences_per_scenario": "20", "preprocessing_methods": ["raw", "llm"], "selection_seed": 7}}
+    assert manifests.tier(experiment, None) == {"methods": ["raw"], "scenarios": None, "per_scenario": None, "seed": None}
+    assert manifests.tier(experiment, "core") == {"methods": ["raw", "llm"], "scenarios": ["a", "b"], "per_scenario": 20, "seed": "7"}
+    assert manifests.tier(experiment, "core", methods=["x"], seed="None")["seed"] is None and manifests.tier(experiment, "core", methods=["x"])["methods"] == ["x"]
+    clips = spark.createDataFrame([("f", "1", "a"), ("f", "2", "b"), ("f", "1", "b"), ("g", "1", None)], "dataset_file string, sentence_id string, tts_system_id string")
+    assert manifests.without_systems(clips, ["b"]).count() == 2 and {(r.dataset_file, r.n_ids, tuple(r.ids)) for r in manifests.selected_ids(clips).collect()} == {("f", 2, ("1", "2")), ("g", 1, ("1",))}
+
+
 def document(**changes):
     sentence = {"id": "1", "text": "δύο λέξεις", "source_url": None, "word_count": 2, "characteristics": {}}
     return {"dataset_id": "d", "scenario": "s", "language": "el", "total_sentences": 1, "source": "x", "sentences": [sentence]} | changes
@@ -81,6 +106,10 @@ def document(**changes):
         (document(sentences=[{"id": "1", "text": "α", "word_count": 9, "characteristics": {}}]), ["missing_sentence_field", "word_count_mismatch"]),
         (document(sentences=document()["sentences"] * 2, total_sentences=2), ["duplicate_sentence_id"]),
         ({k: v for k, v in document().items() if k != "source"}, ["missing_top_level_field"]),
+        (document(total_sentences="1"), ["sentence_count_mismatch"]), (document(total_sentences=1.5), ["sentence_count_mismatch"]), (document(total_sentences=1.0), []), (document(total_sentences=True), []), (document(total_sentences=None), ["sentence_count_mismatch"]),
+        (document(sentences=[document()["sentences"][0] | {"text": "", "word_count": 9}]), ["empty_text", "word_count_mismatch"]), (document(sentences=[document()["sentences"][0] | {"text": 5, "word_count": "x"}]), ["empty_text"]),
+        (document(sentences=[document()["sentences"][0] | {"id": None}] * 2, total_sentences=2), ["duplicate_sentence_id"]), (document(sentences=[{k: v for k, v in document()["sentences"][0].items() if k != "id"}] * 2, total_sentences=2), ["missing_sentence_field"] * 2),
+        (document(sentences=[document()["sentences"][0] | {"id": 1}, document()["sentences"][0]], total_sentences=2), ["duplicate_sentence_id"]),
     ],
 )
 def test_dataset_rules(spark, value, codes):
@@ -102,6 +131,8 @@ def test_mutations_fire(spark):
     assert [r.id for r in checks.orphans(a, ["id"], b, ["id"]).collect()] == ["2"]
     assert {(r.id, r.side) for r in checks.uncovered(a, b, ["id"]).collect()} == {("2", "left"), ("3", "right")}
     assert checks.cartesian_gaps(a, [["id"], ["v"]]).count() == 3
+    sides = checks.cartesian_differences(a, [b.select("id"), b.select("v")]).collect()
+    assert {(r.id, r.v, r.side) for r in sides} == {("1", None, "missing"), ("3", "x", "missing"), ("3", None, "missing"), ("2", "y", "extra"), ("2", "z", "extra")}
     assert checks.unbalanced(a, ["id"], 1).count() == 1
     assert checks.differing_columns(a, b, ["id"], ["v"]).count() == 0
     assert checks.unequal_sets(a, b).count() == 3
@@ -124,14 +155,32 @@ def test_paragraphs(spark):
 def test_candidates(spark):
     docs = spark.createDataFrame([(1, "Πρώτη πρόταση με λέξεις. Δεύτερη πρόταση με 12 λέξεις!"), (2, "Πρώτη πρόταση με λέξεις. Μικρή."), (3, None)], "doc_id int, text string")
     judged = collect.judged_candidates(collect.chunks(docs).drop("text"), ["doc_id", "chunk_index"], min_chars=10, exclude="[0-9]")
-    got = {(r.doc_id, r.chunk_index): r.reason for r in judged.collect()}
-    assert got == {(1, 0): None, (1, 1): "exclude_pattern", (2, 0): "duplicate_text", (2, 1): "character_length"}
+    kept = collect.kept_candidates(judged)
+    assert [(r.doc_id, r.chunk_index, r.words) for r in kept.collect()] == [(1, 0, 4)]
     counts = {r.counter: r.n for r in collect.collection_counts(judged).collect()}
-    assert counts["candidates"] == 4 and counts["eligible_unique"] == 1
+    assert counts == {"candidates": 4, "eligible_unique": 1, "exclude_pattern": 1, "duplicate_text": 1, "character_length": 1}
+    included = collect.judged_candidates(collect.chunks(docs).drop("text"), ["doc_id", "chunk_index"], min_chars=10, include="Πρώτη")
+    assert {r.counter: r.n for r in collect.collection_counts(included).collect()} == {"candidates": 4, "eligible_unique": 1, "include_pattern": 1, "duplicate_text": 1, "character_length": 1}
+    read = spark.createDataFrame([(True,), (False,), (True,)], "kept boolean")
+    nothing = {r.counter: r.n for r in collect.collection_counts(judged.limit(0), read, 0).collect()}
+    assert nothing == {"candidates": 0, "eligible_unique": 0, "selected": 0, "paragraphs": 2, "markup_paragraphs_rejected": 1}
+    row = collect.candidates(kept.withColumns({"page_id": F.lit(7), "revision_id": F.lit(8), "title": F.lit("Τ"), "revision_url": F.lit("u"), "paragraph_index": F.lit(3)}), "el").first()
+    assert (row.source_url, row.provenance.title, row.provenance.paragraph_index, row.provenance.text_sha256, row.provenance.article_url) == ("u", "Τ", 3, row.text_sha256, None)
+    hot = spark.createDataFrame([(i, 1 if i % 3 else None, 0, None) for i in range(6000)] + [(7000 + i, 100 + i % 50, 0, None) for i in range(200)], "pos int, page_id bigint, namespace int, disambiguation boolean").repartition(5)
+    reasons = {r.pos: r.reason for r in collect.page_reasons(hot).collect()}
+    assert len(reasons) == 6200 and reasons[0] == "missing_or_invalid" and reasons[1] is None and reasons[2] == "duplicate_page" and reasons[7000] is None and reasons[7050] == "duplicate_page"
+    assert collect.page_reasons(hot.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, 7, 0, None), (2, 7, 0, None), (3, None, 0, None), (4, 8, 1, None), (5, 9, 0, True)], "pos int, page_id bigint, namespace int, disambiguation boolean")
     assert [r.reason for r in collect.page_reasons(pages).orderBy("pos").collect()] == [None, "duplicate_page", "missing_or_invalid", "not_an_article", "disambiguation"]
 
 
+@pytest.mark.parametrize("bad", [{"min_chars": 0}, {"max_chars": 5}, {"min_words": -1}, {"min_words": 5, "max_words": 4}, {"max_sentences": 0}, {"dataset_id": "a b"}, {"scenario": " "}, {"boundary": "(x)"}, {"boundary": "x*"}, {"boundary": "("}, {"include": "["}])
+def test_options_of_a_candidate_build(bad):
+    collect.checked_options()
+    with pytest.raises(ValueError):
+        collect.checked_options(**bad)
+
+
 def judged(spark, text, dims=("clarity",)):
     return spark.createDataFrame([(text,)], "t string").select(answers.judged(F.col("t"), dims).alias("j")).first().j
 
@@ -189,6 +238,9 @@ def test_waves(spark):
     rows = {r.path: r for r in audio.waves(spark.createDataFrame(files, "path string, content binary")).collect()}
     assert rows["f"].peak == 0.75 and rows["f"].sample_rate == 16000 and rows["p"].duration_s == 1.0 and rows["p"].peak == 0.5
     assert rows["n"].finite is False and rows["e"].peak is None and rows["x"].error and rows["z"].error
+    odd = [("empty", wav([])), ("cut float", wav([0.5] * 100, bits=32, kind=3)[:-8]), ("cut pcm", wav([3000] * 16000)[:-16000])]
+    odd = {r.path: r for r in audio.waves(spark.createDataFrame(odd, "path string, content binary")).collect()}
+    assert odd["empty"].peak is None and odd["empty"].error is None and odd["cut float"].error == "truncated data chunk" and odd["cut pcm"].duration_s == 1.0
     manifest = spark.createDataFrame([(p, (22050 if p == "p" else 16000,)) for p in ("f", "p", "c", "gone", "x")], "audio_path string, metadata struct<sample_rate_hz:int>")
     got = {r.audio_path: r.issues for r in audio.quality(manifest, audio.waves(spark.createDataFrame(files, "path string, content binary"))).collect()}
     assert got == {"f": ["too short (0.00s)"], "p": ["sample rate 16000 != configured 22050"], "c": ["possible clipping (peak at full scale)"], "gone": ["missing"], "x": ["unreadable: no RIFF/WAVE file"]}

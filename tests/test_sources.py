@@ -47,13 +47,70 @@ def test_paged_source(spark):
 def test_politeness():
     replies = [(429, {"Retry-After": "5"}, {}), (200, {}, {"error": {"code": "maxlag"}}), (200, {}, {"ok": 1})]
     waits = []
-    assert readers.polite(lambda: replies.pop(0), sleep=waits.append) == {"ok": 1} and waits == [5.0, 4.0]
+    assert readers.polite(lambda: replies.pop(0), sleep=waits.append) == {"ok": 1} and waits == [5.0, 5.0]
+    assert readers.retry_after("Thu, 26 Nov 2026 15:00:10 GMT", 1795705200.0) == 10.0 and readers.retry_after("soon", 0) == readers.retry_after(None, 0) == readers.retry_after("Thu, 26 Nov 2020 15:00:10 GMT", 1795705200.0) == 0.0
+    lost = [OSError("reset"), (200, {}, {"ok": 2})]
+
+    def call():
+        got = lost.pop(0)
+        if isinstance(got, OSError):
+            raise got
+        return got
+
+    assert readers.polite(call, sleep=waits.append) == {"ok": 2}
+    for answer in ((501, {}, {}), (200, {}, {"warnings": "x"}), (200, {}, [])):
+        with pytest.raises(RuntimeError):
+            readers.polite(lambda answer=answer: answer, sleep=waits.append)
     with pytest.raises(RuntimeError, match="busy"):
         readers.polite(lambda: (503, {"Retry-After": "60"}, {}), sleep=waits.append)
     with pytest.raises(RuntimeError, match="failed"):
         readers.polite(lambda: (404, {}, {}), sleep=waits.append)
 
 
+def fake_wiki(**q):
+    """Two categories, pages of two members, redirects, and pages that are skipped."""
+    if q.get("meta"):
+        return {"query": {"general": {"lang": "el"}, "rightsinfo": {"text": "cc"}}}
+    if q.get("list"):
+        all_of = {"C": ["A", "B", "D", "E"], "D": ["F"]}[q["cmtitle"]]
+        at = int(q.get("cmcontinue", 0))
+        stop = at + min(2, q["cmlimit"])
+        return {"query": {"categorymembers": [{"title": t} for t in all_of[at:stop]]}} | ({"continue": {"cmcontinue": str(stop)}} if stop < len(all_of) else {})
+    if q["action"] == "parse":
+        return {"parse": {"revid": q["oldid"], "pageid": q["oldid"] - 100, "text": f"<p>Σελίδα {q['oldid']}.</p>"}}
+    page = {"A": {"pageid": 1}, "B": {"missing": True}, "D": {"pageid": 1}, "E": {"pageid": 5, "ns": 4}, "F": {"pageid": 6, "pageprops": {"disambiguation": ""}}, "bad": {"pageid": 7, "revisions": []}}[q["titles"]]
+    own = {"title": q["titles"] + " *", "ns": 0, "revisions": [{"revid": 100 + page.get("pageid", 0), "timestamp": "t"}]} | page
+    return {"query": {"pages": [own]}}
+
+
+def test_snapshot_of_pages(spark, tmp_path):
+    from glossaflow.sources import pages
+
+    assert list(pages.members(fake_wiki, "C", 3)) == ["A", "B", "D"] and pages.wanted_titles(fake_wiki, ["D", "D"], ["C", "D"], 4) == ["D", "A", "B", "E"]
+    got = pages.snapshot(fake_wiki, "el", ["A"], ["C", "D"], 10)
+    assert [p["page_id"] for p in got["pages"]] == [1] and [s["reason"] for s in got["skipped"]] == ["missing_or_invalid", "duplicate_resolved_page", "non_article_namespace", "disambiguation"]
+    assert got["pages"][0]["article_url"].endswith("/wiki/A_%2A") and got["pages"][0]["history_url"].endswith("?title=A+%2A&action=history") and got["pages"][0]["revision_url"].endswith("?oldid=101")
+    sinks.write_document(got, str(tmp_path / "s.json"))
+    assert readers.snapshot_pages(spark, str(tmp_path / "s.json")).first().revision_id == 101
+    for titles, most in (([], 5), (["a|b"], 5), ([" "], 5), (["A"], 0)):
+        with pytest.raises(ValueError):
+            pages.snapshot(fake_wiki, "el", titles, (), most)
+    with pytest.raises(RuntimeError):
+        pages.snapshot(fake_wiki, "el", ["bad"])
+    for bad in ({"edition": "EL"}, {"agent": " "}, {"agent": "a\nb"}, {"delay": 0.1}):
+        with pytest.raises(ValueError):
+            pages.wiki(**({"edition": "el", "agent": "test (mail@example.org)"} | bad))
+
+
+def test_documents(spark, tmp_path):
+    assert readers.document(spark, str(tmp_path / "absent.json")) == {}
+    (tmp_path / "c.json").write_text('{"a": [1]}')
+    (tmp_path / "l.json").write_text("[1]")
+    assert readers.document(spark, str(tmp_path / "c.json")) == {"a": [1]}
+    with pytest.raises(ValueError):
+        readers.document(spark, str(tmp_path / "l.json"))
+
+
 def test_stream_scores_what_arrives(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()
