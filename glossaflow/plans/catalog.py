@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,24 +39,21 @@ def _t(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.latest(_t(spark, sf, "asr_scores"), ["utterance_id", "asr_id"], "ingested_at")
+def _scores(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Key and wanted columns of the latest row of every score; nothing else is read."""
+    return summaries.latest(_t(spark, sf, "asr_scores"), ["utterance_id", "asr_id"], "ingested_at", columns)
 
 
-def _clips(spark: SparkSession, sf: str) -> DataFrame:
-    """Synthesis rows without their exact duplicates."""
-    s = _t(spark, sf, "synthesis")
-    return s.dropDuplicates(["utterance_id"])
+def _clips(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Wanted columns of the synthesis rows without their exact duplicates."""
+    return _t(spark, sf, "synthesis").select("utterance_id", *columns).dropDuplicates(["utterance_id"])
 
 
-def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    keep = ["dataset_file", "dataset_id", "scenario", "language", "sentence_index", "id", "text", "source_url", "word_count", "characteristics"]
+def _sentences(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Wanted columns of every sentence of four data sets: re-delivered rows and the methods of a sentence are one."""
     tables = ("dataset_01_normal_text", "dataset_05_punctuation", "dataset_12_morphological", "llm_variants")
-    frames = [_t(spark, sf, t).select(*keep, "ingested_at") for t in tables]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    frames = [summaries.latest(_t(spark, sf, t), ["dataset_id", "id"], "ingested_at", columns) for t in tables]
+    return reduce(DataFrame.unionByName, frames)
 
 
 # Pieces of SQL shared by the counterparts.
@@ -68,11 +66,10 @@ _MEAN = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(28, 12))) AS DOUBLE) / count({c
 _SAFE = lambda c: f"trim(regexp_replace({c}, '[^A-Za-z0-9_.-]+', '_', 'g'), '_')"
 _LATEST = "latest AS (SELECT * FROM asr_scores QUALIFY row_number() OVER (PARTITION BY utterance_id, asr_id ORDER BY ingested_at DESC NULLS LAST) = 1)"
 _CLIPS = "clips AS (SELECT * FROM synthesis QUALIFY row_number() OVER (PARTITION BY utterance_id ORDER BY created_at) = 1)"
-_ALL = """sentences AS (
-  SELECT dataset_file, dataset_id, scenario, id, text, word_count, characteristics FROM dataset_01_normal_text
-  UNION ALL SELECT dataset_file, dataset_id, scenario, id, text, word_count, characteristics FROM dataset_05_punctuation
-  UNION ALL SELECT dataset_file, dataset_id, scenario, id, text, word_count, characteristics FROM dataset_12_morphological
-  UNION ALL SELECT dataset_file, dataset_id, scenario, id, text, word_count, characteristics FROM llm_variants)"""
+_ALL = "sentences AS (" + " UNION ALL ".join(
+    f"(SELECT dataset_file, dataset_id, scenario, id, text, sentence_index, word_count, characteristics FROM {t} QUALIFY row_number() OVER (PARTITION BY dataset_id, id ORDER BY ingested_at DESC NULLS LAST) = 1)"
+    for t in ("dataset_01_normal_text", "dataset_05_punctuation", "dataset_12_morphological", "llm_variants")
+) + ")"
 
 
 def _grouped_sql(source: str, groupings, measures: str) -> str:
@@ -95,7 +92,7 @@ _RATES = ("wer", "cer", "wer_orthographic", "cer_orthographic")
 # --- scores and summaries -----------------------------------------------------------------------------------------------
 @register(_grouped_sql(f"WITH {_LATEST}, base AS (SELECT __KEYS__, {', '.join(_RATES)} FROM latest)", summaries.ERROR_GROUPINGS, "count(*) AS \"count\", " + ", ".join(f"{_MEAN(r)} AS mean_{r}" for r in _RATES)))
 def error_rate_summary(spark, sf):
-    return summaries.error_summary(_scores(spark, sf))
+    return summaries.error_summary(_scores(spark, sf, "tts_system_id", "preprocessing_method", "scenario", *_RATES))
 
 
 _DISTANCE = """encoded AS (
@@ -111,19 +108,19 @@ distances AS (SELECT *,
           "SELECT utterance_id, asr_id, CASE WHEN len(rw) = 0 THEN CASE WHEN len(hw) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(word_edits AS DOUBLE) / len(rw) END AS wer_orthographic, "
           "CASE WHEN len(rc) = 0 THEN CASE WHEN len(hc) = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(char_edits AS DOUBLE) / len(rc) END AS cer_orthographic FROM distances")
 def orthographic_error_rates(spark, sf):
-    return scoring.orthographic_rates(_scores(spark, sf)).select("utterance_id", "asr_id", "wer_orthographic", "cer_orthographic")
+    return scoring.orthographic_rates(_scores(spark, sf, "reference", "hypothesis")).select("utterance_id", "asr_id", "wer_orthographic", "cer_orthographic")
 
 
 @register()
 def scored_transcripts(spark, sf):
     """All four rates from the texts; the policy needs the Greek verbaliser, which SQL lacks."""
-    rates = scoring.error_rates(_scores(spark, sf).drop(*_RATES))
+    rates = scoring.error_rates(_scores(spark, sf, "reference", "hypothesis", "language"))
     return rates.select("utterance_id", "asr_id", *_RATES)
 
 
 @register(f"WITH {_LATEST} SELECT CASE WHEN hypothesis IS NULL THEN 'missing' WHEN trim(regexp_replace(hypothesis, '[\\s\\p{{Z}}]+', ' ', 'g')) = '' THEN 'empty' ELSE 'scored' END AS status, tts_system_id, count(*) AS n FROM latest GROUP BY 1, 2")
 def transcript_status(spark, sf):
-    jobs = _scores(spark, sf)
+    jobs = _scores(spark, sf, "tts_system_id", "hypothesis")
     found = jobs.select(F.concat_ws("/", "asr_id", "utterance_id").alias("path"), "hypothesis").filter("hypothesis is not null")
     joined = scoring.with_hypotheses(jobs.select("tts_system_id", F.concat_ws("/", "asr_id", "utterance_id").alias("transcript_path")), found)
     return joined.groupBy("status", "tts_system_id").agg(F.count("*").alias("n"))
@@ -135,13 +132,13 @@ _MOS = f"WITH {_LATEST}, base AS (SELECT __KEYS__, CASE WHEN wer IS NOT NULL THE
 @register(_grouped_sql(_MOS, summaries.SCORE_GROUPINGS, f"count(*) AS \"count\", count(mos_overall) AS scored, {_MEAN('mos_overall')} AS mean_overall, CAST(sum(CAST(CASE WHEN mos_overall IS NOT NULL THEN clarity END AS DECIMAL(28, 12))) AS DOUBLE) / count(CASE WHEN mos_overall IS NOT NULL THEN clarity END) AS mean_clarity"))
 def mos_summary(spark, sf):
     grade = lambda c: F.lit(5) - F.lit(4) * F.when(F.col(c).isNotNull(), F.least(F.col(c), F.lit(1.0)))
-    rows = _scores(spark, sf).withColumns({"mos_overall": grade("wer"), "mos": F.create_map(F.lit("clarity"), grade("cer"))})
+    rows = _scores(spark, sf, "tts_system_id", "preprocessing_method", "scenario", "wer", "cer").withColumns({"mos_overall": grade("wer"), "mos": F.create_map(F.lit("clarity"), grade("cer"))})
     return summaries.mos_summary(rows, ["clarity"])
 
 
 @register(_grouped_sql(f"WITH {_LATEST}, base AS (SELECT __KEYS__, wer FROM latest)", summaries.SCORE_GROUPINGS, f"count(*) AS \"count\", count(wer) AS scored, {_MEAN('wer')} AS mean, min(wer) AS min, max(wer) AS max"))
 def score_summary(spark, sf):
-    return summaries.score_summary(_scores(spark, sf), "wer")
+    return summaries.score_summary(_scores(spark, sf, "tts_system_id", "preprocessing_method", "scenario", "wer"), "wer")
 
 
 # --- texts ------------------------------------------------------------------------------------------------------------
@@ -202,18 +199,19 @@ FROM v CROSS JOIN systems s WHERE coalesce(s.enabled, true)"""
 
 @register(_MANIFEST)
 def synthesis_manifest(spark, sf):
-    variants = summaries.latest(_t(spark, sf, "dataset_05_punctuation"), ["id", "method"], "ingested_at")
+    variants = summaries.latest(_t(spark, sf, "dataset_05_punctuation"), ["id", "method"], "ingested_at", ["dataset_id", "dataset_file", "scenario", "language", "text", "original_text", "normalized_text", "source_url"])
     rows = manifests.synthesis_manifest(variants, _t(spark, sf, "systems"), "audio")
     return rows.select("utterance_id", "source_text", "synthesis_text", "source_token_count", "synthesis_token_count", "tts_system_id", F.col("metadata.voice").alias("voice"), "audio_path")
 
 
+_JOB = ("tts_system_id", "preprocessing_method", "dataset_id", "scenario", "sentence_id", "language", "audio_path", "source_text", "synthesis_text")
 _ASR = {"id": "fono_large", "backend": "local", "model": "large-v3", "language": "el", "align": True, "alignment_model": "align-el", "diarize": True}
 
 
 @register(f"WITH {_CLIPS} SELECT utterance_id, coalesce(nullif(language, ''), 'el') AS language, 'transcripts/fono_large/' || tts_system_id || '/' || preprocessing_method || '/' || dataset_id || '/' || sentence_id || '.json' AS transcript_path, synthesis_text AS expected_text, "
           "'whisperx ' || audio_path || ' --model large-v3 --language ' || coalesce(nullif(language, ''), 'el') || ' --task transcribe --output_format json --output_dir transcripts/fono_large/' || tts_system_id || '/' || preprocessing_method || '/' || dataset_id || ' --device cuda --compute_type float16 --batch_size 16 --align_model align-el --diarize' AS command FROM clips")
 def transcription_manifest(spark, sf):
-    rows = manifests.transcription_manifest(_clips(spark, sf), _ASR, "transcripts")
+    rows = manifests.transcription_manifest(_clips(spark, sf, *_JOB), _ASR, "transcripts")
     return rows.select("utterance_id", "language", "transcript_path", "expected_text", F.array_join("command", " ").alias("command"))
 
 
@@ -237,24 +235,26 @@ _BY_SYSTEM, _BY_PAIR, _BY_VOICE = {"lyra_v1": "refs/by_system.wav"}, {"harmonic:
 @register(f"WITH {_CLIPS} SELECT utterance_id, CASE WHEN tts_system_id = 'lyra_v1' THEN 'refs/by_system.wav' WHEN tts_family = 'harmonic' AND metadata.voice = 'refs/harmonic_f.wav' THEN 'refs/by_pair.wav' WHEN metadata.voice = 'refs/harmonic_m.wav' THEN 'refs/by_voice.wav' END AS reference_path, "
           "CASE WHEN tts_system_id = 'lyra_v1' THEN 'system:lyra_v1' WHEN tts_family = 'harmonic' AND metadata.voice = 'refs/harmonic_f.wav' THEN 'family_voice:harmonic::refs/harmonic_f.wav' WHEN metadata.voice = 'refs/harmonic_m.wav' THEN 'voice:refs/harmonic_m.wav' END AS reference_selector FROM clips")
 def reference_resolution(spark, sf):
-    rows = manifests.resolve_references(_clips(spark, sf), _BY_SYSTEM, _BY_PAIR, _BY_VOICE)
+    rows = manifests.resolve_references(_clips(spark, sf, "tts_system_id", "tts_family", "metadata"), _BY_SYSTEM, _BY_PAIR, _BY_VOICE)
     return rows.select("utterance_id", "reference_path", "reference_selector")
 
 
 @register(f"WITH {_CLIPS} SELECT tts_system_id, row_number() OVER (PARTITION BY tts_system_id ORDER BY utterance_id) AS handoff_index, utterance_id, trim(regexp_replace(synthesis_text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS handoff_text, trim(regexp_replace(synthesis_text, '[\\s\\p{{Z}}]+', ' ', 'g')) <> synthesis_text AS text_changed, "
           "printf('%03d_ft.wav', row_number() OVER (PARTITION BY tts_system_id ORDER BY utterance_id)) AS returned_wav FROM clips")
 def handoff_index(spark, sf):
-    return manifests.handoff_index(_clips(spark, sf)).select("tts_system_id", "handoff_index", "utterance_id", "handoff_text", "text_changed", "returned_wav")
+    return manifests.handoff_index(_clips(spark, sf, "tts_system_id", "synthesis_text", "audio_path")).select("tts_system_id", "handoff_index", "utterance_id", "handoff_text", "text_changed", "returned_wav")
 
 
 @register(f"WITH {_CLIPS} SELECT tts_system_id, count(*) AS rows, count(*) FILTER (WHERE trim(regexp_replace(synthesis_text, '[\\s\\p{{Z}}]+', ' ', 'g')) <> synthesis_text) AS changed FROM clips GROUP BY 1")
 def handoff_summary(spark, sf):
-    return manifests.handoff_summary(manifests.handoff_index(_clips(spark, sf)))
+    line = text.collapse_spaces(F.col("synthesis_text"))
+    clips = _clips(spark, sf, "tts_system_id", "synthesis_text")
+    return manifests.handoff_summary(clips.select("tts_system_id", (line != F.col("synthesis_text")).alias("text_changed")))
 
 
 @register(f"WITH {_ALL}, e AS (SELECT scenario, dataset_file, count(*) AS eligible FROM sentences GROUP BY 1, 2) SELECT scenario, dataset_file, eligible, CAST(greatest(0, least(eligible, 1000 - coalesce(sum(eligible) OVER (PARTITION BY scenario ORDER BY dataset_file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken FROM e")
 def scenario_caps(spark, sf):
-    eligible = _sentences(spark, sf).groupBy("scenario", "dataset_file").agg(F.count("*").alias("eligible"))
+    eligible = _sentences(spark, sf, "scenario", "dataset_file").groupBy("scenario", "dataset_file").agg(F.count("*").alias("eligible"))
     return manifests.scenario_caps(eligible, 1000)
 
 
@@ -276,26 +276,36 @@ def seeded_shuffle(spark, sf):
 
 
 # --- rules --------------------------------------------------------------------------------------------------------------
-@register(f"""WITH {_ALL}, i AS (
-  SELECT dataset_file AS path, 'error' AS severity, 'empty_text' AS code, id AS sentence_id FROM sentences WHERE coalesce(text, '') = ''
-  UNION ALL SELECT dataset_file, 'error', 'word_count_not_int', id FROM sentences WHERE word_count IS NULL
-  UNION ALL SELECT dataset_file, 'warning', 'word_count_mismatch', id FROM sentences WHERE coalesce(text, '') <> '' AND abs(word_count - {_WORDS('text')}) > 2
-  UNION ALL SELECT dataset_file, 'error', 'characteristics_not_object', id FROM sentences WHERE characteristics IS NULL
-  UNION ALL SELECT dataset_file, 'error', 'duplicate_sentence_id', id FROM sentences GROUP BY dataset_file, id HAVING count(*) > 1)
-SELECT * FROM i""")
+#: Every sentence once more, broken in a way that goes round by its place, under its own id or that of its neighbour.
+_BROKEN_SQL = """broken AS (SELECT dataset_file, CASE WHEN sentence_index % 5 = 4 THEN id ELSE id || '_x' END AS id, CASE WHEN sentence_index % 5 = 0 THEN '' ELSE text END AS text,
+  CASE sentence_index % 5 WHEN 1 THEN NULL WHEN 2 THEN word_count + 9 ELSE word_count END AS word_count, CASE WHEN sentence_index % 5 = 3 THEN NULL ELSE characteristics END AS characteristics FROM sentences),
+every AS (SELECT dataset_file, id, text, word_count, characteristics FROM sentences UNION ALL SELECT * FROM broken)"""
+_ISSUES_SQL = f"""{_BROKEN_SQL}, i AS (
+  SELECT dataset_file AS path, 'error' AS severity, 'empty_text' AS code, id AS sentence_id FROM every WHERE coalesce(text, '') = ''
+  UNION ALL SELECT dataset_file, 'error', 'word_count_not_int', id FROM every WHERE word_count IS NULL
+  UNION ALL SELECT dataset_file, 'warning', 'word_count_mismatch', id FROM every WHERE abs(word_count - {_WORDS('text')}) > 2
+  UNION ALL SELECT dataset_file, 'error', 'characteristics_not_object', id FROM every WHERE characteristics IS NULL
+  UNION ALL SELECT dataset_file, 'error', 'duplicate_sentence_id', id FROM every GROUP BY dataset_file, id HAVING count(*) > 1)"""
+
+
+def _sentences_and_broken(spark, sf) -> DataFrame:
+    rows = _sentences(spark, sf, "dataset_file", "text", "sentence_index", "word_count", "characteristics").select("dataset_file", "id", "text", "sentence_index", "word_count", "characteristics")
+    kind = F.col("sentence_index") % 5
+    broken = rows.withColumns({
+        "id": F.when(kind == 4, F.col("id")).otherwise(F.concat("id", F.lit("_x"))), "text": F.when(kind == 0, "").otherwise(F.col("text")),
+        "word_count": F.when(kind == 1, None).when(kind == 2, F.col("word_count") + 9).otherwise(F.col("word_count")), "characteristics": F.when(kind != 3, F.col("characteristics")),
+    })
+    return rows.unionByName(broken)
+
+
+@register(f"WITH {_ALL}, {_ISSUES_SQL} SELECT * FROM i")
 def sentence_rule_issues(spark, sf):
-    return checks.sentence_issues(_sentences(spark, sf)).select("path", "severity", "code", "sentence_id")
+    return checks.sentence_issues(_sentences_and_broken(spark, sf)).select("path", "severity", "code", "sentence_id")
 
 
-@register(f"""WITH {_ALL}, i AS (
-  SELECT 'warning' AS severity, 'word_count_mismatch' AS code FROM sentences WHERE coalesce(text, '') <> '' AND abs(word_count - {_WORDS('text')}) > 2
-  UNION ALL SELECT 'error', 'empty_text' FROM sentences WHERE coalesce(text, '') = ''
-  UNION ALL SELECT 'error', 'word_count_not_int' FROM sentences WHERE word_count IS NULL
-  UNION ALL SELECT 'error', 'characteristics_not_object' FROM sentences WHERE characteristics IS NULL
-  UNION ALL SELECT 'error', 'duplicate_sentence_id' FROM sentences GROUP BY dataset_file, id HAVING count(*) > 1)
-SELECT severity, code, count(*) AS n FROM i GROUP BY 1, 2""")
+@register(f"WITH {_ALL}, {_ISSUES_SQL} SELECT severity, code, count(*) AS n FROM i GROUP BY 1, 2")
 def issue_counts(spark, sf):
-    return checks.issue_counts(checks.sentence_issues(_sentences(spark, sf)))
+    return checks.issue_counts(checks.sentence_issues(_sentences_and_broken(spark, sf)))
 
 
 @register("SELECT id, count(*) AS n_rows FROM dataset_01_normal_text GROUP BY id HAVING count(*) > 1")
@@ -303,19 +313,44 @@ def duplicate_keys(spark, sf):
     return checks.doubled_keys(_t(spark, sf, "dataset_01_normal_text"), ["id"])
 
 
-@register("SELECT DISTINCT dataset_id, sentence_id FROM asr_scores a WHERE NOT EXISTS (SELECT 1 FROM dataset_01_normal_text d WHERE d.dataset_id = a.dataset_id AND d.id = a.sentence_id)")
+_PARENTS = (("dataset_01_normal_text", "id"), ("dataset_05_punctuation", "id"), ("dataset_12_morphological", "id"), ("heldout_items", "sentence_id"))
+
+
+@register("WITH p AS (" + " UNION ".join(f"SELECT dataset_id, {k} AS sentence_id FROM {t}" for t, k in _PARENTS) + "), c AS (SELECT DISTINCT dataset_id, sentence_id FROM asr_scores) "
+          "SELECT c.dataset_id, count(*) AS n_keys, count(*) FILTER (WHERE p.sentence_id IS NULL) AS n_orphans FROM c LEFT JOIN p USING (dataset_id, sentence_id) GROUP BY 1")
 def foreign_key_orphans(spark, sf):
-    return checks.orphans(_t(spark, sf, "asr_scores"), ["dataset_id", "sentence_id"], _t(spark, sf, "dataset_01_normal_text"), ["dataset_id", "id"])
+    """Keys of the scores by data set, and those that none of the four tables they refer to holds."""
+    parents = reduce(DataFrame.unionByName, [_t(spark, sf, t).select("dataset_id", F.col(k).alias("sentence_id")) for t, k in _PARENTS])
+    scores = _t(spark, sf, "asr_scores").select("dataset_id", "sentence_id").distinct()
+    lost = checks.orphans(scores, ["dataset_id", "sentence_id"], parents, ["dataset_id", "sentence_id"]).groupBy("dataset_id").agg(F.count("*").alias("n_orphans"))
+    return scores.groupBy("dataset_id").agg(F.count("*").alias("n_keys")).join(lost, "dataset_id", "left").fillna(0, ["n_orphans"])
+
+
+@register("SELECT DISTINCT a.sentence_id FROM (SELECT sentence_id FROM asr_scores) a ANTI JOIN (SELECT id AS sentence_id FROM dataset_05_punctuation) d USING (sentence_id)")
+def sentences_outside(spark, sf):
+    """Scored sentences that are not of the punctuation set."""
+    return checks.orphans(_t(spark, sf, "asr_scores"), ["sentence_id"], _t(spark, sf, "dataset_05_punctuation"), ["id"])
 
 
-@register("SELECT coalesce(s.utterance_id, a.utterance_id) AS utterance_id, CASE WHEN a.utterance_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT utterance_id FROM synthesis) s FULL JOIN (SELECT DISTINCT utterance_id FROM asr_scores) a ON s.utterance_id = a.utterance_id WHERE s.utterance_id IS NULL OR a.utterance_id IS NULL")
+@register("SELECT coalesce(s.utterance_id, a.utterance_id) AS utterance_id, CASE WHEN a.utterance_id IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT DISTINCT utterance_id FROM synthesis) s FULL JOIN (SELECT DISTINCT utterance_id FROM asr_scores WHERE wer IS NOT NULL) a ON s.utterance_id = a.utterance_id WHERE s.utterance_id IS NULL OR a.utterance_id IS NULL")
 def manifest_coverage(spark, sf):
-    return checks.uncovered(_t(spark, sf, "synthesis"), _t(spark, sf, "asr_scores"), ["utterance_id"])
+    """Clips without any rate, and rates without a clip."""
+    return checks.uncovered(_t(spark, sf, "synthesis"), _t(spark, sf, "asr_scores").filter("wer is not null"), ["utterance_id"])
 
 
-@register("WITH a AS (SELECT DISTINCT tts_system_id FROM synthesis), b AS (SELECT DISTINCT preprocessing_method FROM synthesis), c AS (SELECT DISTINCT dataset_id, scenario FROM synthesis) SELECT tts_system_id, preprocessing_method, dataset_id, scenario FROM a, b, c EXCEPT SELECT tts_system_id, preprocessing_method, dataset_id, scenario FROM synthesis")
+@register("WITH a AS (SELECT DISTINCT tts_system_id FROM synthesis), b AS (SELECT DISTINCT preprocessing_method FROM synthesis), c AS (SELECT DISTINCT dataset_id, sentence_id FROM synthesis) SELECT tts_system_id, preprocessing_method, dataset_id, sentence_id FROM a, b, c EXCEPT SELECT tts_system_id, preprocessing_method, dataset_id, sentence_id FROM synthesis")
 def cartesian_gaps(spark, sf):
-    return checks.cartesian_gaps(_t(spark, sf, "synthesis"), [["tts_system_id"], ["preprocessing_method"], ["dataset_id", "scenario"]])
+    return checks.cartesian_gaps(_t(spark, sf, "synthesis"), [["dataset_id", "sentence_id"], ["tts_system_id"], ["preprocessing_method"]])
+
+
+@register("WITH h AS (SELECT DISTINCT tts_system_id, preprocessing_method, scenario FROM synthesis), w AS (SELECT s.id AS tts_system_id, m AS preprocessing_method, c.scenario FROM systems s CROSS JOIN (VALUES ('raw'), ('regex'), ('spoken')) t(m) CROSS JOIN (SELECT DISTINCT scenario FROM synthesis) c WHERE coalesce(s.enabled, true)) "
+          "SELECT *, 'missing' AS side FROM (SELECT * FROM w EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM h EXCEPT SELECT * FROM w)")
+def cartesian_differences(spark, sf):
+    """Combinations of enabled systems, planned methods and scenarios that the manifest lacks or has beyond them."""
+    s = _t(spark, sf, "synthesis")
+    systems = manifests.enabled_systems(_t(spark, sf, "systems")).select(F.col("id").alias("tts_system_id"))
+    methods = spark.createDataFrame([("raw",), ("regex",), ("spoken",)], "preprocessing_method string")
+    return checks.cartesian_differences(s, [s.select("scenario"), systems, methods])
 
 
 @register("SELECT dataset_id, sentence_id, count(DISTINCT source_url) + max(CAST(source_url IS NULL AS INTEGER)) AS n_values FROM synthesis GROUP BY 1, 2 HAVING count(DISTINCT source_url) + max(CAST(source_url IS NULL AS INTEGER)) > 1")
@@ -330,37 +365,58 @@ def balance_check(spark, sf):
 
 @register(f"WITH {_CLIPS} SELECT DISTINCT utterance_id, c.\"column\" FROM (SELECT s.utterance_id, unnest([CASE WHEN s.language IS DISTINCT FROM a.language THEN 'language' END, CASE WHEN s.synthesis_text IS DISTINCT FROM a.reference THEN 'reference' END]) AS \"column\" FROM clips s JOIN asr_scores a USING (utterance_id)) c WHERE c.\"column\" IS NOT NULL")
 def row_differences(spark, sf):
-    clips = _clips(spark, sf).withColumn("reference", F.col("synthesis_text"))
+    clips = _clips(spark, sf, "language", "synthesis_text").withColumn("reference", F.col("synthesis_text"))
     return checks.differing_columns(clips, _t(spark, sf, "asr_scores"), ["utterance_id"], ["language", "reference"])
 
 
-@register("SELECT tts_system_id, side FROM (SELECT DISTINCT tts_system_id FROM synthesis EXCEPT SELECT id FROM systems) CROSS JOIN (SELECT 'left' AS side) UNION ALL SELECT id, 'right' FROM (SELECT id FROM systems EXCEPT SELECT tts_system_id FROM synthesis)")
+@register("SELECT tts_system_id, side FROM (SELECT DISTINCT tts_system_id FROM synthesis EXCEPT SELECT id FROM systems WHERE coalesce(enabled, true)) CROSS JOIN (SELECT 'left' AS side) UNION ALL SELECT id, 'right' FROM (SELECT id FROM systems WHERE coalesce(enabled, true) EXCEPT SELECT tts_system_id FROM synthesis)")
 def roster_differences(spark, sf):
-    return checks.unequal_sets(_t(spark, sf, "synthesis").select("tts_system_id").distinct(), _t(spark, sf, "systems").select(F.col("id").alias("tts_system_id")).distinct())
+    """Systems in use that are not enabled, and enabled ones that are not in use."""
+    return checks.unequal_sets(_t(spark, sf, "synthesis").select("tts_system_id").distinct(), manifests.enabled_systems(_t(spark, sf, "systems")).select(F.col("id").alias("tts_system_id")).distinct())
 
 
-@register("SELECT dataset_id, count(*) AS sentences, count(*) FILTER (WHERE len(normalization_warnings) > 0) AS with_warnings FROM llm_variants GROUP BY 1")
+@register("SELECT dataset_id, count(*) AS sentences, count(*) FILTER (WHERE len(normalization_warnings) > 0) AS with_warnings FROM (SELECT * FROM llm_variants QUALIFY row_number() OVER (PARTITION BY dataset_id, id ORDER BY ingested_at DESC NULLS LAST) = 1) GROUP BY 1")
 def warnings_census(spark, sf):
-    return _t(spark, sf, "llm_variants").groupBy("dataset_id").agg(F.count("*").alias("sentences"), F.count_if(F.size("normalization_warnings") > 0).alias("with_warnings"))
+    rows = summaries.latest(_t(spark, sf, "llm_variants"), ["dataset_id", "id"], "ingested_at", ["normalization_warnings"])
+    return rows.groupBy("dataset_id").agg(F.count("*").alias("sentences"), F.count_if(F.size("normalization_warnings") > 0).alias("with_warnings"))
 
 
 @register(f"WITH {_ALL} SELECT scenario, count(*) AS sentences, count(DISTINCT dataset_file) AS files FROM sentences GROUP BY 1")
 def scenario_counts(spark, sf):
-    return _sentences(spark, sf).groupBy("scenario").agg(F.count("*").alias("sentences"), F.countDistinct("dataset_file").alias("files"))
+    return _sentences(spark, sf, "scenario", "dataset_file").groupBy("scenario").agg(F.count("*").alias("sentences"), F.countDistinct("dataset_file").alias("files"))
 
 
 # --- answers and judges ---------------------------------------------------------------------------------------------------
-@register("SELECT event_id, greatest(1.0, least(5.0, CAST(json_extract(props, '$.k') AS DOUBLE))) AS mos_overall, greatest(1.0, least(5.0, CAST(json_extract(props, '$.k') AS DOUBLE))) AS k, true AS parse_ok FROM events")
+#: Answers of a judge in eight shapes, taken in turn: k is the score, a whole number of up to two digits.
+_SAID = (
+    ('{"clarity": #, "overall": #}', "k", "k"), ('Here: {"scores": {"clarity": "#/5", "overall_mos": #.5}} Done.', "k", "k + 0.5"), ('```json\n{"clarity": #.25, "pace": 3}\n```', "k + 0.25", None),
+    ('{"clarity": true, "overall": "about #"}', None, "k"), ('{"clarity": null, "pace": -#}', None, None), ('{"clarity": #', None, None), ('{"overall": {"x": #}, "clarity": "none"}', None, None), ('no score', None, None),
+)
+
+
+def _judge_sql() -> str:
+    clamp = lambda v: f"greatest(1.0, least(5.0, {v}))" if v else "NULL"
+    pace = {2: "3.0", 4: "1.0"}
+    cases = lambda f: "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {f(i, c, o)}" for i, (_, c, o) in enumerate(_SAID)) + " END"
+    clarity, overall = cases(lambda i, c, o: clamp(c)), cases(lambda i, c, o: clamp(o))
+    pace_of = cases(lambda i, c, o: pace.get(i, "NULL"))
+    return f"""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events), s AS (SELECT event_id, CAST({clarity} AS DOUBLE) AS clarity, CAST({pace_of} AS DOUBLE) AS pace, CAST({overall} AS DOUBLE) AS o FROM e)
+SELECT event_id, clarity, pace, coalesce(o, list_avg(list_filter([clarity, pace], lambda x: x IS NOT NULL))) AS mos_overall, coalesce(o, clarity, pace) IS NOT NULL AS parse_ok FROM s"""
+
+
+@register(_judge_sql())
 def judge_scores(spark, sf):
-    said = F.concat(F.lit("Here are the scores: "), "props", F.lit(" Done."))
-    rows = _t(spark, sf, "events").select("event_id", answers.judged(said, ["k"]).alias("j"))
-    return rows.select("event_id", F.col("j.mos_overall").alias("mos_overall"), F.col("j.mos")["k"].alias("k"), F.col("j.parse_ok").alias("parse_ok"))
+    k = F.get_json_object("props", "$.k")
+    shapes = F.array(*[F.lit(s) for s, _, _ in _SAID])
+    said = F.replace(F.element_at(shapes, (F.col("event_id") % 8 + 1).cast("int")), F.lit("#"), k)
+    rows = _t(spark, sf, "events").select("event_id", answers.judged(said, ["clarity", "pace"]).alias("j"))
+    return rows.select("event_id", F.col("j.mos")["clarity"].alias("clarity"), F.col("j.mos")["pace"].alias("pace"), F.col("j.mos_overall").alias("mos_overall"), F.col("j.parse_ok").alias("parse_ok"))
 
 
 @register(f"WITH {_LATEST} SELECT utterance_id, asr_id, coalesce(hypothesis, regexp_replace(reference, '^[\\s\\x{{85}}\\p{{Z}}]+|[\\s\\x{{85}}\\p{{Z}}]+$', '', 'g'), '') AS transcript FROM latest")
 def transcript_texts(spark, sf):
     segments = F.array(F.struct(F.col("reference").alias("text")))
-    return _scores(spark, sf).select("utterance_id", "asr_id", answers.transcript_text(F.col("hypothesis"), segments).alias("transcript"))
+    return _scores(spark, sf, "hypothesis", "reference").select("utterance_id", "asr_id", answers.transcript_text(F.col("hypothesis"), segments).alias("transcript"))
 
 
 _S = r"\s\x{85}\p{Z}"
@@ -394,7 +450,7 @@ def answer_checks(spark, sf):
 
 @register(f"WITH {_CLIPS} SELECT utterance_id AS key, 'Rate the attached clip. It should say: ' || source_text AS prompt, audio_path AS uri, 'audio/wav' AS mime FROM clips")
 def judge_batch(spark, sf):
-    clips = _clips(spark, sf)
+    clips = _clips(spark, sf, "source_text", "audio_path")
     line = answers.batch_request(F.col("utterance_id"), answers.user_prompt(F.col("source_text")), text.audio_type(F.col("audio_path")), uri=F.col("audio_path"), instructions=answers.system_prompt({"clarity": "every word can be understood"}), config={"temperature": 0})
     part = lambda p: F.get_json_object("line", f"$.request.contents[0].parts{p}")
     return clips.select(line.alias("line")).select(F.get_json_object("line", "$.key").alias("key"), part("[0].text").alias("prompt"), part("[1].file_data.file_uri").alias("uri"), part("[1].file_data.mime_type").alias("mime"))
@@ -404,7 +460,7 @@ def judge_batch(spark, sf):
 @register("WITH r AS (SELECT label, min_by(CAST(embedding AS DOUBLE[]), vec_id) AS ref FROM embeddings GROUP BY 1) SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), r.ref), 9) AS similarity FROM embeddings e JOIN r USING (label)")
 def speaker_similarity(spark, sf):
     e = _t(spark, sf, "embeddings")
-    references = manifests.bounded(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref")))
+    references = ranking.bounded(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref")), derived=True)
     return e.join(references, "label").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("ref")), 9).alias("similarity"))
 
 
@@ -414,7 +470,7 @@ _ISSUES = "list_filter([CASE WHEN duration_s < 0.3 THEN printf('too short (%.2fs
 
 def _measured(spark, sf) -> DataFrame:
     """Stand-ins for measured clips, computed from the manifest, as the tables hold no audio."""
-    rows = _clips(spark, sf).withColumns({
+    rows = _clips(spark, sf, "tts_system_id", "source_token_count", "synthesis_token_count", "metadata").withColumns({
         "duration_s": F.col("source_token_count").cast("double") / 2, "peak": F.when(F.col("synthesis_token_count") != F.col("source_token_count"), 0.5).otherwise(1.0),
         "sample_rate": F.when(F.col("metadata.voice").isNull(), 16000).otherwise(F.col("metadata.sample_rate_hz")),
     })
@@ -435,7 +491,7 @@ def qc_summary(spark, sf):
 @register(_grouped_sql(f"WITH {_CLIPS}, e AS (SELECT DISTINCT c.audio_path FROM clips c SEMI JOIN asr_scores a ON a.utterance_id = c.utterance_id), base AS (SELECT __KEYS__, e.audio_path IS NOT NULL AS there FROM clips LEFT JOIN e USING (audio_path))", (("overall", ()), ("by_system", ("tts_system_id",)), ("by_family", ("tts_family",))),
           "count(*) AS rows, nullif(count(*) FILTER (WHERE there), 0) AS existing, nullif(count(*) FILTER (WHERE NOT there), 0) AS missing"))
 def presence_counts(spark, sf):
-    clips = _clips(spark, sf)
+    clips = _clips(spark, sf, "tts_system_id", "tts_family", "audio_path")
     existing = clips.join(_t(spark, sf, "asr_scores").select("utterance_id").distinct(), "utterance_id", "left_semi")
     return summaries.presence_counts(clips, existing)
 
@@ -457,10 +513,19 @@ def candidate_counts(spark, sf):
     return collect.collection_counts(_judged(spark, sf))
 
 
-@register(_CHUNKS + " SELECT 'wiki_' || substr(sha256('el:' || page_id || ':' || coalesce(revision_id, 0) || ':' || chunk), 1, 24) AS id, chunk AS text, words AS word_count, regexp_matches(chunk, '\\p{Nd}') AS has_digit, sha256(chunk) AS text_sha256 FROM judged WHERE reason IS NULL AND page_id IS NOT NULL")
+@register(_CHUNKS + " SELECT 'wiki_' || substr(sha256('el:' || coalesce(page_id, 0) || ':' || coalesce(revision_id, 0) || ':' || chunk), 1, 24) AS id, chunk AS text, words AS word_count, regexp_matches(chunk, '\\p{Nd}') AS has_digit, sha256(chunk) AS text_sha256, page_id FROM judged WHERE reason IS NULL")
 def candidate_rows(spark, sf):
-    kept = _judged(spark, sf).filter("reason is null and page_id is not null").withColumn("revision_id", F.coalesce("revision_id", F.lit(0)))
-    return collect.candidates(kept, "el").select("id", "text", "word_count", "has_digit", "text_sha256")
+    """The kept chunks; a missing page or revision counts as 0 in their ids."""
+    kept = collect.kept_candidates(_judged(spark, sf)).withColumns({"_page": F.col("page_id"), "page_id": F.coalesce("page_id", F.lit(0)), "revision_id": F.coalesce("revision_id", F.lit(0))})
+    rows = collect.candidates(kept.drop("_page"), "el")
+    return rows.select("id", "text", "word_count", "has_digit", "text_sha256", F.nullif("page_id", F.lit(0)).alias("page_id"))
+
+
+@register(_CHUNKS.replace("WHEN regexp_matches(chunk, '[0-9]{4}') THEN 'exclude_pattern'", "WHEN NOT regexp_matches(chunk, '[0-9]') THEN 'include_pattern'") + " SELECT coalesce(reason, 'eligible_unique') AS counter, count(*) AS n FROM judged GROUP BY 1 UNION ALL SELECT 'candidates', count(*) FROM judged")
+def included_counts(spark, sf):
+    """Counters where only chunks with a digit are wanted."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return collect.collection_counts(collect.judged_candidates(collect.chunks(docs).drop("text"), ["doc_id", "chunk_index"], min_words=4, max_words=20, include="[0-9]"))
 
 
 @register("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -468,7 +533,85 @@ def first_seen_texts(spark, sf):
     return ranking.first_rows(_t(spark, sf, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id")
 
 
-@register("SELECT doc_id, CASE WHEN page_id IS NULL THEN 'missing_or_invalid' WHEN row_number() OVER (PARTITION BY page_id ORDER BY doc_id) > 1 THEN 'duplicate_page' END AS reason FROM documents")
+@register("WITH d AS (SELECT doc_id, page_id, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS ns, contains(text, '(') AS dis FROM documents), e AS (SELECT *, CASE WHEN page_id IS NULL THEN 'missing_or_invalid' WHEN ns <> 0 THEN 'not_an_article' WHEN dis THEN 'disambiguation' END AS early FROM d) "
+          "SELECT doc_id, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early, page_id ORDER BY doc_id) > 1 THEN 'duplicate_page' END) AS reason FROM e")
 def page_reasons(spark, sf):
-    pages = _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "page_id", F.lit(0).alias("namespace"), F.lit(False).alias("disambiguation"))
+    """Documents as requested pages: those without a source stand for other namespaces, those with a bracket for lists."""
+    pages = _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "page_id", F.col("source").isNull().cast("int").alias("namespace"), F.col("text").contains("(").alias("disambiguation"))
     return collect.page_reasons(pages).select(F.col("pos").alias("doc_id"), "reason")
+
+
+@register("SELECT dataset_file, count(DISTINCT sentence_id) AS n_ids, sha256(array_to_string(list_sort(list(DISTINCT sentence_id)), ',')) AS ids_sha256 FROM synthesis GROUP BY 1")
+def selected_ids(spark, sf):
+    """Sentences that the manifest takes from every file, their lists by digest."""
+    return manifests.selected_ids(_t(spark, sf, "synthesis").select("dataset_file", "sentence_id")).select("dataset_file", F.col("n_ids").cast("bigint").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+
+
+@register(f"WITH {_CLIPS} SELECT tts_system_id, count(*) AS n FROM clips WHERE tts_system_id NOT IN ('lyra_v1', 'harmonic_v2') GROUP BY 1")
+def included_systems(spark, sf):
+    rows = manifests.without_systems(_clips(spark, sf, "tts_system_id"), ["lyra_v1", "harmonic_v2"])
+    return rows.groupBy("tts_system_id").agg(F.count("*").alias("n"))
+
+
+@register("SELECT audio_path, CASE WHEN ends_with(audio_path, '1.wav') THEN 'first' WHEN ends_with(audio_path, '2.wav') THEN 'second' WHEN starts_with(audio_path, 'audio/') AND ends_with(audio_path, '.wav') THEN 'clip_' || regexp_extract(audio_path, '([^/]*?)\\.[^./]*$', 1) END AS asset_id, "
+          "CASE WHEN ends_with(audio_path, '1.wav') OR ends_with(audio_path, '2.wav') THEN 'shared' WHEN starts_with(audio_path, 'audio/') AND ends_with(audio_path, '.wav') THEN 'clip' END AS asset_kind FROM (SELECT DISTINCT audio_path FROM synthesis)")
+def reference_assets(spark, sf):
+    paths = _t(spark, sf, "synthesis").select(F.col("audio_path").alias("path")).distinct()
+    found = manifests.reference_assets(paths, [("1.wav", "first", "refs/1.wav", "shared"), ("2.wav", "second", "refs/2.wav", "shared")], [("audio/", ".wav", "clip_", "clip")])
+    return found.select(F.col("path").alias("audio_path"), "asset_id", "asset_kind")
+
+
+@register("WITH p AS (SELECT DISTINCT audio_path FROM synthesis), there AS (SELECT DISTINCT s.audio_path FROM synthesis s SEMI JOIN asr_scores a ON a.utterance_id = s.utterance_id AND a.wer > 0.2) "
+          "SELECT audio_path, CASE WHEN starts_with(audio_path, '/') THEN audio_path WHEN t.audio_path IS NOT NULL THEN '/work/' || audio_path ELSE '/conf/' || audio_path END AS resolved_path FROM p LEFT JOIN there t USING (audio_path)")
+def resolved_audio_paths(spark, sf):
+    """Clips with a high rate stand for those that exist below the working folder."""
+    s = _t(spark, sf, "synthesis").select("utterance_id", "audio_path")
+    there = s.join(_t(spark, sf, "asr_scores").filter("wer > 0.2").select("utterance_id"), "utterance_id", "left_semi").select(F.concat(F.lit("/work/"), "audio_path").alias("path"))
+    return manifests.resolve_audio_paths(s.select("audio_path").distinct(), there, "/work", "/conf")
+
+
+# --- numbers in context -------------------------------------------------------------------------------------------------
+def _words_sql(v: str, gender: str = "neuter") -> str:
+    """Number words of a whole number under 10^9, from the lists n (neuter) and f (feminine) of the words of 1-999."""
+    own = {"neuter": "n", "feminine": "f"}[gender]
+    thousand = {"neuter": "χίλια", "feminine": "χίλιες"}[gender]
+    return (
+        f"CASE WHEN {v} = 0 THEN 'μηδέν' ELSE array_to_string(list_filter([CASE WHEN {v} >= 1000000 THEN CASE WHEN {v} // 1000000 = 1 THEN 'ένα εκατομμύριο' ELSE n[CAST({v} // 1000000 + 1 AS INTEGER)] || ' εκατομμύρια' END END, "
+        f"CASE WHEN {v} // 1000 % 1000 = 1 THEN '{thousand}' WHEN {v} // 1000 % 1000 > 1 THEN f[CAST({v} // 1000 % 1000 + 1 AS INTEGER)] || ' χιλιάδες' END, CASE WHEN {v} % 1000 > 0 THEN {own}[CAST({v} % 1000 + 1 AS INTEGER)] END], lambda x: x IS NOT NULL), ' ') END"
+    )
+
+
+_WORD_LISTS = f"w AS (SELECT {_LIST('neuter')} AS n, {_LIST('feminine')} AS f)"
+_MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in rewrite.MONTHS) + "]"
+
+
+@register(f"WITH {_WORD_LISTS}, o AS (SELECT o_orderkey, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) AS y, CAST(floor(o_totalprice) AS BIGINT) AS e, CAST(round(o_totalprice * 100) AS BIGINT) - CAST(floor(o_totalprice) AS BIGINT) * 100 AS c FROM orders) "
+          f"SELECT o_orderkey, 'Στις ' || {_words_sql('d', 'feminine')} || ' ' || {_MONTH_LIST}[m] || ' ' || {_words_sql('y')} || ', δηλαδή ' || CASE WHEN d = 1 THEN 'πρώτη' ELSE {_words_sql('d', 'feminine')} END || ' ' || {_MONTH_LIST}[m] || ', πλήρωσε ' || {_words_sql('e')} || ' ευρώ' || CASE WHEN c > 0 THEN ' και ' || {_words_sql('c')} || ' λεπτά' ELSE '' END || '.' AS spoken FROM o, w")
+def spoken_orders(spark, sf):
+    """Dates in two forms, an amount and an abbreviation, of every order."""
+    date, cents = F.col("o_orderdate"), F.round(F.col("o_totalprice") * 100).cast("bigint")
+    months = F.array(*[F.lit(m) for m in rewrite.MONTHS])
+    amount = F.concat(F.floor("o_totalprice").cast("string"), F.lit(","), F.lpad((cents - F.floor("o_totalprice") * 100).cast("string"), 2, "0"))
+    written = F.concat(F.lit("Στις "), F.date_format(date, "dd/MM/yyyy"), F.lit(", δηλ. "), F.dayofmonth(date).cast("string"), F.lit(" "), F.element_at(months, F.month(date)), F.lit(", πλήρωσε "), amount, F.lit(" €."))
+    return rewrite.verbalise(_t(spark, sf, "orders").select("o_orderkey", written.alias("t")), "t", "spoken").select("o_orderkey", "spoken")
+
+
+@register(f"WITH {_WORD_LISTS}, l AS (SELECT DISTINCT l_orderkey % 24 AS h, l_partkey % 60 AS m, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS s FROM lineitem) "
+          f"SELECT h AS hours, m AS minutes, q AS quantity, s AS share, {_words_sql('h', 'feminine')} || CASE m WHEN 0 THEN ' ακριβώς' WHEN 30 THEN ' και μισή' ELSE ' και ' || {_words_sql('m')} END || ': μείον ' || {_words_sql('q')} || ' κόμμα ' || CASE WHEN s < 10 THEN 'μηδέν ' || {_words_sql('s')} ELSE {_words_sql('s')} END || ', ' || {_words_sql('s')} || ' και ' || {_words_sql('q')} || ' τοις εκατό' AS spoken FROM l, w")
+def spoken_measures(spark, sf):
+    """A time, a negative decimal and a share with a decimal mark, of every kind of line."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rows = _t(spark, sf, "lineitem").select((F.col("l_orderkey") % 24).alias("hours"), (F.col("l_partkey") % 60).alias("minutes"), F.col("l_quantity").cast("bigint").alias("quantity"), F.round(F.col("l_discount") * 100).cast("bigint").alias("share")).distinct()
+    share, quantity = F.col("share").cast("string"), F.col("quantity").cast("string")
+    written = F.concat(F.col("hours").cast("string"), F.lit(":"), two(F.col("minutes")), F.lit(": -"), quantity, F.lit(","), two(F.col("share")), F.lit(", "), share, F.lit(","), quantity, F.lit("%"))
+    return rewrite.verbalise(rows.withColumn("t", written), "t", "spoken").drop("t")
+
+
+@register("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{rewrite.ordinal_words(i, 'feminine')}', '{rewrite.ordinal_words(i, 'masculine')}', '{rewrite.ordinal_words(i, 'neuter')}')" for i in range(1, 51)) + ") t(p_size, f, m, n)) "
+          "SELECT p_partkey, 'η ' || f || ', ο ' || m || ' και το ' || n || CASE p_size WHEN 2 THEN ', ένα δεύτερο' WHEN 3 THEN ', δύο τρίτα' WHEN 10 THEN ', εννέα δέκατα' ELSE '' END AS spoken FROM part JOIN v USING (p_size)")
+def spoken_ordinals(spark, sf):
+    """Ordinals in three genders, and fractions, of every part."""
+    n = F.col("p_size").cast("string")
+    fraction = F.when(F.col("p_size").isin(2, 3, 10), F.concat(F.lit(", "), (F.col("p_size") - 1).cast("string"), F.lit("/"), n)).otherwise("")
+    written = F.concat(F.lit("η "), n, F.lit("η, ο "), n, F.lit("ος και το "), n, F.lit("ο"), fraction)
+    return rewrite.verbalise(_t(spark, sf, "part").select("p_partkey", written.alias("t")), "t", "spoken").select("p_partkey", "spoken")
