@@ -108,6 +108,11 @@ def quoted_title(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(title), r"\+", "%20"), r"\*", "%2A"), "%7E", "~")
 
 
+def query_value(text: Column) -> Column:
+    """Percent-encoded as a value of a query string: space '+', '*' %2A, '~' kept."""
+    return F.regexp_replace(F.regexp_replace(F.url_encode(text), r"\*", "%2A"), "%7E", "~")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import answers, distance, numbers_el, rewrite, text, vectors
 from glossaflow.operators import audio, checks, collect, manifests, ranking, summaries
-from glossaflow.plans import scoring
+from glossaflow.plans import examples, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,11 +28,11 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | examples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | examples.oracle_sql()
 
 
 def _t(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -464,6 +464,13 @@ def speaker_similarity(spark, sf):
     return e.join(references, "label").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("ref")), 9).alias("similarity"))
 
 
+@register("WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), l AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM n) SELECT vec_id, round(len, 9) AS length, round(e[1] / len, 9) AS first, round(list_sum(list_transform(e, lambda x: x / len)), 8) AS total FROM l")
+def unit_vectors(spark, sf):
+    """Length of every vector, and the first place and sum of the vector brought to length 1."""
+    rows = _t(spark, sf, "embeddings").select("vec_id", vectors.norm(F.col("embedding")).alias("l"), vectors.unit(F.col("embedding")).alias("u"))
+    return rows.select("vec_id", F.round("l", 9).alias("length"), F.round(F.element_at("u", 1), 9).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 8).alias("total"))
+
+
 _CLIP_SQL = "CAST(source_token_count AS DOUBLE) / 2 AS duration_s, CASE WHEN synthesis_token_count <> source_token_count THEN 0.5 ELSE 1.0 END AS peak, CASE WHEN metadata.voice IS NULL THEN 16000 ELSE metadata.sample_rate_hz END AS sample_rate"
 _ISSUES = "list_filter([CASE WHEN duration_s < 0.3 THEN printf('too short (%.2fs)', duration_s) END, CASE WHEN duration_s > 12.0 THEN printf('too long (%.2fs)', duration_s) END, CASE WHEN peak < 0.01 THEN printf('near-silent (peak %.4f)', peak) WHEN peak >= 0.999 THEN 'possible clipping (peak at full scale)' END, CASE WHEN sample_rate <> metadata.sample_rate_hz THEN 'sample rate ' || sample_rate || ' != configured ' || metadata.sample_rate_hz END], lambda v: v IS NOT NULL)"
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossaflow.functions import distance, numbers_el, rewrite, text
+from glossaflow.plans import examples
 
 
 def one(spark, value, use):
@@ -81,16 +82,7 @@ def test_number_words():
     assert numbers_el.ordinal_words(100) == "εκατό"
 
 
-@pytest.mark.parametrize(
-    ("value", "expected"),
-    [
-        ("στους -5°C", "στους μείον πέντε°C"), ("3/4 και 25/03", "τρία τέταρτα και είκοσι πέντε/τρία"), ("+30 2101234567", "συν τριάντα δύο ένα μηδέν ένα δύο τρία τέσσερα πέντε έξι επτά"),
-        ("5,03 ή 5,3", "πέντε κόμμα μηδέν τρία ή πέντε κόμμα τρία"), ("3,5 €", "τρία ευρώ και πέντε λεπτά"), ("467,590 δισ. €", "τετρακόσια εξήντα επτά δισεκατομμύρια πεντακόσια ενενήντα εκατομμύρια ευρώ"),
-        ("$350.000", "τριακόσιες πενήντα χιλιάδες δολάρια"), ("12,5% 3,05% 1.2,3%", "δώδεκα και πέντε τοις εκατό τρία και πέντε τοις εκατό 1.2,3%"),
-        ("14:30, 09:00, 25:99", "δεκατέσσερις και μισή, εννέα ακριβώς, είκοσι πέντε και ενενήντα εννέα"), ("1 Μαρτίου", "πρώτη Μαρτίου"), ("1/2/2020", "μία Φεβρουαρίου δύο χιλιάδες είκοσι"),
-        ("Ο ΟΗΕ κ.λπ.", "Ο Οργανισμός Ηνωμένων Εθνών και λοιπά"), ("10.482.487", "δέκα εκατομμύρια τετρακόσιες ογδόντα δύο χιλιάδες τετρακόσια ογδόντα επτά"), ("95η 2ος", "ενενηκοστή πέμπτη δεύτερος"), ("45-67", "σαράντα πέντε-εξήντα επτά"),
-    ],
-)
+@pytest.mark.parametrize(("value", "expected"), examples.SPOKEN)
 def test_verbaliser(value, expected):
     assert rewrite.speak(value) == expected
 
