@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions.text import BOUNDARY
 from glossaflow.operators import audio, checks, collect, manifests, summaries, variants
-from glossaflow.plans import scoring
+from glossaflow.plans import release, scoring
 from glossaflow.session import local_session
 from glossaflow.sources import pages, readers, sinks
 
@@ -153,6 +153,39 @@ def candidates(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def validate_release(spark: SparkSession, a: argparse.Namespace) -> int:
+    found = release.release_violations(spark, a.root, a.preset, hashes=not a.no_hashes).persist()
+    for r in found.orderBy("rule", "key").limit(a.show).collect():
+        print(f"{r.rule} {r.key}")
+    n = found.count()
+    print(f"violations={n}")
+    return 1 if n else 0
+
+
+def export_release(spark: SparkSession, a: argparse.Namespace) -> int:
+    clips = readers.json_lines(spark, a.manifest, readers.SYNTHESIS)
+    sentences = readers.dataset_sentences(spark, a.datasets).drop("original_text", "normalized_text", "normalization_warnings")
+    try:
+        census = release.export_release(clips, sentences, spark.read.parquet(a.variants), a.output, excluded=a.exclude_system)
+    except ValueError as e:
+        print(e)
+        return 1
+    print(*[f"{k}={v}" for k, v in census.items()])
+    return 0
+
+
+def example(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A written example from sentences to rates; needs neither files nor models."""
+    said = "Το δύο χιλιάδες είκοσι τέσσερα ήταν σπουδαίο έτος."
+    rows = spark.createDataFrame([("s1", "el", "Το 2024 ήταν σπουδαίο έτος."), ("s2", "el", "Καλημέρα σας."), ("s3", "en", "At 5 o'clock.")], "id string, language string, text string")
+    made = {(r.id, r.method): r.normalized_text for m in ("raw", "regex") for r in variants.variant(rows, m).collect()}
+    rates = scoring.error_rates(rows.filter("id = 's1'").select("language", F.col("text").alias("reference"), F.lit(said).alias("hypothesis"))).first()
+    for (sentence, method), text in sorted(made.items()):
+        print(f"{sentence} {method}: {text}")
+    print(*[f"{k}={rates[k]:.4f}" for k in ("wer", "cer", "wer_orthographic", "cer_orthographic")])
+    return 0 if made["s1", "regex"] == said and rates.wer == rates.cer == 0.0 < rates.wer_orthographic else 1
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="glossaflow")
     sub = top.add_subparsers(required=True)
@@ -193,6 +226,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-duration", type=float, default=audio.SHORTEST)
     p.add_argument("--max-duration", type=float, default=audio.LONGEST)
     p.add_argument("--silence-peak", type=float, default=audio.SILENCE)
+    p = command(validate_release, "root")
+    p.add_argument("--preset", required=True)
+    p.add_argument("--no-hashes", action="store_true")
+    p.add_argument("--show", type=int, default=100)
+    p = command(export_release, "manifest", "datasets", "variants", "output")
+    p.add_argument("--exclude-system", nargs="*", default=[])
+    command(example)
     p = command(fetch, "output")
     p.add_argument("--edition", default="el")
     p.add_argument("--agent", required=True)

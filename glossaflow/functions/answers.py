@@ -114,19 +114,34 @@ def _mean(values: Column) -> Column:
     return let(F.array_compact(values), lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
 
 
-def system_prompt(dimensions: dict[str, str], strict: bool = False) -> str:
-    """Instructions of a judge: one line per dimension, answers as JSON."""
-    lines = "\n".join(f"- {name}: {meaning}" for name, meaning in dimensions.items())
-    keys = ", ".join(f'"{name}"' for name in dimensions)
-    shape = f'{{"flaws_and_deductions_log": {{...}}, "scores": {{{keys}, "overall_mos"}}, "comment"}}' if strict else f'{{{keys}, "overall", "comment"}}'
-    start = "List every flaw with its deduction first, then score." if strict else "Score the clip."
-    return f"You rate synthesised speech. {start} Each score lies between 1 and 5.\n{lines}\nAnswer with JSON only: {shape}"
+STYLES = ("standard", "strict")
+
+
+def system_prompt(dimensions: dict[str, str | tuple[str, str]], style: str = "standard", with_reference: bool = True) -> str:
+    """Instructions of a judge in one of two styles, for clips whose text is given or not; answers as JSON.
+
+    dimensions: what each one means; a pair says it with and without the text. The strict style has every flaw listed before
+    its deduction. An unknown style is refused.
+    """
+    if style not in STYLES:
+        raise ValueError(f"unknown style: {style}")
+    strict = style == "strict"
+    meaning = lambda m: m if isinstance(m, str) else m[0 if with_reference else 1]
+    lines = "\n".join(f"- {name}: {meaning(m)}" for name, m in dimensions.items())
+    keys = ", ".join(f'"{name}": 1-5' for name in dimensions)
+    log = ", ".join(f'"{name}_anomalies": "..."' for name in dimensions)
+    shape = f'{{"flaws_and_deductions_log": {{{log}}}, "scores": {{{keys}, "overall_mos": 1-5}}, "comment": "..."}}' if strict else f'{{{keys}, "overall": 1-5, "comment": "..."}}'
+    start = "List every flaw you hear first. Start each score at 5 and take off what the flaws cost." if strict else "Score each dimension by itself; half points are allowed."
+    text = "The text that should be heard is given; words left out, added or misread count." if with_reference else "The text is not given; judge by what can be heard."
+    return f"You rate synthesised speech. {start} Each score lies between 1 and 5.\n{lines}\n{text}\nAnswer with JSON only: {shape}"
 
 
 def user_prompt(reference: Column, with_reference: bool = True) -> Column:
+    """The request for one clip; without a reference text, or with an empty one, it names none."""
+    bare = F.lit("Rate the attached clip.")
     if not with_reference:
-        return F.lit("Rate the attached clip.")
-    return F.concat(F.lit("Rate the attached clip. It should say: "), reference)
+        return bare
+    return F.when(F.coalesce(reference, F.lit("")) != "", F.concat(bare, F.lit(" It should say: "), reference)).otherwise(bare)
 
 
 def generation_config(**options) -> Column:

@@ -152,6 +152,12 @@ def differing_columns(a: DataFrame, b: DataFrame, keys: Sequence[str], columns:
     return joined.select(*keys, F.explode(off).alias("column")).distinct()
 
 
+def missing_variants(sentences: DataFrame, variants: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """``dataset_id, id, method`` of the methods that a sentence lacks: a few rows per sentence, made where it stands."""
+    wanted = sentences.select("dataset_id", "id", F.explode(F.array(*map(F.lit, methods))).alias("method")).distinct()
+    return wanted.join(variants.select("dataset_id", "id", "method"), ["dataset_id", "id", "method"], "left_anti")
+
+
 def unequal_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in one of two sets only, by EXCEPT both ways."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

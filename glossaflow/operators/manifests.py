@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossaflow.functions.text import collapse_spaces, fallback, path_of, safe_id, word_count
+from glossaflow.operators.checks import missing_variants
 from glossaflow.operators.ranking import bounded, running_index
 
 def enabled_systems(systems: DataFrame) -> DataFrame:
@@ -148,8 +149,7 @@ def scenario_caps(per_file: DataFrame, most: int) -> DataFrame:
 
 def variant_sources(files: DataFrame, variants: DataFrame, methods: Sequence[str]) -> DataFrame:
     """Which file serves each data set and method: the variant, or for 'raw' the base file; null where neither exists."""
-    spark = files.sparkSession
-    wanted = files.select("dataset_file").distinct().crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string")))
+    wanted = files.select("dataset_file").distinct().select("dataset_file", F.explode(F.array(*map(F.lit, methods))).alias("method"))
     have = variants.select("dataset_file", "method").distinct().withColumn("_have", F.lit(True))
     joined = wanted.join(have, ["dataset_file", "method"], "left")
     served = F.when(F.col("_have"), F.concat_ws("/", "method", "dataset_file")).when(F.col("method") == "raw", F.col("dataset_file"))
@@ -158,9 +158,7 @@ def variant_sources(files: DataFrame, variants: DataFrame, methods: Sequence[str
 
 def missing_sentences(selected: DataFrame, variants: DataFrame, methods: Sequence[str]) -> DataFrame:
     """``dataset_id, id, method``: selected sentences that a variant lacks."""
-    spark = selected.sparkSession
-    wanted = selected.select("dataset_id", "id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string")))
-    return wanted.join(variants.select("dataset_id", "id", "method"), ["dataset_id", "id", "method"], "left_anti")
+    return missing_variants(selected, variants, methods)
 
 
 def synthesis_manifest(variants: DataFrame, systems: DataFrame, audio_dir: str) -> DataFrame:

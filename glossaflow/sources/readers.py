@@ -26,7 +26,7 @@ def plain_path(path):
 
 def json_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, value``: whole texts of the JSON files of a folder, not of its subfolders; sort by path for their order."""
-    files = spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
@@ -45,7 +45,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def document(spark: SparkSession, path: str) -> dict:
     """A small JSON document, {} if there is none at the path; anything but an object is refused."""
     try:
-        text = spark.read.option("wholetext", True).text(path).first()
+        text = spark.read.text(path, wholetext=True).first()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return {}

@@ -218,6 +218,21 @@ def test_responses(spark):
     assert json.loads(line)["request"]["contents"][0]["parts"][1]["inline_data"]["data"] == "eHk=" and json.loads(line)["key"] == 'k"1'
 
 
+def test_prompts_and_settings(spark):
+    from glossaflow.session import first_env
+
+    meant = {"clarity": ("words as in the text", "words that can be understood"), "pace": "speed"}
+    made = {(style, ref): answers.system_prompt(meant, style, ref) for style in answers.STYLES for ref in (True, False)}
+    assert len(set(made.values())) == 4 and "words as in the text" in made["strict", True] and "words that can be understood" in made["standard", False]
+    assert '"pace_anomalies"' in made["strict", False] and '"overall_mos"' in made["strict", True] and '"overall": 1-5' in made["standard", True]
+    with pytest.raises(ValueError):
+        answers.system_prompt(meant, "mild")
+    rows = spark.createDataFrame([("λόγια",), ("",), (None,)], "t string")
+    said = [r.p for r in rows.select(answers.user_prompt(F.col("t")).alias("p")).collect()]
+    assert said == ["Rate the attached clip. It should say: λόγια", "Rate the attached clip.", "Rate the attached clip."] and rows.select(answers.user_prompt(F.col("t"), False).alias("p")).first().p == said[1]
+    assert first_env(["A", "B"], {"A": "", "B": "x"}) == "x" and first_env(["A"], {}) is None
+
+
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [6.0, 8.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     got = row.select(vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.unit(F.col("a")).alias("u"), vectors.cosine(F.col("a"), F.col("z")).alias("zc"), vectors.unit(F.col("z")).alias("n")).first()

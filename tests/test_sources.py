@@ -11,7 +11,8 @@ def test_datasets_and_files(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"dataset_id": "d", "scenario": "s", "language": "el", "total_sentences": 1, "source": ["a"], "sentences": [sentence, None]}), encoding="utf-8")
     rows = readers.dataset_sentences(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0].characteristics == {"has_numbers": "true"} and rows[0].dataset_file == "b.json"
-    assert readers.json_files(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.json").write_text(json.dumps({"a": [1, 2]}, indent=2))
+    assert [json.loads(r.value) for r in readers.json_files(spark, str(tmp_path)).collect()] == [{"a": [1, 2]}]
     assert readers.hashed_files(spark, str(tmp_path), "*.json").first().length > 10
 
 
@@ -104,7 +105,7 @@ def test_snapshot_of_pages(spark, tmp_path):
 
 def test_documents(spark, tmp_path):
     assert readers.document(spark, str(tmp_path / "absent.json")) == {}
-    (tmp_path / "c.json").write_text('{"a": [1]}')
+    (tmp_path / "c.json").write_text("{\n  \"a\": [1]\n}\n")
     (tmp_path / "l.json").write_text("[1]")
     assert readers.document(spark, str(tmp_path / "c.json")) == {"a": [1]}
     with pytest.raises(ValueError):
