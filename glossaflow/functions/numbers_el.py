@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions.text import let
 
 GENDERS = ("masculine", "feminine", "neuter")
-# Greek number words; a tuple holds the masculine, feminine and neuter forms.
+# Greek number words, and stems of those that take an ending; a tuple holds the masculine, feminine and neuter forms.
 UNITS = ("", ("ένας", "μία", "ένα"), "δύο", ("τρεις", "τρεις", "τρία"), ("τέσσερις", "τέσσερις", "τέσσερα"), "πέντε", "έξι", "επτά", "οκτώ", "εννέα")
 TEENS = ("δέκα", "έντεκα", "δώδεκα", ("δεκατρείς", "δεκατρείς", "δεκατρία"), ("δεκατέσσερις", "δεκατέσσερις", "δεκατέσσερα"), "δεκαπέντε", "δεκαέξι", "δεκαεπτά", "δεκαοκτώ", "δεκαεννέα")
 TENS = ("", "", "είκοσι", "τριάντα", "σαράντα", "πενήντα", "εξήντα", "εβδομήντα", "ογδόντα", "ενενήντα")
@@ -103,28 +103,45 @@ def _below_thousand_col(n: Column, gender: str) -> Column:
 
 
 def number_words_col(n: Column, gender: str = "neuter") -> Column:
-    """Column form of ``number_words`` for up to 18 digits, group by group of three."""
-    return let(n.cast("bigint"), lambda x: _number_words(x, gender))
-
-
-def _number_words(n: Column, gender: str) -> Column:
-    size = F.abs(n)
-    part = lambda p: ((size - size % F.lit(p)) / F.lit(p)).cast("bigint")
-    billions, millions, thousands, units = part(10**9), part(10**6) % 1000, part(1000) % 1000, size % 1000
-    many_thousands = lambda v: F.when(v > 1, F.concat(_below_thousand_col(v, "feminine"), F.lit(" χιλιάδες")))
-    b_thousands = F.floor(billions / 1000) % 1000
-    b_words = F.concat_ws(" ", F.when(b_thousands == 1, F.lit(THOUSAND[2])), many_thousands(b_thousands), _below_thousand_col(billions % 1000, "neuter"))
-    scale = lambda words, count, names: F.when(count > 0, F.concat(words, F.when(count == 1, " " + names[0]).otherwise(" " + names[1])))
-    parts = F.concat_ws(
+    """Column form of ``number_words`` for whole numbers of any size, or their digits as text.
+
+    Nine places at a time are read, each by the same expression, and joined from the left: what stands before nine places counts
+    thousands of millions and is said by the same words again.
+    """
+    one, many = SCALES[0]
+
+    def say(written: Column) -> Column:
+        size = F.ceil(F.char_length(written) / 9).cast("int")
+        padded = F.lpad(written, size * 9, F.lit("0"))
+        groups = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("int"))
+
+        def spoken(v: Column, i: Column) -> Column:
+            own = _below_billion_col(v, "neuter")
+            return F.struct(v.alias("v"), (own if gender == "neuter" else F.when(i == size - 1, _below_billion_col(v, gender)).otherwise(own)).alias("w"))
+
+        def join(acc: Column, x: Column) -> Column:
+            before = F.when(~acc["zero"], F.concat(acc["w"], F.when(acc["one"], " " + one).otherwise(" " + many)))
+            return F.struct(F.concat_ws(" ", before, F.nullif(x["w"], F.lit(""))).alias("w"), (acc["zero"] & (x["v"] == 1)).alias("one"), (acc["zero"] & (x["v"] == 0)).alias("zero"))
+
+        start = F.struct(F.lit("").alias("w"), F.lit(False).alias("one"), F.lit(True).alias("zero"))
+        return F.aggregate(F.transform(groups, spoken), start, join, lambda acc: F.when(acc["zero"], "μηδέν").otherwise(acc["w"]))
+
+    text = n.cast("string")
+    digits = F.when(F.regexp_like(text, F.lit("^-?[0-9]+$")), F.regexp_replace(text, "^-", ""))
+    words = F.when(digits.isNotNull(), let(digits, say))
+    return let(words, lambda w: F.when(text.startswith("-") & (w != "μηδέν"), F.concat(F.lit("μείον "), w)).otherwise(w))
+
+
+def _below_billion_col(n: Column, gender: str) -> Column:
+    """Words of 1 to 10^9 - 1; '' for 0."""
+    millions, thousands, units = F.floor(n / 10**6), F.floor(n / 1000) % 1000, n % 1000
+    one, many = SCALES[1]
+    return F.concat_ws(
         " ",
-        F.when(n < 0, F.lit("μείον")),
-        scale(b_words, billions, SCALES[0]),
-        scale(_below_thousand_col(millions, "neuter"), millions, SCALES[1]),
-        F.when(thousands == 1, F.lit(THOUSAND[GENDERS.index(gender)])),
-        many_thousands(thousands),
+        F.when(millions > 0, F.concat(_below_thousand_col(millions, "neuter"), F.when(millions == 1, " " + one).otherwise(" " + many))),
+        F.when(thousands == 1, THOUSAND[GENDERS.index(gender)]).when(thousands > 1, F.concat(_below_thousand_col(thousands, "feminine"), F.lit(" χιλιάδες"))),
         _below_thousand_col(units, gender),
     )
-    return F.when(n == 0, F.lit("μηδέν")).when(n.isNotNull(), parts)
 
 
 def ordinal_words_col(n: Column, gender: str = "neuter") -> Column:

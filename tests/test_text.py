@@ -66,7 +66,13 @@ def test_long_vocabulary(spark):
     assert df.select(distance.word_rate(F.col("r"), F.col("h")).alias("x")).first().x == 3 / 400
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 14, 21, 100, 101, 200, 999, 1000, 1001, 2003, 21_000, 1_000_000, 2_341_005, 10**9, 3 * 10**12 + 5, -7])
+def test_very_large_numbers(spark):
+    values = ["1" + "0" * 27, "123456789012345678901234567890", "-" + "9" * 36, "1" * 60, "", None, "x1"]
+    got = [r.w for r in spark.createDataFrame([(v,) for v in values], "n string").select(numbers_el.number_words_col(F.col("n"), "feminine").alias("w")).collect()]
+    assert got == [numbers_el.number_words(int(v), "feminine") for v in values[:4]] + [None] * 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 14, 21, 100, 101, 200, 999, 1000, 1001, 2003, 21_000, 1_000_000, 2_341_005, 10**9, 3 * 10**12 + 5, -7, 10**9 + 1, 10**17, 10**18, 9 * 10**18 + 12, 2 * 10**15 + 10**9, 1_001_000_000])
 def test_number_columns_agree(spark, n):
     for gender in numbers_el.GENDERS:
         got = spark.range(1).select(numbers_el.number_words_col(F.lit(n), gender).alias("x")).first().x
