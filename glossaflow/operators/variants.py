@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossaflow.functions.answers import checked_answer
 from glossaflow.functions.rewrite import verbalised
@@ -19,15 +20,18 @@ def with_model(df: DataFrame, column: str, result: str, kind: str, load: Callabl
     """Adds ``result`` of type ``kind``: what a model says to ``column``, batch by batch.
 
     ``load`` runs once per task and gives a function from a list of values to a list of results; it is the hook for
-    rewriting models, judges, naturalness predictors and speaker encoders alike.
+    rewriting models, judges, naturalness predictors and speaker encoders alike. Only ``column`` travels to Python.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for frame in frames:
-            yield frame.assign(**{result: model(frame[column].tolist())})
+        for values in batches:
+            rows = values.to_dict("records") if isinstance(values, pd.DataFrame) else values.tolist()
+            yield pd.Series(model(rows), index=values.index, dtype=object)
 
-    return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{result}` {kind}"]))
+    structured = isinstance(df.schema[column].dataType, StructType)
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame] if structured else Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(result, F.pandas_udf(run, kind)(F.col(column)))
 
 
 def variant(sentences: DataFrame, method: str, *, off: Sequence[str] = (), load: Callable[[], Callable[[list], list]] | None = None) -> DataFrame:

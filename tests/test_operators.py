@@ -233,6 +233,28 @@ def test_prompts_and_settings(spark):
     assert first_env(["A", "B"], {"A": "", "B": "x"}) == "x" and first_env(["A"], {}) is None
 
 
+def test_model_hooks(spark):
+    from glossaflow.operators import models
+
+    clips = spark.createDataFrame([("u1", "α", "a.wav", "r.wav", 1), ("u2", "", "b.wav", None, 2), ("u3", "γ", "c.wav", "r.wav", 3)], "utterance_id string, source_text string, audio_path string, reference_path string, mos_rank int").repartition(2)
+
+    def judge():
+        return lambda rows: [None if r["audio_path"] == "c.wav" else '{"clarity": 4, "overall": %d}' % (len(r["prompt"]) > 30) for r in rows]
+
+    got = {r.utterance_id: r for r in models.judged_clips(clips, judge, {"clarity": "c"}, style="strict").collect()}
+    assert got["u1"].mos == {"clarity": 4.0} and got["u1"].mos_overall == 1.0 and got["u3"].parse_ok is False and got["u2"].mos_rank == 2
+    lines = models.judge_batch(clips, {"clarity": "c"}, config={"temperature": 0})
+    assert json.loads(lines.filter("line like '%u1%'").first().line)["request"]["contents"][0]["parts"][1]["file_data"] == {"file_uri": "a.wav", "mime_type": "audio/wav"}
+    reply = {"key": "u1", "response": {"candidates": [{"content": {"parts": [{"text": '{"clarity": 9}'}]}}], "usageMetadata": {"n": 1}}}
+    read = models.judge_replies(spark.createDataFrame([(json.dumps(reply),), ("{}",)], "line string"), {"clarity": "c"}).collect()
+    assert (read[0].utterance_id, read[0].mos_overall, read[1].parse_ok) == ("u1", 5.0, False) and json.loads(read[0].usage) == {"n": 1}
+    scores = {r.utterance_id: r.utmos for r in models.naturalness(clips, lambda: lambda paths: [{"a.wav": 4.2, "b.wav": None}.get(p, float("nan")) for p in paths]).collect()}
+    assert scores == {"u1": 4.2, "u2": None, "u3": None}
+    vectors_of = {"a.wav": [1.0, 0.0], "b.wav": [1.0, 0.0], "c.wav": None, "r.wav": [1.0, 1.0]}
+    near = {r.utterance_id: r.speaker_similarity for r in models.speaker_scores(clips, lambda: lambda paths: [vectors_of[p] for p in paths]).collect()}
+    assert abs(near["u1"] - 0.5**0.5) < 1e-12 and near["u2"] is None and near["u3"] is None and models.speaker_scores(clips.limit(0), lambda: lambda paths: []).count() == 0
+
+
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [6.0, 8.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     got = row.select(vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.unit(F.col("a")).alias("u"), vectors.cosine(F.col("a"), F.col("z")).alias("zc"), vectors.unit(F.col("z")).alias("n")).first()
