@@ -289,13 +289,14 @@ _ISSUES_SQL = f"""{_BROKEN_SQL}, i AS (
 
 
 def _sentences_and_broken(spark, sf) -> DataFrame:
-    rows = _sentences(spark, sf, "dataset_file", "text", "sentence_index", "word_count", "characteristics").select("dataset_file", "id", "text", "sentence_index", "word_count", "characteristics")
+    rows = _sentences(spark, sf, "dataset_file", "text", "sentence_index", "word_count", "characteristics")
     kind = F.col("sentence_index") % 5
-    broken = rows.withColumns({
-        "id": F.when(kind == 4, F.col("id")).otherwise(F.concat("id", F.lit("_x"))), "text": F.when(kind == 0, "").otherwise(F.col("text")),
-        "word_count": F.when(kind == 1, None).when(kind == 2, F.col("word_count") + 9).otherwise(F.col("word_count")), "characteristics": F.when(kind != 3, F.col("characteristics")),
-    })
-    return rows.unionByName(broken)
+    row = lambda i, t, n, c: F.struct(i.alias("id"), t.alias("text"), n.alias("word_count"), c.alias("characteristics"))
+    broken = row(
+        F.when(kind == 4, F.col("id")).otherwise(F.concat("id", F.lit("_x"))), F.when(kind == 0, "").otherwise(F.col("text")),
+        F.when(kind == 1, None).when(kind == 2, F.col("word_count") + 9).otherwise(F.col("word_count")), F.when(kind != 3, F.col("characteristics")),
+    )
+    return rows.select("dataset_file", F.explode(F.array(row(F.col("id"), F.col("text"), F.col("word_count"), F.col("characteristics")), broken)).alias("r")).select("dataset_file", "r.*")
 
 
 @register(f"WITH {_ALL}, {_ISSUES_SQL} SELECT * FROM i")
