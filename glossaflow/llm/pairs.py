@@ -310,6 +310,8 @@ def _goes_on_untiled(original: str, said: list[str]) -> bool:
     of them must be as many as the plain words behind the last tile that the answer lacks.
     """
     pieces = _piece_ways(original)
+    if not Counter(w for _, way in pieces if not _in_several(way) for w in way[0]) - Counter(said):
+        return False  # no plain word is lacking anywhere
     theirs = [w for ws, _ in pieces for w in ws]
     tiles = greedy_tiles(theirs, said)
     covered, reached = set(), 0
