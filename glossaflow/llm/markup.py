@@ -54,58 +54,71 @@ class Markup:
     wrapping: list[str] = field(default_factory=list)
 
 
-def frames(text: str) -> tuple[list[Frame], list[Frame]]:
-    """Closed constructs, and the stack after the last character."""
-    stack: list[Frame] = []
-    done: list[Frame] = []
+class _Stack:
+    """Open frames; the places of each kind are kept, so that the nearest of a kind is found at once."""
+
+    def __init__(self) -> None:
+        self.open: list[Frame] = []
+        self.done: list[Frame] = []
+        self._places: dict[tuple[str, str], list[int]] = {}
+
+    def push(self, frame: Frame) -> None:
+        self._places.setdefault((frame.kind, frame.name), []).append(len(self.open))
+        self.open.append(frame)
+
+    def nearest(self, *kinds: str, name: str = "") -> int | None:
+        found = [places[-1] for k in kinds if (places := self._places.get((k, name)))]
+        return max(found, default=None)
+
+    def close(self, depth: int, stop: int, end: int) -> None:
+        """Closes a frame; what stood open above it lost its mark, and is neither closed nor open at the end."""
+        while len(self.open) > depth:
+            frame = self.open.pop()
+            self._places[frame.kind, frame.name].pop()
+        frame.stop, frame.end = stop, end
+        self.done.append(frame)
 
-    def pop_to(depth: int, stop: int, end: int) -> None:
-        # What stood open above the closed frame lost its mark; it is neither closed nor open at the end.
-        stack[depth].stop, stack[depth].end = stop, end
-        done.append(stack[depth])
-        del stack[depth:]
 
-    def depth_of(kind: str, name: str = "") -> int | None:
-        return next((d for d in range(len(stack) - 1, -1, -1) if stack[d].kind == kind and stack[d].name == name), None)
+#: Opening marks by closing mark.
+_OPENS = {c: tuple(o for o in CLOSES if CLOSES[o] == c) for c in CLOSES.values()}
 
+
+def frames(text: str) -> tuple[list[Frame], list[Frame]]:
+    """Closed constructs, and the stack after the last character."""
+    stack = _Stack()
     for m in _TOKENS.finditer(text):
         token, kind = m.group(), m.lastgroup
         if kind == "item":
-            if (d := depth_of("item")) is not None:
-                pop_to(d, m.start(), m.start())
-            stack.append(Frame("item", m.start(), m.end()))
-        elif kind == "fence":
-            if (d := depth_of("fence")) is not None:
-                pop_to(d, m.start(), m.end())
+            if (d := stack.nearest("item")) is not None:
+                stack.close(d, m.start(), m.start())
+            stack.push(Frame("item", m.start(), m.end()))
+        elif kind in ("fence", "both"):
+            own = "fence" if kind == "fence" else token
+            if (d := stack.nearest(own)) is not None:
+                stack.close(d, m.start(), m.end())
             else:
-                head = _FENCE_HEAD.match(text, m.end())
-                stack.append(Frame("fence", m.start(), head.end() if head else m.end()))
-        elif kind == "both":
-            if (d := depth_of(token)) is not None:
-                pop_to(d, m.start(), m.end())
-            else:
-                stack.append(Frame(token, m.start(), m.end()))
+                head = _FENCE_HEAD.match(text, m.end()) if kind == "fence" else None
+                stack.push(Frame(own, m.start(), head.end() if head else m.end()))
         elif kind == "broken":
-            stack.append(Frame("tag", m.start(), m.end()))
+            stack.push(Frame("tag", m.start(), m.end()))
         elif kind == "tag":
             name = re.match(r"</?([a-zA-Z][\w-]*)", token).group(1).lower()
             if token.startswith("</"):
-                if (d := depth_of("tag", name)) is not None:
-                    pop_to(d, m.start(), m.end())
+                if (d := stack.nearest("tag", name=name)) is not None:
+                    stack.close(d, m.start(), m.end())
             elif not token.endswith("/>") and name not in _EMPTY_TAGS:
-                stack.append(Frame("tag", m.start(), m.end(), name=name))
-        else:
-            d = next((d for d in range(len(stack) - 1, -1, -1) if CLOSES.get(stack[d].kind) == token), None)
-            if d is not None:
-                pop_to(d, m.start(), m.end())
-            elif token in CLOSES:
-                stack.append(Frame(token, m.start(), m.end()))
-    if stack and (d := depth_of("item")) is not None and text[stack[d].inner :].strip(EDGES):
+                stack.push(Frame("tag", m.start(), m.end(), name=name))
+        elif (d := stack.nearest(*_OPENS.get(token, ()))) is not None:
+            stack.close(d, m.start(), m.end())
+        elif token in CLOSES:
+            stack.push(Frame(token, m.start(), m.end()))
+    open_, done = stack.open, stack.done
+    if (d := stack.nearest("item")) is not None and text[open_[d].inner :].strip(EDGES):
         # A list ends with its text, but an item with nothing in it broke off.
-        item = stack.pop(d)
+        item = open_.pop(d)
         item.stop = item.end = len(text)
         done.append(item)
-    return done, stack
+    return done, open_
 
 
 _BARE_TEXT = re.compile(r"[^`*_<>|" + re.escape("".join([*CLOSES, *CLOSES.values()])) + r"\"\n:\uff1a]*")

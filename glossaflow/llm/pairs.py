@@ -99,12 +99,15 @@ class _Source:
 
     def __init__(self, text: str) -> None:
         self.words, self.spoken, self.clause, end, clause = [], [], [], 0, 0
+        self.places: dict[str, list[int]] = {}
         self.apologises = any(_OPENERS.match(line.strip(EDGES + "\"'«»“”*#>-")) for line in re.split(r"[\n.!…]+", text))
         for m in _PIECES.finditer(text):
             clause += bool(_CLAUSE_MARKS.search(text[end : m.start()]))
             end = m.end()
             own = [_fold(w) for w in words(m.group())]
             spoken = _in_several(_ways_to_say(m.group(), text[end : end + 3])) or text[end : end + 3].strip()[:1] in SPOKEN_SIGNS
+            for n, w in enumerate(own, len(self.words)):
+                self.places.setdefault(w, []).append(n)
             self.words += own
             self.spoken += [spoken] * len(own)
             self.clause += [clause] * len(own)
@@ -118,7 +121,7 @@ class _Source:
         size = end - start
         return any(
             self.words[i : i + size] == mine[start:end] and self._goes_on(mine, i, start, -1) and self._goes_on(mine, i + size - 1, end - 1, 1)
-            for i in range(len(self.words) - size + 1)
+            for i in self.places.get(mine[start], ())
         )
 
     def _goes_on(self, mine: list[str], i: int, j: int, way: int) -> bool:
@@ -222,7 +225,7 @@ def _end_said(original: str, answer: str, said: list[str]) -> bool:
         sign = next((m for m in marks if m in "%€$£‰°"), None)
         return sign is None or sign in answer.rstrip()[-6:]
     number = _NUMBER_BEFORE.search(original.rstrip()[: -len(piece + marks)])
-    parted = piece[:1].isdigit() and "".join(raw) == re.sub(r"\D", "", piece) and not is_whole(piece)
+    parted = piece[:1].isdecimal() and "".join(raw) == re.sub(r"\D", "", piece) and not is_whole(piece)
     sign = next((m for m in marks if m in SPOKEN_SIGNS), "") if parted else ""
     if parted and _parts_said(piece, sign, said):
         return True
@@ -267,7 +270,7 @@ def _before(said: list[str], ends: set[int], ways: list[list[str]]) -> set[int]:
 def _ways_to_say(piece: str, marks: str) -> tuple[frozenset[str], str]:
     """Words that may stand for a piece of the original, and the initials of others that may."""
     own = {_fold(w) for w in words(piece)}
-    if piece[:1].isdigit():
+    if piece[:1].isdecimal():
         return frozenset(own | {_fold(w) for w in spoken_words(piece, marks.strip()[:1])}), ""
     if "." in piece or piece.lower() in SPOKEN_ABBREVIATIONS or _ACRONYM.fullmatch(piece):
         return frozenset(own | {_fold(w) for e in spoken_endings(piece, "") for w in e}), _fold(_bare(piece.replace(".", "")))
@@ -291,7 +294,7 @@ def _number_vocabulary() -> frozenset[str]:
 
 def _ends_once(original: str, theirs: list[str], last: str) -> bool:
     """Whether it is plain at once that the answer's last word speaks no place of the original but its end."""
-    if not theirs or theirs[-1] != last or theirs.count(last) > 1 or last[0].isdigit() or _fold(last) in _number_vocabulary():
+    if not theirs or theirs[-1] != last or theirs.count(last) > 1 or last[0].isdecimal() or _fold(last) in _number_vocabulary():
         return False
     initial = _fold(last[0])
     return not any(initial in _fold(m) for m in _SHORT_FORMS.findall(original))

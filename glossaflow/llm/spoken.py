@@ -27,7 +27,7 @@ def spoken_endings(piece: str, marks: str, before: str = "") -> list[list[str]]:
     sign = next((m for m in marks if m in SPOKEN_SIGNS), None)
     if sign:
         return _with_number(piece, [[w] for w in SPOKEN_SIGNS[sign]], ["τοις"] if sign in "%‰" else [])
-    if not piece[:1].isdigit():
+    if not piece[:1].isdecimal():
         return _with_number(before, [[w] for w in SPOKEN_ABBREVIATIONS.get(piece.lower(), ())], [])
     return _number_endings(int(piece.replace(".", ""))) if is_whole(piece) else []
 
@@ -104,7 +104,7 @@ def spoken_words(number: str, sign: str = "") -> set[str]:
 
 def _with_number(number: str, units: list[list[str]], link: list[str]) -> list[list[str]]:
     whole = number.replace(".", "")
-    if not whole.isdigit():
+    if not whole.isdecimal():
         return units
     return [[*n, *link, *u] for n in _number_endings(int(whole)) for u in units]
 

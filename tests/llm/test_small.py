@@ -9,6 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glossaflow.llm import copies, languages, leakage, lookalikes, markup, mixture, pairs, quota, sampling, tiling
@@ -44,6 +46,7 @@ def test_parser():
     assert markup.parse_markup("«α» και «β»").text == "«α» και «β»" and markup.parse_markup("«α «β» γ»").text == "α «β» γ"
     assert markup.parse_markup("α <b>β <i").open_at_end == ["tag", "tag"] and markup.parse_markup("α <br> 3 < 4").open_at_end == []
     assert markup.parse_markup("α (β»)").open_at_end == [] and markup.parse_markup("").text == ""
+    assert len(markup.parse_markup("λέξη (α «β " * 20_000).open_at_end) == 40_000 and markup.parse_markup("(α «β] γ”) δ").open_at_end == []
     assert markup.parse_markup("«" * 5000 + "α" + "»" * 5000).text == "α" and len(markup.parse_markup("(" * 3000).open_at_end) == 3000
 
 
@@ -87,6 +90,18 @@ def test_tiles_of_long_texts():
     assert len(tiling.greedy_tiles(["α"] * 20000 + ["x"], ["α"] * 20000 + ["y"])) == 1
 
 
+ODD = ["α", "ΟΗΕ", "5", "12:30", "3/4", "€", "%", " ", "\n", "(", ")", "«", "»", '"', "```", "**", "<b>", "</b>", "<", "- ", "1. ", ".", "…", "δεν μπορώ", "λυπάμαι", "π.χ.", "ǅ", "İ", "\u0301", "\x00", "🙂", "Απάντηση:", "₂", "٣", "Ⅷ", "2,20 €", "1.234"]
+
+
+@given(st.lists(st.sampled_from(ODD), max_size=12), st.lists(st.sampled_from(ODD), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_odd_texts_are_judged(original, answer):
+    for o, a in (("".join(original), "".join(answer)), (" ".join(original), " ".join(answer))):
+        assert pairs.judge(o, a)[0] in (None, "empty", "refusal", "other_language", "copy", "truncated")
+        leakage.plain_words(o)
+        assert all(0 <= x < y <= len(o) for x, y in languages.sentences(o))
+
+
 # Each row is judged right only with the tiles or the parser's stack; the second test holds that.
 BY_TILES = [("Είδε τον μεγάλο παλιό φάρο και μετά γύρισε στον φάρο.", "Είδε τον φάρο και μετά γύρισε στον φάρο.", None), ("Έγραψε στον καλό και μόνο φίλο, ύστερα στον φίλο του φίλο", "Έγραψε στον φίλο, ύστερα στον φίλο του φίλο", None)]
 BY_STACK = [
