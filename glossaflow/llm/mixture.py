@@ -42,6 +42,8 @@ SHARD_TOKENS, BLOCKS_A_SHARD = 50_000_000, 16
 KEEP = 0.25
 #: Sources that a list of targets may name: their block totals come to the driver.
 MAX_SOURCES = 2000
+#: Bytes of a tokenizer's rank file, which is broadcast.
+MAX_VOCABULARY = 64 << 20
 _ENCODINGS: dict[bytes, object] = {}
 
 
@@ -150,7 +152,10 @@ class Mixture:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         self.targets = {r.source: (float(r.target_share), int(r.max_repeats or 1)) for r in listed}
         self.names = sorted(self.targets)
-        self.docs = self._counted(Path(tokenizer).read_bytes()).persist(StorageLevel.DISK_ONLY)
+        vocabulary = Path(tokenizer).read_bytes()
+        if len(vocabulary) > MAX_VOCABULARY:
+            raise ValueError("the tokenizer's file is too large to broadcast")
+        self.docs = self._counted(vocabulary).persist(StorageLevel.DISK_ONLY)
         totals: dict[str, np.ndarray] = {}
         block = F.floor(F.col("u") * BLOCKS).cast("int")
         for k, b, n in self.docs.groupBy("k", block.alias("block")).agg(F.sum("n_tokens")).collect():  # at most sources x BLOCKS rows
