@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import answers, distance, numbers_el, rewrite, text, vectors
 from glossaflow.operators import audio, checks, collect, manifests, ranking, summaries
-from glossaflow.plans import examples, scoring
+from glossaflow.plans import examples, release_queries, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,11 +28,11 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | examples.queries()
+    return _QUERIES | release_queries.queries() | examples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | examples.oracle_sql()
+    return _SQL | release_queries.oracle_sql() | examples.oracle_sql()
 
 
 def _t(spark: SparkSession, sf: str, table: str) -> DataFrame:
