@@ -525,6 +525,10 @@ def test_held_out_accuracy(spark):
     model = languages.training_model(docs.filter(half))
     outside = spark.createDataFrame([(n, s, lang) for n, (lang, s) in enumerate((lang, s) for lang, ss in SENTENCES.items() for s in ss)], "doc_id long, text string, lang string")
     assert all(r.lang == r.want for r in languages.document_languages(outside, model).join(outside.select("doc_id", F.col("lang").alias("want")), "doc_id").collect())
+    foreign = ["Köy korosu misafirler gelmeden önce eski tarifeyi gözden geçirdi.", "Chór wiejski przejrzał stary rozkład jazdy, zanim przyjechali goście.", "Деревенский хор просмотрел старое расписание до приезда гостей."]
+    flagged = languages.language_segments(outside.union(spark.createDataFrame([(100 + n, s, None) for n, s in enumerate(foreign)], outside.schema)), model)
+    found = {r.doc_id for r in flagged.filter("ambiguous").collect()}
+    assert {100, 101, 102} <= found and len(found) <= 4  # a fit on so few documents may flag a known language too
     other = docs.filter(~half)
     # One language by both its label and its script: Greek against Latin letters tells noisy labels of Greek from right ones.
     greek = F.length(F.regexp_replace("text", "[^\u0370-\u03ff\u1f00-\u1fff]", "")) > 0.9 * F.length(F.regexp_replace("text", "\\P{L}", ""))
