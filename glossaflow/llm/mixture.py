@@ -224,7 +224,8 @@ class Mixture:
                 yield frame[["doc_id", "digest", "k", "n_tokens", "repeat"]].assign(shard=shard)
 
         placed = drawn.mapInPandas(place, "doc_id bigint, digest binary, k int, n_tokens bigint, repeat int, shard bigint")
-        texts = self.documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"), "text").filter("doc_id is not null and text is not null")
+        rows = self.documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), "text").filter("doc_id is not null and text is not null")
+        texts = rows.join(self._known(), "source", "left_semi").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
         texts = texts.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))  # repeated rows of a document are one
         mixed = placed.join(texts, ["doc_id", "digest"]).join(self._known(), "k")
         mixed = mixed.withColumn("position", F.xxhash64(F.lit(self.salt), "shard", "doc_id", "repeat"))
